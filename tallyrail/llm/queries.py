@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from tallyrail.llm import media, secrets
+from tallyrail.llm import chat, media, packing, repair, secrets
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark, sf_dir):
+    """Every document's ids in sequences of at most 2048."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark, sf_dir):
+    """Every conversation from each participant's side."""
+    return chat.rotate(_read(spark, sf_dir, "conversations"))
+
+
+def op6_repair(spark, sf_dir):
+    """Every document's ids, written in compressed shards and read back."""
+    return repair.token_files(_read(spark, sf_dir, "documents"))
+
+
 def op9_media(spark, sf_dir):
     """Every document's text stored as media, read back and measured."""
     return media.text_media(_read(spark, sf_dir, "documents"))
@@ -19,5 +34,11 @@ def op10_secrets(spark, sf_dir):
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_media": op9_media, "op10_secrets": op10_secrets}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op5_chat": op5_chat,
+    "op6_repair": op6_repair,
+    "op9_media": op9_media,
+    "op10_secrets": op10_secrets,
+}
+ORACLE = {"op5_chat": chat.ORACLE}
