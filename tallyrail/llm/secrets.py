@@ -55,7 +55,7 @@ class Rule:
 
 
 RULES = tuple(Rule(k, "1", re.compile(p, f), g, n, NEEDS.get(k, ())) for k, p, f, g, n in (*BASE, *MORE))
-FINDING = "blob string, rule string, rule_version string, spans array<struct<start:int,end:int>>"
+FINDING = "blob binary, rules array<string>, found map<string,array<struct<start:int,end:int>>>"
 
 
 def scan_text(text: str | None, rules: tuple[Rule, ...] = RULES) -> dict[str, list[tuple[int, int]]]:
@@ -65,59 +65,62 @@ def scan_text(text: str | None, rules: tuple[Rule, ...] = RULES) -> dict[str, li
     return {r.kind: r.spans(text, lowered) for r in rules}
 
 
+def _blob():
+    return F.unhex(F.sha2("text", 256)).alias("blob")
+
+
 class BlobLedger:
-    """Tables below ``path``: ``versions`` (path, version, blob) and ``findings`` by blob and rule version.
+    """Tables below ``path``: ``versions`` (path, version, blob) and ``findings`` by blob and rule versions.
 
     Null texts are the empty blob. Repeated rows and equal texts share a blob.
-    An empty table leaves the ledger as it is. Other columns are ignored.
+    An empty table leaves the ledger as it is. Other columns are ignored. Runs
+    are written once and listed by number; opening the same path goes on there.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.runs = spark, path.rstrip("/"), []
+    def __init__(self, spark: SparkSession, path: str, runs: int = 0):
+        self.spark, self.path, self.runs = spark, path.rstrip("/"), [f"{path.rstrip('/')}/run-{i}" for i in range(runs)]
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: str = "1", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Record ``docs`` as a version of their paths, scan what is unseen, return findings by path.
 
-        The result has one row per row of ``docs``: path, blob and the found
-        spans of every rule, as a map from kind to spans.
+        The result has one row per row of ``docs``: path, blob and ``found``, the
+        spans by kind of the rules that match it (null where none does).
         """
         bounded_batches(self.spark)
         run = f"{self.path}/run-{len(self.runs)}"
         rows = docs.select(F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        versions = written(rows.select("path", F.lit(version).alias("version"), F.sha2("text", 256).alias("blob")), f"{run}/versions")
-        pairs = self.spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, rule_version string")
-        held = self.findings(pairs)
+        versions = written(rows.select("path", F.lit(version).alias("version"), _blob()), f"{run}/versions")
+        marks = {f"{r.kind}@{r.version}": r for r in rules}
         # A blob is read from one of the paths that carry it, found again by path and digest.
-        todo = versions.groupBy("blob").agg(F.min("path").alias("path")).crossJoin(F.broadcast(pairs))
-        if held is not None:
-            todo = todo.join(held.select("blob", "rule", "rule_version"), ["blob", "rule", "rule_version"], "left_anti")
-        todo = todo.groupBy("blob", "path").agg(F.sort_array(F.collect_set("rule")).alias("todo")).alias("t")
-        here = rows.withColumn("blob", F.sha2("text", 256)).alias("r")
+        todo = versions.groupBy("blob").agg(F.min("path").alias("path")).withColumn("todo", F.array(*(F.lit(m) for m in marks)))
+        if self.runs:
+            held = self.findings().select("blob", F.explode("rules").alias("mark")).groupBy("blob").agg(F.collect_set("mark").alias("held"))
+            todo = todo.join(held, "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("held", F.array().cast("array<string>")))).where(F.size("todo") > 0)
+        todo = todo.select("blob", "path", "todo").alias("t")
+        here = rows.select("path", "text", _blob()).alias("r")
         same = (F.col("r.blob") == F.col("t.blob")) & F.col("r.path").eqNullSafe(F.col("t.path"))
         texts = here.join(todo.hint("shuffle_hash"), same).select("r.blob", "r.text", "t.todo")
-        by_kind = {r.kind: r for r in rules}
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
-                for blob, text, kinds in zip(pdf["blob"], pdf["text"], pdf["todo"], strict=True):
+                for blob, text, todo in zip(pdf["blob"], pdf["text"], pdf["todo"], strict=True):
                     lowered = text.lower()
-                    for kind in kinds:
-                        rule = by_kind[kind]
-                        out.append((blob, kind, rule.version, [{"start": a, "end": b} for a, b in rule.spans(text, lowered)]))
-                yield pd.DataFrame(out, columns=["blob", "rule", "rule_version", "spans"])
+                    spans = {marks[m].kind: marks[m].spans(text, lowered) for m in todo}
+                    out.append((blob, list(todo), {k: [{"start": a, "end": b} for a, b in v] for k, v in spans.items() if v}))
+                yield pd.DataFrame(out, columns=["blob", "rules", "found"])
 
-        texts.mapInPandas(look, FINDING).dropDuplicates(["blob", "rule", "rule_version"]).write.mode("overwrite").parquet(f"{run}/findings")
+        texts.mapInPandas(look, FINDING).dropDuplicates(["blob"]).write.mode("overwrite").parquet(f"{run}/findings")
         self.runs.append(run)
-        found = self.findings(pairs).where(F.size("spans") > 0).groupBy("blob").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "spans")))).alias("found"))
+        current = F.filter("rules", lambda m: m.isin(*marks))
+        found = self.findings().where(F.size("found") > 0).select("blob", F.explode(current).alias("mark"), "found")
+        found = found.select("blob", F.substring_index("mark", "@", 1).alias("kind"), F.try_element_at("found", F.substring_index("mark", "@", 1)).alias("spans")).where("spans IS NOT NULL")
+        found = found.groupBy("blob").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "spans")))).alias("found"))
         return versions.drop("version").join(found, "blob", "left")
 
-    def findings(self, pairs: DataFrame | None = None) -> DataFrame | None:
-        """What the ledger holds, of the given (rule, rule_version) pairs or of all; None if nothing was scanned."""
-        if not self.runs:
-            return None
-        df = self.spark.read.schema(FINDING).parquet(*(f"{r}/findings" for r in self.runs))
-        return df if pairs is None else df.join(F.broadcast(pairs), ["rule", "rule_version"], "left_semi")
+    def findings(self) -> DataFrame:
+        """All rows of findings that the ledger holds: blob, rule versions of that scan, spans by kind."""
+        return self.spark.read.schema(FINDING).parquet(*(f"{r}/findings" for r in self.runs))
 
 
 def spans_of(found, kinds: tuple[str, ...]):
