@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tallyrail.llm import chat, media, packing, repair, secrets
+from tallyrail.llm import chat, media, minhash, packing, repair, secrets
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     """Every document's ids in sequences of at most 2048."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
@@ -35,6 +40,7 @@ def op10_secrets(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_packing": op3_packing,
     "op5_chat": op5_chat,
     "op6_repair": op6_repair,
