@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyrail.llm import chat, media, minhash, packing, repair, secrets
+from tallyrail.llm import chat, media, minhash, packing, quality, repair, secrets, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -19,6 +19,11 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    """Quality scores of all documents."""
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_chat(spark, sf_dir):
     """Every conversation from each participant's side."""
     return chat.rotate(_read(spark, sf_dir, "conversations"))
@@ -29,6 +34,11 @@ def op6_repair(spark, sf_dir):
     return repair.token_files(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    """Toxicity scores and spans of all documents."""
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_media(spark, sf_dir):
     """Every document's text stored as media, read back and measured."""
     return media.text_media(_read(spark, sf_dir, "documents"))
@@ -42,8 +52,10 @@ def op10_secrets(spark, sf_dir):
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op5_chat": op5_chat,
     "op6_repair": op6_repair,
+    "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
 }
