@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyrail.llm import chat, media, minhash, packing, quality, repair, secrets, toxicity
+from tallyrail.llm import chat, decontam, media, minhash, packing, quality, repair, secrets, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -14,6 +14,11 @@ def op1_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    """Benchmark items found in all documents."""
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_packing(spark, sf_dir):
     """Every document's ids in sequences of at most 2048."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ def op10_secrets(spark, sf_dir):
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
