@@ -1,29 +1,32 @@
-"""Whole-text token ids with the tokenizers library, by way of a bounded memo of chunks.
-
-Both public vocabularies cut a text into pieces before merging, and no piece
-spans the border between a character and a following space that is itself
-followed by a non-space. So a text is cut at those borders and each distinct
-chunk is encoded once by the library; the ids of the text are those of its
-chunks in order, equal to encoding it whole (tested against that).
+"""Whole-text token ids with the tokenizers library, by way of a bounded memo of pieces.
+
+Both public vocabularies cut a text into pieces by a pattern and merge within a
+piece only. Texts of ASCII and Latin-1 letters are cut here by that pattern and
+each distinct piece goes through the library's model once. Any other text is cut
+at spaces before a non-space, a border that no piece spans, and each distinct
+chunk goes through the library's whole encoder. Both give the ids of encoding
+the text whole (tested against that).
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Bound of the memo: chunks kept in each of its two generations.
-CHUNKS = 250_000
+#: Bound of a memo: entries kept before it starts anew.
+PIECES = 500_000
 _BORDER = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|$)")
-#: Chunks of these characters are cut by the plain pattern of their vocabulary; all others go to the full encoder.
-_PLAIN = re.compile("[ !-~À-ÖØ-öø-ÿ]+")
-_BYTE_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÿ]+| ?[0-9]+| ?[^ A-Za-z0-9À-ÿ]+| ")
-_WORD_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ÿ]+|[0-9]|[^ a-z0-9ß-ÿ]+")
+#: Characters on which the patterns below cut as the vocabularies' own do.
+_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: Fixed patterns of the two vocabularies, their letter and digit classes written out for those characters.
+_BYTE_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+_WORD_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,89 +36,61 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Memo(dict):
+    """Number of each key in order of first use; the keys' ids lie end to end in ``flat``."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.flat, self.start = ids_of, array("i"), array("q", [0])
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self.start) - 1
+        self.flat.extend(self.ids_of(key))
+        self.start.append(len(self.flat))
+        return n
+
+    def gather(self, keys: list[str]) -> np.ndarray:
+        idx = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.int32)
+        begin = start[idx]
+        length = start[idx + 1] - begin
+        ahead = np.cumsum(length)
+        total = int(ahead[-1]) if len(idx) else 0
+        return flat[np.repeat(begin - ahead + length, length) + np.arange(total)]
+
+
 class ChunkTokenizer:
     """Ids of texts under one vocabulary file, named as in ``public_tokenizers`` or by path."""
 
-    def __init__(self, name: str, chunks: int = CHUNKS):
+    def __init__(self, name: str, pieces: int = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.full = Tokenizer.from_file(path)
-        self.model = self.full.model
         self.words = "word" in os.path.basename(path)
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.pieces: dict[str, list[int]] = {}
-        self.cap = chunks
-        self._reset()
-
-    def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.empty(4 * self.cap, np.int32)
-        self.start = np.empty(self.cap + 1, np.int64)
-        self.start[0] = 0
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            if len(self.pieces) >= self.cap:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of one chunk by the library: its model on plain pieces, its whole encoder on anything else."""
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-            return self.full.encode(chunk, add_special_tokens=False).ids
-        cut = _WORD_CUT.findall(chunk.lower()) if self.words else _BYTE_CUT.findall(chunk)
-        return [i for p in cut for i in self._piece(p)]
+        letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        tokenize, encode = self.full.model.tokenize, self.full.encode
+        self._of_piece = lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+        self._of_chunk = lambda chunk: encode(chunk, add_special_tokens=False).ids
+        self.cap = pieces
+        self.pieces, self.chunks = _Memo(self._of_piece), _Memo(self._of_chunk)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text, int32; none for a null or empty text."""
         if not text:
             return np.empty(0, np.int32)
-        # A space before white space (or the end) is no border: it belongs to the run that follows.
-        parts = text.split(" ") if not _ODD.search(text) else _BORDER.split(text)
-        step = self.cap // 2  # a text with more chunks than the memo holds goes in blocks
-        blocks = [self._many(parts[i : i + step], first=i == 0) for i in range(0, len(parts), step)]
-        return blocks[0] if len(blocks) == 1 else np.concatenate(blocks)
-
-    def _many(self, parts: list[str], first: bool) -> np.ndarray:
-        if len(parts) + len(self.at) >= self.cap:
-            self._reset()
-        at, lead = self.at, None
-        if first:  # no space stands before the first chunk; the mark keeps its key apart
-            lead, parts = "\0" + parts[0] if parts[0] else None, parts[1:]
-        got = list(map(at.get, parts))
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    p = parts[i]
-                    g = at.get(p)
-                    got[i] = self._plus(p) if g is None else g
-        if lead is not None:
-            g = at.get(lead)
-            if g is None:
-                g = self._store(lead, self.chunk(lead[1:]))
-            got.insert(0, g)
-        idx = np.array(got, np.int64)
-        begin, length = self.start[idx], self.start[idx + 1] - self.start[idx]
-        total = int(length.sum())
-        out = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(total) if len(idx) else np.empty(0, np.int64)
-        return self.flat[out]
-
-    def _plus(self, part: str) -> int:
-        """Index of the chunk of a space and ``part``; the memo's key leaves the space out."""
-        return self._store(part, self.chunk(" " + part))
-
-    def _store(self, key: str, ids: list[int]) -> int:
-        n = len(self.at)
-        end = self.start[n] + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(len(self.flat), np.int32)))
-        self.flat[self.start[n] : end] = ids
-        self.start[n + 1] = end
-        self.at[key] = n
-        return n
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            keys = _WORD_CUT.findall(text.lower()) if self.words else _BYTE_CUT.findall(text)
+            return self._gather("pieces", self._of_piece, keys)
+        parts = _BORDER.split(text) if _ODD.search(text) else text.split(" ")
+        return self._gather("chunks", self._of_chunk, ([parts[0]] if parts[0] else []) + [" " + p for p in parts[1:]])
+
+    def _gather(self, name: str, ids_of, keys: list[str]) -> np.ndarray:
+        out = []
+        for at in range(0, len(keys), self.cap):  # a text with more keys than a memo holds goes in blocks
+            if len(getattr(self, name)) >= self.cap:
+                setattr(self, name, _Memo(ids_of))
+            out.append(getattr(self, name).gather(keys[at : at + self.cap]))
+        return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.int32), *out])
 
 
 _OPEN: dict[str, ChunkTokenizer] = {}
