@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyrail.llm import chat, decontam, media, minhash, packing, quality, repair, secrets, toxicity
+from tallyrail.llm import chat, decontam, linededup, media, minhash, packing, quality, repair, secrets, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -39,6 +39,11 @@ def op6_repair(spark, sf_dir):
     return repair.token_files(_read(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    """What line deduplication keeps of all documents."""
+    return linededup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     """Toxicity scores and spans of all documents."""
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -61,8 +66,9 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
     "op6_repair": op6_repair,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
 }
-ORACLE = {"op5_chat": chat.ORACLE}
+ORACLE = {"op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE}
