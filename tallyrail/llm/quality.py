@@ -31,11 +31,15 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word's name and of its character 3- and 4-grams, borders marked."""
+def names(word: str) -> list[str]:
+    """A word's name and its character 3- and 4-grams, borders marked."""
     w = f"<{word}>"
-    grams = [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
-    return [bucket(w, BITS), *(bucket(g, BITS) for g in grams[:200])]
+    return [w, *[w[i : i + 3] for i in range(len(w) - 2)], *[w[i : i + 4] for i in range(len(w) - 3)]]
+
+
+def features(word: str) -> list[int]:
+    """Buckets of a word's names."""
+    return [bucket(n, BITS) for n in names(word)]
 
 
 #: The name of all bigrams of a word with itself; no word has white space.
@@ -56,7 +60,15 @@ class QualityModel:
     bias: float
 
     def memo(self, cap: int = 300_000) -> TwoGenerations:
-        return TwoGenerations(lambda word: float(self.logits[features(word)].mean()), cap)
+        """A word's contribution by word; n-grams are few and are kept likewise."""
+        logits = self.logits.tolist()
+        gram = TwoGenerations(lambda name: logits[bucket(name, BITS)], cap).__getitem__
+
+        def value(word: str) -> float:
+            whole, *grams = names(word)
+            return (logits[bucket(whole, BITS)] + sum(map(gram, grams))) / (1 + len(grams))
+
+        return TwoGenerations(value, cap)
 
     def score(self, text: str | None, memo: TwoGenerations) -> float:
         """Probability of class 1 of a whole text; a text without words has the bias's."""
