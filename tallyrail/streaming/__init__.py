@@ -1 +1 @@
-
+"""Incremental ingestion of result rows with Structured Streaming."""
