@@ -62,7 +62,7 @@ def drop_answer_prefix(c: Column) -> Column:
 def rename_word(c: Column, old: Column, new: Column) -> Column:
     """struct<code, count>: whole-word replacement of one name by another."""
     pattern = F.concat(F.lit("(?U)\\b"), quoted(old), F.lit("\\b"))
-    safe = F.regexp_replace(new, r"([\\$])", r"\\\\$1")
+    safe = F.regexp_replace(new, r"([\\$])", r"\\$1")
     return F.struct(F.regexp_replace(c, pattern, safe).alias("code"), F.regexp_count(c, pattern).alias("count"))
 
 

@@ -50,7 +50,7 @@ def _run(df: DataFrame, make: Callable[[], Provider], schema: str, size: int, fa
                         raise ValueError("a provider must answer each request once")
                 except Exception:  # noqa: BLE001  a provider's failure is a result
                     got = pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), **{k: [v] * len(part) for k, v in failed.items()}})
-                yield got.reindex(columns=names)
+                yield got.reindex(columns=names).astype(object)
 
     return df.mapInPandas(run, schema)
 

@@ -6,20 +6,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyrail.functions import text as tx
 from tallyrail.operators.cache import exists
 
-FLAT = T.StructType.fromDDL(
+FLAT = (
     "samples array<struct<sample_id:string,source_group_id:string,function_name:string,optimization:string,source_type:string,"
     "source_metadata:struct<language:string>,source:struct<code:string,signature:array<string>>,assembly:map<string,string>,"
     "decompilation:map<string,struct<code:string,producer:string,version:string,sha256:string>>,"
     "binary:struct<path:string,sha256:string,format:string,architecture:string>,"
     "evaluation:struct<dependencies:string,executable_wrapper:string,function_head_used_by_wrapper:string>>>"
 )
-LABELLED = T.StructType.fromDDL("task_id string, type string, c_func string, c_test string, asm_labeled string, address_mapping map<string,struct<addr:bigint>>, rodata_addr bigint, rodata_data string")
-RESULTS = T.StructType.fromDDL(
+LABELLED = ("task_id string, type string, c_func string, c_test string, asm_labeled string, address_mapping map<string,struct<addr:bigint>>, rodata_addr bigint, rodata_data string")
+RESULTS = (
     "dataset_id string, backend_id string, sample_id string, protocol_id string, protocol_version string, split string, language string, optimization string, "
     "decompile_success boolean, recompilable boolean, behavioral_pass boolean, reason string, capabilities array<string>, metrics map<string,double>"
 )
@@ -68,7 +67,7 @@ def labelled_rows(spark: SparkSession, path: str, limit: int | None = None) -> D
     return rows.withColumns({"includes": split["includes"], "code": split["rest"], "function_name": tx.function_name(F.col("c_func"), F.lit("func0"))})
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
     """JSON lines under a schema; a missing path is empty and blank lines are skipped.
 
     Broken lines are an error; ``tolerant`` makes a table with any broken line empty instead.
@@ -77,12 +76,11 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, tolerant: b
         return spark.createDataFrame([], schema)
     if not tolerant:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(wide).json(path, mode="PERMISSIVE").cache()
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path, mode="PERMISSIVE").cache()
     return spark.createDataFrame([], schema) if rows.where("_corrupt_record IS NOT NULL").limit(1).count() else rows.drop("_corrupt_record")
 
 
-def run_results(spark: SparkSession, run_dir: str, schema: T.StructType = RESULTS) -> DataFrame:
+def run_results(spark: SparkSession, run_dir: str, schema: str = RESULTS) -> DataFrame:
     """A run's results, or its generations where there are none, with ``record_source``."""
     name = "results" if exists(spark, f"{run_dir}/results.jsonl") else "generations"
     return json_lines(spark, f"{run_dir}/{name}.jsonl", schema).withColumn("record_source", F.lit(name))
