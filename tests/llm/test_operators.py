@@ -1,0 +1,432 @@
+"""The training-data operators: brute force, round trips, held-out accuracy, and odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallyrail.llm import chat, decontam, linededup, media, minhash, packing, quality, repair, secrets, tokens, toxicity
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, k1 string, shard string, component string"
+ODD = [
+    (1, "a b c d e f g h", None, None, None, "x", "y", "z"),
+    (2, None, "en", "s", 0, None, None, None),
+    (3, "", "en", "s", 0, None, None, None),
+    (4, " \n\t ", "en", "s", 4, None, None, None),
+    (5, "A B  C d e f\ng h", "en", "s", 4, None, None, None),
+    (5, "A B  C d e f\ng h", "en", "s", 4, None, None, None),
+    (None, "a b c d e f g h", "en", "s", 4, None, None, None),
+    (6, "word " * 30000, "en", "s", 4, None, None, None),
+    (7, "one two", "en", "s", 4, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOC)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(8)] + [(None, 1, 1), (1, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+# 1 near-duplicates
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    comp = {i: i for i in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(comp[a], comp[b])
+            changed |= comp[a] != m or comp[b] != m
+            comp[a] = comp[b] = m
+    return sets, comp
+
+
+def near_corpus(seed=1):
+    rng = random.Random(seed)
+    out = []
+    for base in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((6, 20, 60, 200)))]
+        for _ in range(rng.choice((1, 2, 5, 15))):
+            w = list(words)
+            for _ in range(rng.randrange(0, max(1, len(w) // 14) + 1)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    rng.shuffle(out)
+    return [(i * 3, t) for i, t in enumerate(out)]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = near_corpus()
+    sets, comp = brute_components(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
+    assert len(set(comp.values())) < len(comp)
+
+
+def test_near_duplicates_odd(odd, empty):
+    got = minhash.near_duplicates(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got}
+    assert by[5]["component_id"] == 1 and not by[5]["kept"] and by[1]["kept"]
+    assert by[2]["n_shingles"] == by[3]["n_shingles"] == by[4]["n_shingles"] == 0 and by[4]["component_id"] == 4
+    assert by[None]["component_id"] is None and by[None]["kept"] and by[6]["n_shingles"] == by[7]["n_shingles"] == 1
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_signature_estimates_similarity():
+    rng = np.random.default_rng(0)
+    for n, share in ((3, 1), (40, 0.75), (3000, 0.8)):
+        e = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        common = int(n * share)
+        a, b = np.unique(e[:n]), np.unique(np.concatenate((e[:common], e[n : 2 * n - common])))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        s = minhash.super_minhash([a, b])
+        assert (s != np.iinfo(np.uint64).max).all() and abs((s[0] == s[1]).mean() - true) < 0.15
+
+
+def test_components_of_long_chains(spark, tmp_path):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in minhash.components(links, f"file://{tmp_path}").collect()}
+    assert set(got.values()) == {0, 100} and got[60] == 0
+
+
+# 2 decontamination
+
+
+def test_leaks(spark):
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("n", "r", "st", "l")]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rng.choice((15, 30, 55)))) for i in range(12)]
+    reworded = items[3][1].split()
+    for at in range(2, len(reworded) - 5, 6):
+        reworded[at] = "zz"
+    docs = [(i, text(300)) for i in range(40)]
+    docs += [(100 + i, text(50) + " " + t.upper() + ". " + text(90)) for i, t in items]
+    docs += [(200, text(33) + " " + " ".join(reworded) + " " + text(40)), (201, None), (202, ""), (203, "the " * 5000), (204, items[0][1]), (204, items[0][1]), (None, items[1][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (None, "x"), (50, None), (51, "")], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()]
+    assert Counter(got) == Counter([*((100 + i, i) for i, _ in items), (200, 3), (204, 0), (204, 0), (None, 1)])
+    assert decontam.leaks(d.limit(0), b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
+
+
+def test_lcs():
+    rng = random.Random(3)
+    for _ in range(100):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 15))] for _ in "ab")
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert decontam.lcs(decontam.place_masks(a), len(a), b) == t[-1][-1]
+
+
+# 3 and 6 tokens
+
+
+TRICKY = ["", " ", "  ", "\n", " a", "a ", "It's  we'll\n\n x", "<|endoftext|>a <|", "Déjà vu ÀÖ ß", "漢字 kana", "a\x1cb", "é", "1234 $$$ a-b_c", "x\r\ny\tz", "İK", "µ×ª", "😀 ok"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("room", [500_000, 7])
+def test_tokens_equal_the_library(name, room):
+    rng = random.Random(4)
+    texts = TRICKY + ["".join(rng.choices(TRICKY[1:], k=6)) for _ in range(300)]
+    tok = tokens.ChunkTokenizer(name, room)
+    for t in texts:
+        assert tok.encode(t).tolist() == tok.full.encode(t, add_special_tokens=False).ids, t
+
+
+def test_packing(odd, empty):
+    rows = packing.pack_documents(odd, with_ids=True).collect()
+    tok = tokens.ChunkTokenizer("byte_bpe_50k.json")
+    pieces, windows = Counter(), {}
+    for r in rows:
+        assert r["length"] == len(r["ids"]) > 0 and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        pieces[r["doc_id"]] += r["length"]
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    want = Counter()
+    for i, t, *_ in ODD:
+        want[i] += len(tok.encode(t)) + 1
+    assert pieces == want
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_windows_hold_everything():
+    rng = random.Random(5)
+    for n in (1, 2, 30, 500):
+        sizes = [min(2047, int(rng.expovariate(1 / 600)) + 1) for _ in range(n)]
+        windows = packing.windows_of(sizes)
+        assert max(sum(p[2] for p in w) for w in windows) <= packing.CAPACITY
+        held = {}
+        for w in windows:
+            for i, start, length in w:
+                held.setdefault(i, []).append((start, length))
+        for i, parts in held.items():
+            at = 0
+            for start, length in sorted(parts):
+                assert start == at
+                at += length
+            assert at == sizes[i]
+        assert len(held) == n and len(windows) <= 1.011 * -(-sum(sizes) // packing.CAPACITY) + 1
+    assert sorted(map(sorted, packing.difference([8, 7, 6, 5, 4], 2))) == [[0, 3], [1, 2, 4]] or max(sum([8, 7, 6, 5, 4][i] for i in g) for g in packing.difference([8, 7, 6, 5, 4], 2)) <= 16
+
+
+def test_token_files(odd, empty):
+    got = repair.token_files(odd).collect()
+    tok = tokens.ChunkTokenizer("word_bpe_49k.json")
+    crc = lambda t: zlib.crc32(np.append(tok.encode(t), 2).astype("<u4").tobytes())
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in got) == sorted((i or -1, crc(t)) for i, t, *_ in ODD)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, 1, 2, 3, 4, 5, 5, 6, 7]
+    assert repair.token_files(empty).count() == 0
+
+
+def test_repair_round_trip(monkeypatch):
+    monkeypatch.setattr(repair, "LEAST", 2)
+    rng = np.random.default_rng(1)
+    docs = [(rng.zipf(1.5, int(n)) % 40).astype(np.int32) for n in rng.integers(0, 300, 50)] + [np.full(99, 7, np.int32), np.empty(0, np.int32)]
+    shard = repair.load(repair.dump([None, *range(1, len(docs))], docs, 49408))
+    assert len(shard.seq) < 0.7 * sum(map(len, docs)) and shard.nulls.tolist() == [1] + [0] * (len(docs) - 1)
+    assert (repair.expand(shard) == np.concatenate(docs)).all()
+    for i, d in enumerate(docs):
+        assert (repair.document(shard, i) == d).all()
+        assert [repair.token_at(shard, i, p) for p in range(0, len(d), 17)] == d[::17].tolist()
+    with pytest.raises(ValueError):
+        repair.load(repair.dump([1], docs[:1], 49408) + b"x")
+
+
+# 4 and 8 models
+
+
+def test_quality(spark, labels, odd, empty):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["the", "of", "and", "river", "stone"]) + rng.choice(["ing", "er", ""])
+    bad = lambda: " ".join(word().upper() + "!!" for _ in range(40))
+    good = lambda: " ".join(word() for _ in range(40))
+    rows = [(i, good() if i % 3 else bad()) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = [r for r in quality.classify(docs, lab).collect() if r["held_out"]]
+    assert len(got) > 30 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 > 0) for r in got]) > 0.95
+    for d in (odd, empty):
+        assert [0 <= r["score"] <= 1 for r in quality.classify(d, labels).collect()] == [True] * d.count()
+    assert quality.classify(odd, labels.limit(0)).count() == len(ODD)
+    kept = quality.accepted(odd, quality.QualityModel(np.zeros(1 << quality.BITS, np.float32), 5.0))
+    assert kept.schema == odd.schema and kept.count() == len(ODD)
+
+
+def test_toxicity(spark, labels, odd, empty):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice(["ta", "ri", "mo", "se", "lu", "pa"]) for _ in range(rng.randrange(1, 4)))
+    def text(toxic):
+        w = [word() for _ in range(60)]
+        for _ in range(3 * toxic):
+            w[rng.randrange(60)] = rng.choice(["grubbly", "Xeno" + word(), "snark."])
+        return " ".join(w)
+    rows = [(i, text(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = [r for r in toxicity.classify(docs, lab).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got]) > 0.95
+    texts = dict(rows)
+    found = {texts[r["doc_id"]][s["start"] : s["end"]].split()[0][:4].lower() for r in got for s in r["spans"]}
+    assert {"grub", "xeno", "snar"} <= found
+    for d in (odd, empty):
+        assert [0 <= r["score"] <= 1 for r in toxicity.classify(d, labels).collect()] == [True] * d.count()
+
+
+def test_chain_equals_enumeration():
+    rng = np.random.default_rng(2)
+    score, trans = rng.normal(0, 2, 12), rng.normal(0, 1, (2, 2))
+    first = np.zeros(12, bool)
+    first[[0, 5, 6]] = True
+    got = toxicity.chain(score, first, trans)
+    for a, b in ((0, 5), (5, 6), (6, 12)):
+        total, marks = 0.0, np.zeros(b - a)
+        for code in range(2 ** (b - a)):
+            t = [(code >> i) & 1 for i in range(b - a)]
+            p = np.exp(sum(score[a + i] * x for i, x in enumerate(t)) + sum(trans[x, y] for x, y in zip(t, t[1:], strict=False)))
+            total += p
+            marks += p * np.array(t)
+        assert np.allclose(got[a:b], marks / total)
+
+
+# 5 chat
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, None, "ann", "q"), (1, 1, "ann", "hi")]
+    got = chat.rotate(spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, speaker int")).collect()
+    assert {(r["conv_id"], r["speaker"]) for r in got} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    for who in ("ann", "bob", "unknown"):
+        turns = sorted((r for r in got if r["conv_id"] == 1 and r["speaker"] == who), key=lambda r: r["position"])
+        whole = "".join(r["rendered"] for r in turns)
+        assert [r["position"] for r in turns] == list(range(5))
+        for r in turns:
+            assert whole[r["start"] : r["end"]] == r["rendered"]
+            mine = r["role"] == who
+            assert whole[r["mask_start"] : r["mask_end"]] == ((r["rendered"].split("\n", 1)[1][:-1]) if mine else "")
+            assert ("assistant" in r["rendered"].split("\n")[0]) == mine
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# 7 lines
+
+
+def brute_lines(rows):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
+    held = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if i is not None and len(x.strip(" \t\n\x0b\x0c\r")) >= 40:
+                held.setdefault(key(x), set()).add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if i is None or len(held.get(key(x), ())) < 5 or max(held[key(x)]) == i]
+        out.append((i, len(lines), len(lines) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def line_corpus():
+    rng = random.Random(8)
+    common = ["Common line number %d %s" % (i, "é" * (30 + i)) for i in range(6)]
+    return [(i, "\n".join(rng.choices([*common, common[0].upper(), "  " + common[1], "short", "", f"own line of the document {i} " + "z" * 40], k=8))) for i in range(30)] + [(None, common[0]), (40, None), (41, ""), (3, common[2])]
+
+
+def test_line_dedup(spark, odd, empty):
+    rows = line_corpus()
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows)
+    assert linededup.dedup_lines(odd).columns == [*odd.columns, "n_lines", "n_dropped"] and linededup.dedup_lines(odd).count() == len(ODD)
+    assert linededup.line_report(empty).count() == 0
+
+
+def test_line_index_is_reversible(spark, tmp_path):
+    rows = [r for r in line_corpus() if r[0] is not None and r[0] != 3]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = linededup.LineIndex(spark, f"file://{tmp_path}/index", shards=3)
+    index.insert(frame(rows[:20]))
+    index.insert(frame(rows[20:]))
+    index.delete(frame(rows[10:15]))
+    left = rows[:10] + rows[15:]
+    cleaned = index.clean(frame(left)).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in cleaned), key=str) == brute_lines(left)
+    index.delete(frame(left))
+    assert index.counts().count() == 0 and index.clean(frame(left)).agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**62), 2**62, 5000)
+    f = linededup.CuckooFilter.sized(len(keys))
+    assert f.insert(keys) and f.contains(keys).all() and f.contains(rng.integers(-(2**62), 2**62, 20000)).mean() < 0.01
+    f.delete(keys[:2500])
+    g = linededup.CuckooFilter.load(f.dump())
+    assert g.contains(keys[2500:]).all() and g.contains(keys[:2500]).mean() < 0.01
+    assert not linededup.CuckooFilter(1).insert(np.arange(50))
+
+
+# 9 media
+
+
+def test_media(odd, empty):
+    got = media.text_media(odd).collect()
+    want = []
+    for i, t, *_ in ODD:
+        raw = (t or "").encode()
+        p = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        want.append((i or -1, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+        assert media.from_media(media.to_media(p)) == p
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
+    assert media.text_media(empty).count() == 0
+    with pytest.raises(ValueError):
+        media.from_media(b"P5\n192 1\n255\nshort")
+
+
+def test_interleaving(spark):
+    page = "<p>One<br>two</p><script>no</script><figure><img src='sha256:" + "a" * 64 + "' alt='old'><figcaption>A <b>cat</b></figcaption></figure><p>three<img src=x>"
+    got = media.interleave(page)
+    assert [(s["pos"], s["kind"], s["text"], s["caption"]) for s in got] == [(0, "text", "One\ntwo", None), (1, "media", None, "A cat"), (2, "text", "three", None), (3, "media", None, None)]
+    assert media.interleave(None) == media.interleave("") == [] and media.interleave("<p>a &amp; b") [0]["text"] == "a & b"
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    features = spark.createDataFrame([("a" * 64, 5)], "digest string, media_bytes int")
+    rows = media.resolve(media.interleaved(df, "page_id", "html"), features).orderBy("pos").collect()
+    assert [(r["pos"], r["media_bytes"]) for r in rows] == [(0, None), (1, 5), (2, None), (3, None)]
+
+
+# 10 secrets
+
+
+def test_secrets(spark, odd, empty, tmp_path):
+    text = "é password= 'abc' Api_Key: \"abc123+/\" AKIA" + "A" * 16 + " AKIASHORT " + "0123456789abcdef" * 2 + " ſecret=abcdefg -----BEGIN RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    assert (got[1]["n_assign"], got[1]["n_access"], got[1]["n_hex"]) == (1, 1, 1)
+    base = [x for x in got[1]["spans"].split(",") if not x.startswith("pem")]
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and "pem:" in got[1]["spans"]
+    assert got[1]["spans"] == got[2]["spans"] and got[3]["spans"] == "" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(empty).count() == 0
+    ledger = secrets.BlobLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.scan(df)
+    n = ledger.findings().count()
+    ledger.scan(df.union(spark.createDataFrame([(4, "token=abcdef1")], df.schema)), version="2")
+    assert n == 2 and ledger.findings().count() == 3
+    changed = tuple(secrets.Rule(r.kind, "2" if r.kind == "hex" else "1", r.pattern, r.group, r.least, r.needs) for r in secrets.RULES)
+    found = {r["path"]: r["found"] for r in ledger.scan(df, rules=changed).collect()}
+    assert ledger.findings().count() == 5 and [m for r in ledger.findings().collect() for m in r["rules"]].count("hex@2") == 2
+    assert set(found[1]) == {"assign", "access", "hex", "pem"}
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "pack":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    read = lambda n: {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/{n}").collect()}
+    lines, near, clean = read("line_dedup"), read("near_dedup"), read("decontaminate")
+    assert {i: t for i, _, _, t in brute_lines(list(read("quality").items()))} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in lines.items()}
+    _, comp = brute_components(list(lines.items()))
+    assert set(near) == {i for i in lines if comp[i] == i}
+    assert set(clean) <= set(near) and set(docs.select("doc_id").distinct().toPandas()["doc_id"]) == set(clean)
