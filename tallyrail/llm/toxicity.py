@@ -36,8 +36,12 @@ _CORE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 def names(token: str) -> list[str]:
     """Names of a token's features: its lower-case core, beginnings and endings."""
-    core = _CORE.sub("", token.lower())[:64]
-    return [f"={core}", *(f"^{core[:n]}" for n in range(3, min(9, len(core) + 1))), *(f"{core[-n:]}$" for n in (3, 4) if len(core) >= n)]
+    core = token.lower()
+    if not core.isalpha():
+        core = _CORE.sub("", core)
+    core = core[:64]
+    size = len(core)
+    return [f"={core}", *[f"^{core[:n]}" for n in range(3, min(9, size + 1))], *[f"{core[-n:]}$" for n in (3, 4) if size >= n]]
 
 
 def features(token: str) -> list[int]:
@@ -105,7 +109,15 @@ class ToxicModel:
     fit: np.ndarray
 
     def memo(self, cap: int = 300_000) -> TwoGenerations:
-        return TwoGenerations(lambda token: self.bias + float(self.weights[features(token)].sum()), cap)
+        """A token's log-odds by token; beginnings and endings are few and are kept likewise."""
+        weights = self.weights.tolist()
+        part = TwoGenerations(lambda name: weights[bucket(name, BITS)], cap).__getitem__
+
+        def value(token: str) -> float:
+            core, *parts = names(token)
+            return self.bias + weights[bucket(core, BITS)] + sum(map(part, parts))
+
+        return TwoGenerations(value, cap)
 
     def marginals(self, texts: list[list[str]], memo: TwoGenerations) -> list[np.ndarray]:
         """Probabilities of the toxic tag for the tokens of each text."""
