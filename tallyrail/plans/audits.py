@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyrail.operators import audit as a
 from tallyrail.operators import sequences as s
+from tallyrail.operators import validation
 from tallyrail.plans.catalog import query
 from tallyrail.plans.reports import state_transitions
 from tallyrail.session import read_table
@@ -117,3 +119,69 @@ def evidence_dedupe(spark, sf_dir):
     """The first piece of evidence of each group and kind."""
     e = read_table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
     return s.first_of(e, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query(
+    "q38_merge_labels",
+    """
+    WITH t AS (SELECT user_id AS line, event_id AS chunk, list_sort(CASE WHEN value > 50 THEN [event_type] ELSE [event_type, 'low'] END) AS labels FROM events)
+    SELECT line, array_to_string(list_sort(list_distinct(flatten(list(labels)))), ',') AS labels, count(DISTINCT labels) > 1 AS conflict FROM t GROUP BY line
+    """,
+)
+def merge_labels(spark, sf_dir):
+    """Union of the labels that overlapping chunks give a line, with the conflicts."""
+    e = read_table(spark, sf_dir, "events").where("event_type IS NOT NULL")
+    labels = F.when(F.col("value") > 50, F.array("event_type")).otherwise(F.array(F.col("event_type"), F.lit("low")))
+    rows = e.select(F.col("user_id").alias("line"), F.col("event_id").alias("chunk"), labels.alias("labels"))
+    out = s.merge_labels(rows, ["line"], "chunk", "labels", "union")
+    return out.withColumn("labels", F.array_join("labels", ","))
+
+
+@query(
+    "q39_round_robin_budget",
+    """
+    WITH t AS (SELECT user_id, event_type AS slot, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i, slot) AS turn FROM t)
+    SELECT user_id, slot, event_id, i, turn FROM r WHERE turn <= 4
+    """,
+)
+def round_robin_budget(spark, sf_dir):
+    """A probe budget that the slots of a group share by turns."""
+    e = read_table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("slot"), "event_id")
+    numbered = e.withColumn("i", F.row_number().over(Window.partitionBy("user_id", "slot").orderBy("event_id")))
+    return s.round_robin_budget(numbered, ["user_id"], "slot", "i", 4)
+
+
+@query(
+    "q40_best_so_far",
+    "SELECT user_id, arg_max(event_id, (value, -event_id)) AS event_id FROM events WHERE value IS NOT NULL GROUP BY user_id",
+)
+def best_so_far(spark, sf_dir):
+    """The best attempt of each refinement, the earliest on a tie."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "value").where("value IS NOT NULL").withColumn("at", F.col("event_id"))
+    return s.best_so_far(e, ["user_id"], ["value"], "at", "event_id")
+
+
+@query(
+    "q41_stagnation",
+    """
+    WITH t AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM t)
+    SELECT DISTINCT user_id FROM (SELECT user_id, run FROM r GROUP BY 1, 2 HAVING count(*) >= 3)
+    """,
+)
+def stagnation(spark, sf_dir):
+    """Users with three or more equal outcomes in a row."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return s.stagnant(e, ["user_id"], ["ts", "event_id"], "event_type", 3)
+
+
+@query(
+    "q42_row_errors",
+    """
+    SELECT o_orderkey, unnest(list_filter([CASE WHEN NOT coalesce(o_totalprice > 1000, false) THEN 'price' END, CASE WHEN NOT coalesce(o_orderstatus IN ('F', 'O'), false) THEN 'status' END], lambda x: x IS NOT NULL)) AS error FROM orders
+    """,
+)
+def row_errors(spark, sf_dir):
+    """Broken row constraints, one row each."""
+    return validation.row_errors(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), ["o_orderkey"], {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("F", "O")})
