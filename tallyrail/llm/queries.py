@@ -71,4 +71,4 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
 }
-ORACLE = {"op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE}
+ORACLE = {"op1_near_dedup": minhash.ORACLE, "op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE}
