@@ -63,14 +63,9 @@ class TwoGenerations(dict):
         return value
 
 
-def word_hashes(cap: int = 300_000) -> TwoGenerations:
-    """Memo of the 64-bit hash of a word."""
-    return TwoGenerations(xxhash.xxh3_64_intdigest, cap)
-
-
-def hashed(words: list[bytes], memo: TwoGenerations) -> np.ndarray:
-    """The words' hashes as uint64."""
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The words' 64-bit hashes; hashing a word costs less than looking it up in a memo of millions."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

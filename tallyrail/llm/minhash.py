@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import bounded_batches, hashed, mix, shared_dir, word_hashes, words_of, written
+from tallyrail.llm.common import bounded_batches, hashed, mix, shared_dir, words_of, written
 
 WORDS = 5
 BANDS, ROWS = 48, 5
@@ -91,15 +91,14 @@ def profiles(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: set size, 128-bit digest of its shingle set, band keys and an 8-bit sketch of its signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = word_hashes()
         for pdf in batches:
-            yield from _blocks(pdf["doc_id"].astype("Int64").tolist(), pdf["text"], memo)
+            yield from _blocks(pdf["doc_id"].astype("Int64").tolist(), pdf["text"])
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PROFILE)
 
 
-def _blocks(ids: list, texts, memo, elements: int = 100_000) -> Iterator[pd.DataFrame]:
+def _blocks(ids: list, texts, elements: int = 50_000) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     held = 0
 
@@ -119,7 +118,7 @@ def _blocks(ids: list, texts, memo, elements: int = 100_000) -> Iterator[pd.Data
         return pdf
 
     for i, text in zip(ids, texts, strict=True):
-        s = shingle_set(hashed(words_of(text), memo))
+        s = shingle_set(hashed(words_of(text)))
         rows.append((i, s))
         held += len(s)
         if held >= elements:
@@ -260,9 +259,8 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
     suspects = members.select("node").distinct()
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = word_hashes()
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(hashed(words_of(t), memo)).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(hashed(words_of(t))).tobytes() for t in pdf["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(suspects.hint("shuffle_hash"), "node")
     sets = written(texts.mapInPandas(to_sets, "node long, shingles binary"), f"{path}/sets")
@@ -273,7 +271,7 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
         return pd.Series([np.mean(np.frombuffer(bytes(a), np.uint8) == np.frombuffer(bytes(b), np.uint8)) >= ESTIMATE for a, b in zip(x, y, strict=True)], dtype=bool)
 
     def verified(units: DataFrame, name: str) -> DataFrame:
-        found = _by_unit(units.join(sets, "node").select("u1", "u2", "u3", "side", "node", "shingles")).mapInPandas(_verify, "a long, b long")
+        found = _by_unit(units.hint("shuffle_hash").join(sets, "node").select("u1", "u2", "u3", "side", "node", "shingles")).mapInPandas(_verify, "a long, b long")
         return written(found.distinct(), f"{path}/{name}")
 
     star = members.where("node <> lead").select("lead", "node").distinct()
