@@ -212,12 +212,35 @@ def _by_unit(rows: DataFrame) -> DataFrame:
     return rows.repartition("u1", "u2", "u3").sortWithinPartitions("u1", "u2", "u3", "side")
 
 
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over a partition's links: each node that is not its tree's smallest, with that node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            a, b = root(a), root(b)
+            parent.setdefault(min(a, b), min(a, b))
+            parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    yield pd.DataFrame({"a": nodes, "b": [parent[x] for x in nodes]}, dtype="int64")
+
+
 def components(links: DataFrame, path: str) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the smallest node reachable.
 
-    Each round takes the least label among a node and its neighbours, then the
-    label of that label; a round's labels are a written table.
+    A partition's links are first united among themselves, which leaves a star a
+    tree. Then each round takes the least label among a node and its neighbours,
+    and the label of that label; a round's labels are a written table.
     """
+    links = links.select("a", "b").mapInPandas(_united, "a long, b long")
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{path}/links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{path}/labels-0")
     for i in range(1, 200):
