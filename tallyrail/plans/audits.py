@@ -68,14 +68,14 @@ def score(spark, sf_dir):
     d AS (SELECT sample, count(*) FILTER (WHERE ok) AS passing, count(*) FILTER (WHERE ok AND best - total < 0.05) AS near,
                  first(contract_id ORDER BY ok DESC, total DESC, contract_id) AS top FROM k GROUP BY 1)
     SELECT sample, CASE WHEN passing = 0 THEN 'rejected' WHEN near > 1 THEN 'ambiguous' ELSE 'accepted' END AS decision,
-           CASE WHEN passing > 0 AND near <= 1 THEN top END AS selected, CASE WHEN passing > 0 AND near > 1 THEN near ELSE 0 END AS competitors FROM d""",
+           CASE WHEN passing > 0 AND near <= 1 THEN top::VARCHAR END AS selected, CASE WHEN passing > 0 AND near > 1 THEN near ELSE 0 END AS competitors FROM d""",
 )
 def audit(spark, sf_dir):
     """Accepted, ambiguous or rejected, by thresholds and the margin to the runner-up."""
     scores = a.score(order_observations(spark, sf_dir)).withColumn("sample", F.col("contract_id") % 50).withColumn("total", F.round("total", 6))
     scores = scores.withColumns({c: F.round(c, 9) for c in a.WEIGHTS})
     out = a.audit(scores, ["sample"], min_safe=2, thresholds={"valid": 0.5, "stable": 0.3, "effect": 0.05, "boundary": 0.5})
-    return out.select("sample", "decision", "selected", F.col("competitors").cast("long").alias("competitors"))
+    return out.select("sample", "decision", F.col("selected").cast("string").alias("selected"), F.col("competitors").cast("long").alias("competitors"))
 
 
 @query(

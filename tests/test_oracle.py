@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tallyrail.plans import own
@@ -22,9 +24,9 @@ def duck():
 
 def rows(df):
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
-        return repr(round(float(v), 6)) if isinstance(v, (int, float)) else str(v)
+        return repr(round(float(v), 6)) if isinstance(v, (int, float, np.number)) else str(v)
 
     return sorted(tuple(cell(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
