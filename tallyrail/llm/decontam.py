@@ -12,10 +12,16 @@ documents, none of which moves a text:
 3. passages are projected and compared with all item passages by cosine, in
    blocks; near ones are checked in their document by the longest common
    subsequence of the item and the words where it would lie, and by its answer.
+
+What the latent search finds depends on where the passages fall. So the third
+pass also looks at every place that can hold a leak by its definition: a leak of
+the larger part has one of the item's rarest words, a lesser one the answer, and
+both have enough of the item's words within the length that a leak may take.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyrail.llm.common import bounded_batches
 
 WINDOW, STEP, ITEM_STEP = 16, 8, 4
-#: Vocabulary words that a document's passage needs to be looked at further; items shorter than that lower it.
+#: Vocabulary words that a document's passage needs for the latent search; items shorter than that lower it.
 SHARED = 11
 #: Latent dimensions, least cosine of two passages, and part of the item passage's words that the other must hold too.
 RANK, COSINE, COMMON = 64, 0.6, 0.5
@@ -185,6 +191,80 @@ def shared(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
+def needed(length: int, part: float) -> int:
+    """The least number of words that is ``part`` of ``length``."""
+    n = math.ceil(part * length)
+    return n - 1 if (n - 1) / length >= part else n
+
+
+def room(length: int) -> int:
+    """Words of a document that a leak of an item of ``length`` words may take."""
+    return length + 2 * max(4, length // 4)
+
+
+class Places:
+    """Every place of a document that can hold a leak, by bounds that no leak fails.
+
+    Of an item's words ``needed(LEAK)`` are matched, hence one of the rarest of
+    all but that many less one; a lesser leak has the answer. A hit stays if some
+    stretch of ``room`` words around it has enough words of the item, in any order.
+    """
+
+    def __init__(self, items: Items, found: np.ndarray) -> None:
+        size = len(items.vocabulary) + 1
+        rare: list[list[int]] = [[] for _ in range(size)]
+        self.ids, self.answers = items.ids, {}
+        self.first, self.last = {}, {}
+        for n, own in enumerate(items.ids):
+            for w in set(sorted(own, key=lambda w: (found[w], w))[: len(own) - needed(len(own), LEAK) + 1]):
+                rare[w].append(n)
+            answer = tuple(own[-ANSWER:])
+            self.answers.setdefault(answer, []).append(n)
+            for flags, w in ((self.first, answer[0]), (self.last, answer[-1])):
+                flags.setdefault(len(answer), np.zeros(size, bool))[w] = True
+        self.counts = np.array([len(r) for r in rare])
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.owner = np.array([n for r in rare for n in r], np.int64)
+        self.pad = max(room(len(i)) for i in items.ids)
+
+    def hits(self, flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(item, places of its rare words or answer, words needed)."""
+        n = self.counts[flat]
+        at, total = np.repeat(np.arange(len(flat)), n), int(n.sum())
+        owner = self.owner[np.repeat(self.begin[flat] - (np.cumsum(n) - n), n) + np.arange(total)]
+        order = np.argsort(owner, kind="stable")
+        at, owner = at[order], owner[order]
+        cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+        for part in np.split(np.arange(total), cut) if total else []:
+            item = int(owner[part[0]])
+            yield item, at[part], needed(len(self.ids[item]), LEAK)
+        answered: dict[int, list[int]] = {}
+        for length, first in self.first.items():
+            end = max(0, len(flat) - length + 1)
+            for p in np.flatnonzero(first[flat[:end]] & self.last[length][flat[length - 1 :]]).tolist():
+                for item in self.answers.get(tuple(flat[p : p + length].tolist()), ()):
+                    answered.setdefault(item, []).append(p)
+        for item, places in answered.items():
+            yield item, np.array(places), needed(len(self.ids[item]), LEAK_WITH_ANSWER)
+
+    def of(self, flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """The hits that stay; ``flat`` may be several documents, one after the other."""
+        padded = np.concatenate((np.full(self.pad, -1), flat, np.full(self.pad, -1)))
+        holds = np.zeros(len(self.counts), np.int8)
+        for item, at, least in self.hits(flat):
+            wide = room(len(self.ids[item]))
+            holds[self.ids[item]] = 1
+            for lo in range(0, len(at), 4096):
+                part = at[lo : lo + 4096]
+                held = holds[padded[part[:, None] + np.arange(self.pad - wide + 1, self.pad + wide)]]
+                total = np.zeros((len(part), 2 * wide), np.int32)
+                np.cumsum(held, axis=1, out=total[:, 1:])
+                stay = part[(total[:, wide:] - total[:, :wide]).max(1) >= least]
+                if len(stay):
+                    yield item, stay, least
+            holds[self.ids[item]] = 0
+
+
 def latent(docs: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
     """Orthonormal basis (words x rank) of the range of the passages' TF-IDF matrix, found at random.
 
@@ -236,6 +316,9 @@ def latent(docs: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, see
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, answer, start, end) of each item found in each document.
 
+    A leak is LEAK of the item's words in order within ``room`` words of the
+    document, or LEAK_WITH_ANSWER with the answer among them; none is missed.
+
     ``overlap`` is the part of the item's words found in order, ``answer``
     whether its last words are there too, ``start`` and ``end`` the words looked
     at. A pair counts once, with its best place. Null and empty texts and items
@@ -258,17 +341,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     targets = unit(project(own, table)).T.copy()
     masks = [place_masks(i) for i in items.ids]
     answers = [i[-ANSWER:] for i in items.ids]
-    model = docs.sparkSession.sparkContext.broadcast((items, table, targets, masks, answers, own, (own >= 0).sum(1)))
+    model = docs.sparkSession.sparkContext.broadcast((items, table, targets, masks, answers, own, (own >= 0).sum(1), Places(items, found)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, table, targets, masks, answers, own, sizes = model.value
+        items, table, targets, masks, answers, own, sizes, places = model.value
         least = items.least()
 
         def check(ids: list[int], n: int, start: int) -> tuple[float, bool, int, int] | None:
             length = len(items.ids[n])
             slack = max(4, length // 4)
-            a, b = max(0, start - slack), min(len(ids), start + length + slack)
-            part = ids[a:b]
+            return judge(ids, n, max(0, start - slack), min(len(ids), start + length + slack))
+
+        def judge(ids: list[int], n: int, a: int, b: int) -> tuple[float, bool, int, int] | None:
+            length, part = len(items.ids[n]), ids[a:b]
             overlap = lcs(masks[n], length, part) / length
             if overlap < LEAK_WITH_ANSWER:
                 return None
@@ -276,6 +361,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             has = any(part[i : i + len(want)] == want for i in range(len(part) - len(want) + 1))
             return (overlap, has, a, b) if overlap >= LEAK or has else None
 
+        def everywhere(held: list[tuple], seen: dict[tuple, tuple]) -> None:
+            """Add the leaks of all places that can hold one."""
+            begin = np.cumsum([0] + [len(ids) for _, ids, _ in held])
+            spans: dict[tuple, list[tuple[int, int, int]]] = {}
+            for n, at, least in places.of(np.concatenate([ids for _, ids, _ in held])):
+                doc, wide = np.searchsorted(begin, at, "right") - 1, room(len(items.ids[n]))
+                for d, p in zip(doc.tolist(), (at - begin[doc]).tolist(), strict=True):
+                    spans.setdefault((d, n), []).append((max(0, p - wide + 1), p, least))
+            for (d, n), span in spans.items():
+                merged: list[list[int]] = []
+                for a, b, least in sorted(span):
+                    if merged and a <= merged[-1][1] + 1:
+                        merged[-1][1:] = max(merged[-1][1], b), min(merged[-1][2], least)
+                    else:
+                        merged.append([a, b, least])
+                ids, length, has = held[d][1].tolist(), len(items.ids[n]), masks[n]
+                wide = room(length)
+                for a, b, least in merged:
+                    if seen.get((d, n), (0,))[0] == 1.0:
+                        break
+                    if lcs(has, length, ids[a : b + wide]) < least:
+                        continue
+                    # A leak can be moved so that it starts with a word of the item.
+                    for start in range(a, b + 1):
+                        if ids[start] in has and (got := judge(ids, n, start, min(len(ids), start + wide))) and got > seen.get((d, n), (0.0,)):
+                            seen[d, n] = got
+                            if got[0] == 1.0:
+                                break
+
         def flush(held: list[tuple]) -> Iterator[pd.DataFrame]:
             rows = np.concatenate([grid(ids, starts) for _, ids, starts in held])
             doc = np.repeat(np.arange(len(held)), [len(s) for *_, s in held])
@@ -298,23 +412,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     got = check(listed[dk], nk, int(first[k]))
                     if got and got > seen.get((dk, nk), (0.0,)):
                         seen[dk, nk] = got
+            everywhere(held, seen)
             out = [(held[d][0], items.item_ids[n], *v) for (d, n), v in seen.items()]
             pdf = pd.DataFrame(out, columns=["doc_id", "item_id", "overlap", "answer", "start", "end"])
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             yield pdf
 
         held: list[tuple] = []
-        size = 0
+        size = total = 0
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
                 ids = items.numbers(text)
                 starts = windows(ids, least)
-                if len(starts):
+                if len(ids):
                     held.append((None if doc_id is pd.NA else int(doc_id), ids, starts))
                     size += len(starts)
-                if size >= 4096:
+                    total += len(ids)
+                if size >= 4096 or total >= 1 << 18:
                     yield from flush(held)
-                    held, size = [], 0
+                    held, size, total = [], 0, 0
         if held:
             yield from flush(held)
 

@@ -133,6 +133,44 @@ def test_leaks(spark):
     assert decontam.leaks(d.limit(0), b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_of_reworded_items_at_every_offset(spark):
+    """Half to 0.7 of an item's words kept, with its answer, or 0.7 of them without; checked against all places."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfghkm" for b in "aeiou" for c in ("n", "r", "st", "l")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((15, 16, 20, 31, 40, 59))]
+    docs, want = [], set()
+    for i, t in items:
+        own = t.split()
+        for offset in range(8):
+            for part in (0.5, 0.6, 0.7, 0.45):
+                out = set(rng.sample(range(len(own) - 4), len(own) - int(np.ceil(round(part * len(own), 6)))))
+                reworded = [f"zz{at}" if at in out else w for at, w in enumerate(own)]
+                doc = [f"yy{rng.randrange(99)}" for _ in range(24 + offset)] + reworded + ["yy"] * 30
+                docs.append((len(docs), " ".join(doc)))
+                if (len(own) - len(out)) / len(own) >= 0.5:
+                    want.add((docs[-1][0], i))
+            out = set(rng.sample(range(len(own)), int(0.3 * len(own)))[:-1] + [len(own) - 1])
+            docs.append((len(docs), " ".join(["yy"] * (24 + offset) + ["zz" if at in out else w for at, w in enumerate(own)] + ["yy"] * 30)))
+            if (len(own) - len(out)) / len(own) >= 0.7:
+                want.add((docs[-1][0], i))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()}
+
+    known = decontam.Items.of(items)
+    brute = set()
+    for doc_id, text in docs:
+        ids = known.numbers(text).tolist()
+        for n, own in enumerate(known.ids):
+            wide, masks = (len(own) + 2 * max(4, len(own) // 4)), decontam.place_masks(own)
+            for at in range(max(1, len(ids) - wide + 1)):
+                part = ids[at : at + wide]
+                overlap = decontam.lcs(masks, len(own), part) / len(own)
+                if overlap >= 0.7 or overlap >= 0.5 and any(part[i : i + 4] == own[-4:] for i in range(len(part))):
+                    brute.add((doc_id, known.item_ids[n]))
+                    break
+    assert want <= brute and got == brute
+
+
 def test_lcs():
     rng = random.Random(3)
     for _ in range(100):
