@@ -179,8 +179,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of each unit that have a candidate on the other side, in another component.
 
-    A pair counts in the first band in which it collides, seen from its sketches, so
-    that it is not taken up again in the buckets of other bands.
+    A pair counts in the first band whose key it shares, so that it is not taken up
+    again in the buckets of other bands. Sketches can agree in a band whose keys differ.
     """
     for held, rows in _units(batches, ["u1", "u2", "u3"]):
         left = np.stack([np.frombuffer(bytes(s), np.uint8) for s in held["sketch"]])
@@ -195,7 +195,8 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             near &= 100 * np.minimum(n, m) >= 75 * np.maximum(n, m)
             i, j = np.nonzero(near)
             if len(i):
-                first = same[i, j].reshape(-1, BANDS, ROWS).all(2).argmax(1) == part["band"].to_numpy()[i]
+                keys = np.stack(part["bands"].to_numpy())[i] == np.stack(held["bands"].to_numpy())[j]
+                first = keys.argmax(1) == part["band"].to_numpy()[i]
                 i, j = i[first], j[first]
                 seen[j] = True
                 hit = part.iloc[np.unique(i)]
@@ -288,6 +289,7 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(suspects.hint("shuffle_hash"), "node")
     sets = written(texts.mapInPandas(to_sets, "node long, shingles binary"), f"{path}/sets")
     sketches = nodes.select("node", "n", "sketch")
+    keyed = nodes.select("node", "n", "sketch", "bands")
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -319,7 +321,7 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = rest.where("component <> main").select(F.col("key").alias("u1"), number("blocks").alias("u2"), all_of("chunks").alias("u3"), F.lit(0).alias("side"), "node", "component", "band")
     others = rest.select(F.col("key").alias("u1"), number("chunks").alias("u3"), all_of("blocks").alias("u2"), F.lit(1).alias("side"), "node", "component", "band")
-    meeting = outside.unionByName(others).join(sketches, "node").select("u1", "u2", "u3", "side", "node", "component", "band", "n", "sketch")
+    meeting = outside.unionByName(others).join(keyed, "node").select("u1", "u2", "u3", "side", "node", "component", "band", "n", "sketch", "bands")
     units = written(_by_unit(meeting).mapInPandas(_meet, UNIT).distinct(), f"{path}/meeting")
     links = written(links.union(verified(units, "links-2")), f"{path}/links")
     labels = components(links, f"{path}/last")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,16 @@ def test_components_of_long_chains(spark, tmp_path):
     assert set(got.values()) == {0, 100} and got[60] == 0
 
 
+def test_pairs_whose_sketches_agree_in_a_band_without_a_common_key():
+    """An earlier band's sketches collide though its keys differ: the pair still counts, once, in its first common bucket."""
+    keys = np.arange(2 * minhash.BANDS).reshape(2, -1)
+    keys[1, [7, 20]] = keys[0, [7, 20]]
+    sketch = bytes(minhash.SLOTS)
+    for band, want in ((7, {1, 2}), (20, set())):
+        rows = [{"u1": int(keys[0, band]), "u2": 0, "u3": 0, "side": k, "node": k + 1, "component": k + 1, "band": band, "n": 100, "sketch": sketch, "bands": keys[k]} for k in (0, 1)]
+        assert {x for part in minhash._meet(iter([pd.DataFrame(rows)])) for x in part["node"]} == want
+
+
 # 2 decontamination
 
 
