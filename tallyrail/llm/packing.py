@@ -13,6 +13,7 @@ the other windows have. No rows move between partitions.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ CAPACITY = 2048
 END_ID = 1
 #: Windows that a block of leftovers aims at; bounds a block's memory and its padding (a window at most, per block).
 BLOCK_WINDOWS = 96
-#: Share by which the window count may rise before leftovers are cut instead.
+#: Share by which the window count may rise, by one at least, before leftovers are cut instead.
 SLACK = 0.01
 
 
@@ -65,7 +66,7 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY, slack: float = SLACK)
     """Windows of (item, start, length) that hold every item whole or cut, none above ``capacity``."""
     total = sum(sizes)
     least = max(1, -(-total // capacity))
-    most = least + int(least * slack)
+    most = least + math.ceil(least * slack)
     for k in range(least, most + 1):
         groups = difference(sizes, k)
         sums = [sum(sizes[i] for i in g) for g in groups]

@@ -247,6 +247,14 @@ def test_windows_hold_everything():
                 at += length
             assert at == sizes[i]
         assert len(held) == n and len(windows) <= 1.011 * -(-sum(sizes) // packing.CAPACITY) + 1
+    # A block as large as production's: one more window than the least holds every leftover whole.
+    rng, sizes = random.Random(5), []
+    for _ in range(5):
+        sizes = []
+        while sum(sizes) < packing.BLOCK_WINDOWS * packing.CAPACITY:
+            sizes.append(max(1, min(packing.CAPACITY - 1, int(rng.expovariate(1 / 600)))))
+    least = -(-sum(sizes) // packing.CAPACITY)
+    assert len(packing.windows_of(sizes)) == least + 1 and sum(map(len, packing.windows_of(sizes))) == len(sizes)
     assert sorted(map(sorted, packing.difference([8, 7, 6, 5, 4], 2))) == [[0, 3], [1, 2, 4]] or max(sum([8, 7, 6, 5, 4][i] for i in g) for g in packing.difference([8, 7, 6, 5, 4], 2)) <= 16
 
 
