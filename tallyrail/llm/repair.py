@@ -2,7 +2,8 @@
 
 Documents are dealt by ranges of doc_id and sorted, so shards follow doc_id. A
 shard's ids are compressed by Re-Pair: the frequent pairs of adjacent symbols
-are counted over the whole shard and replaced by new symbols, round by round.
+are counted over the whole shard and replaced by new symbols, round by round,
+until no pair is frequent or the 16-bit symbols are used up.
 One round replaces many pairs at once, chosen by falling count so that no two
 can overlap (a symbol is used as a left part or as a right part, never both).
 Pairs do not cross documents, so any document can be decoded alone; the
@@ -31,8 +32,8 @@ from tallyrail.llm.tokens import tokenizer
 
 MAGIC = b"RPG1"
 END_ID = 2
-#: Tokens of a shard, its rounds, the pairs replaced in a round, and the least count of a pair worth a rule.
-SHARD_TOKENS, ROUNDS, PAIRS, LEAST = 1 << 20, 3, 4096, 24
+#: Tokens of a shard, the pairs replaced in a round, and the least count of a pair worth a rule.
+SHARD_TOKENS, PAIRS, LEAST = 1 << 20, 4096, 24
 SHARD = "part int, shard int, n_docs int, n_tokens long, data binary"
 
 
@@ -79,9 +80,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and top < 0xFFFF:
         codes = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
         chosen = _choose(codes[~last[:-1]])[: 0xFFFF - top]
         if not len(chosen):

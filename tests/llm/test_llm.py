@@ -285,6 +285,15 @@ def test_repair_round_trip(monkeypatch):
         repair.load(repair.dump([1], docs[:1], 49408) + b"x")
 
 
+def test_shards_of_repeated_documents():
+    """Rounds go on while pairs are frequent: copies of a passage end as a few symbols each, and none reaches LEAST."""
+    passage = np.random.default_rng(7).integers(0, 40000, 700).astype(np.int32)
+    docs = [passage] * 500
+    shard = repair.load(repair.dump(list(range(500)), docs, 49408))
+    assert (repair.expand(shard) == np.concatenate(docs)).all() and len(shard.seq) == 500
+    assert (repair.document(shard, 77) == passage).all() and repair.token_at(shard, 3, 699) == passage[699]
+
+
 # 4 and 8 models
 
 
