@@ -39,7 +39,6 @@ def names(token: str) -> list[str]:
     core = token.lower()
     if not core.isalpha():
         core = _CORE.sub("", core)
-    core = core[:64]
     size = len(core)
     return [f"={core}", *[f"^{core[:n]}" for n in range(3, min(9, size + 1))], *[f"{core[-n:]}$" for n in (3, 4) if size >= n]]
 

@@ -335,6 +335,12 @@ def test_toxicity(spark, labels, odd, empty):
         assert [0 <= r["score"] <= 1 for r in toxicity.classify(d, labels).collect()] == [True] * d.count()
 
 
+def test_names_of_long_tokens():
+    """A token's name and endings are those of the whole core, however long."""
+    a, b = toxicity.names("a" * 70 + "xyzw!"), toxicity.names("a" * 70 + "stuv!")
+    assert a[0] == "=" + "a" * 70 + "xyzw" and a[-2:] == ["yzw$", "xyzw$"] and a[0] != b[0] and a[1:7] == b[1:7]
+
+
 def test_chain_equals_enumeration():
     rng = np.random.default_rng(2)
     score, trans = rng.normal(0, 2, 12), rng.normal(0, 1, (2, 2))
