@@ -4,26 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of documents that a Python worker holds at a time; a documented memory bound, not a cap on work.
+#: Rows of documents that a Python worker turns over at a time; a memory bound, not a cap on work.
 ROWS_IN_HAND = 1000
 
 
-def bounded_batches(spark: SparkSession, rows: int = ROWS_IN_HAND) -> None:
-    """Let Arrow batches hold at most ``rows`` rows, so that long texts fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def parts(batches: Iterator[pd.DataFrame], rows: int = ROWS_IN_HAND) -> Iterator[pd.DataFrame]:
+    """The batches' rows, at most ``rows`` at a time. Spark bounds a batch's bytes (64 MB unless the session says otherwise)."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset, on one machine, below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         base = f"file://{tempfile.mkdtemp(prefix='tallyrail-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tallyrail-{uuid.uuid4().hex}"
@@ -35,6 +41,42 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a joining task takes at least, and the most keys that are split over several tasks.
+KEY_ROWS, HOT_KEYS = 256, 10_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where a key may hold a large share of ``left``'s rows.
+
+    ``counts`` has (key, n): a key's rows in ``left``; ``right`` has a row per key.
+    Keys of many rows are split by the hash of ``by`` and their row of ``right`` is
+    repeated for each part. These keys are handed to all tasks: as each has more
+    than the HOT_KEYS-th part of all rows, there are HOT_KEYS of them at most.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(KEY_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_parts")))
+    ways = F.coalesce("_parts", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), ways).cast("int")).drop("_parts")
+    right = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def latest_number(spark: SparkSession, path: str, prefix: str) -> int:
+    """The largest n with a wholly written table ``prefix``-n below ``path``; -1 if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}-*/_SUCCESS")
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return max((int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in found or ()), default=-1)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased, split at the six ASCII white-space characters, UTF-8 bytes.
 

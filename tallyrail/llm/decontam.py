@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import bounded_batches
+from tallyrail.llm.common import parts
 
 WINDOW, STEP, ITEM_STEP = 16, 8, 4
 #: Vocabulary words that a document's passage needs for the latent search; items shorter than that lower it.
@@ -135,7 +135,6 @@ def project(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
@@ -145,7 +144,7 @@ def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, total = np.zeros(size, np.int64), 0
-        for pdf in batches:
+        for pdf in parts(batches):
             for text in pdf["text"]:
                 ids = items.numbers(text)
                 starts = windows(ids)
@@ -281,7 +280,7 @@ def latent(docs: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, see
         out = np.zeros((size, rank))
         held: list[np.ndarray] = []
         size_held, least = 0, items.least()
-        for pdf in batches:
+        for pdf in parts(batches):
             for text in pdf["text"]:
                 ids = items.numbers(text)
                 starts = windows(ids, least)
@@ -420,7 +419,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         held: list[tuple] = []
         size = total = 0
-        for pdf in batches:
+        for pdf in parts(batches):
             for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
                 ids = items.numbers(text)
                 starts = windows(ids, least)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import bounded_batches, hashed, mix, shared_dir, words_of, written
+from tallyrail.llm.common import hashed, mix, parts, shared_dir, words_of, written
 
 WORDS = 5
 BANDS, ROWS = 48, 5
@@ -91,10 +91,8 @@ def profiles(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: set size, 128-bit digest of its shingle set, band keys and an 8-bit sketch of its signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in parts(batches):
             yield from _blocks(pdf["doc_id"].astype("Int64").tolist(), pdf["text"])
-
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PROFILE)
 
 
@@ -225,7 +223,7 @@ def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x], x = top, parent.get(x, x)
         return top
 
-    for pdf in batches:
+    for pdf in parts(batches):
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
             a, b = root(a), root(b)
             parent.setdefault(min(a, b), min(a, b))
@@ -272,7 +270,6 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    bounded_batches(spark)
     rows = written(profiles(docs), f"{path}/profiles")
     full = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -283,7 +280,7 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
     suspects = members.select("node").distinct()
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in parts(batches):
             yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(hashed(words_of(t))).tobytes() for t in pdf["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(suspects.hint("shuffle_hash"), "node")
@@ -313,8 +310,8 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     known = members.select("key", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = written(known, f"{path}/known")
-    parts = known.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    shares = known.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("key").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select("key", "main", F.ceil((F.col("size") - F.col("most")) / HELD).cast("int").alias("blocks"), F.ceil(F.col("size") / STREAMED).cast("int").alias("chunks"))
     rest = known.join(mixed, "key")
     number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")

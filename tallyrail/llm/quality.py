@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import TwoGenerations, bounded_batches
+from tallyrail.llm.common import TwoGenerations, parts
 from tallyrail.llm.training import Ragged, bucket, fold, sample
 
 BITS, DIM, EPOCHS, BATCH, RATE = 17, 8, 6, 32, 0.6
@@ -158,10 +158,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         memo = model.memo()
-        for pdf in batches:
+        for pdf in parts(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": [model.score(t, memo) for t in pdf["text"]]})
-
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
 
 
@@ -175,8 +173,6 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
         memo = model.memo()
         for batch in batches:
             yield batch.filter(pa.array([model.score(t, memo) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
-
-    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

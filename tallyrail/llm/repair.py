@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import bounded_batches, shared_dir, written
+from tallyrail.llm.common import parts, shared_dir, written
 from tallyrail.llm.tokens import tokenizer
 
 MAGIC = b"RPG1"
@@ -52,16 +52,17 @@ class Shard:
 
 
 def _choose(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of pairs to replace in this round, most frequent first, free of overlap."""
-    found, count = np.unique(codes, return_counts=True)
-    keep = np.flatnonzero(count >= LEAST)
-    if len(keep) > 4 * PAIRS:
-        keep = keep[np.argpartition(-count[keep], 4 * PAIRS)[: 4 * PAIRS]]
-    keep = keep[np.lexsort((found[keep], -count[keep]))]
+    """Of the pairs' codes those to replace in this round, most frequent first and free of overlap, and all other frequent ones."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(codes)))
+    keep = count >= LEAST
+    found, count = codes[first[keep]], count[keep]
+    order = np.argsort(-count, kind="stable")
     lefts: set[int] = set()
     rights: set[int] = set()
     out: list[int] = []
-    for code in found[keep].tolist():
+    for code in found[order].tolist():
         a, b = code >> 16, code & 0xFFFF
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
             continue
@@ -70,42 +71,63 @@ def _choose(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out.append(code)
         if len(out) == PAIRS:
             break
-    return np.array(out, np.uint32)
+    chosen = np.array(out, np.uint32)
+    return chosen, np.setdiff1d(found, chosen, assume_unique=True)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of ``ids`` (documents end before ``ends``): rules as pairs, the sequence, the documents' ends in it."""
+    """Re-Pair of ``ids`` (documents end before ``ends``): rules as pairs, the sequence, the documents' ends in it.
+
+    All pairs are counted once. Later only those are counted anew that can be
+    frequent: pairs with a symbol of the round before, and the frequent pairs
+    that were not replaced; all other counts have only fallen since.
+    """
     seq = ids.astype(np.uint16)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = base
-    while len(seq) > 1 and top < 0xFFFF:
-        codes = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        chosen = _choose(codes[~last[:-1]])[: 0xFFFF - top]
+    at, flags = np.flatnonzero(~last), np.zeros(1 << 16, np.uint8)
+    while len(at) and top < 0xFFFF:
+        codes = (seq[at].astype(np.uint32) << np.uint32(16)) | seq[at + 1]
+        chosen, others = _choose(codes)
         if not len(chosen):
             break
-        # Numbers of the left and right parts, and a table from both to the pair's new symbol.
+        if len(chosen) > 0xFFFF - top:
+            others, chosen = chosen[:0], chosen[: 0xFFFF - top]
+        # Numbers of the left and right parts, and a table from both to the pair's new symbol; most positions fail the left part.
         left, right = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         lefts, rights = np.unique(chosen >> 16), np.unique(chosen & 0xFFFF)
         left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
         table = np.zeros((len(lefts) + 1) * (len(rights) + 1), np.uint16)
         table[left[chosen >> 16] * (len(rights) + 1) + right[chosen & 0xFFFF]] = np.arange(top, top + len(chosen))
-        new = table[left[seq[:-1]] * (len(rights) + 1) + right[seq[1:]]]
-        at = np.flatnonzero((new > 0) & ~last[:-1])
-        new = new[at]
+        a = np.take(left, codes >> 16, mode="clip")
+        some = np.flatnonzero(a)
+        new = table[a[some] * (len(rights) + 1) + np.take(right, codes[some] & 0xFFFF, mode="clip")]
+        hit = np.flatnonzero(new)
+        at, new = at[some[hit]], new[hit]
         if len(at) > 1:  # runs of one symbol: every other position
             first = np.concatenate(([True], np.diff(at) != 1))
             start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
             even = (np.arange(len(at)) - start) % 2 == 0
-            at, new = at[even], new[even]
+            at, new = np.compress(even, at), np.compress(even, new)
         seq[at] = new
-        last[at] |= last[at + 1]
+        last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last = np.compress(keep, seq), np.compress(keep, last)
         rules.append(np.stack((chosen >> 16, chosen & 0xFFFF), 1))
+        # Marks: a symbol of this round, a left and a right part of a frequent pair that stays.
+        flags[:] = 0
+        flags[top : top + len(chosen)] = 1
+        flags[others >> 16] |= 2
+        flags[others & 0xFFFF] |= 4
         top += len(chosen)
+        mark = np.take(flags, seq, mode="clip")
+        near = ((mark[:-1] | mark[1:]) & 1).view(bool)
+        if len(others):
+            near |= (mark[:-1] & (mark[1:] >> 1) & 2) > 0
+        at = np.flatnonzero(near & ~last[:-1])
     empty = np.diff(np.concatenate(([0], ends))) == 0
     new_ends = np.zeros(len(ends), np.int64)
     new_ends[~empty] = np.flatnonzero(last) + 1
@@ -190,7 +212,6 @@ def token_at(shard: Shard, i: int, position: int) -> int:
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode, compress and write all documents in ascending doc_id to ``path``; returns the table of shards."""
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
@@ -207,10 +228,10 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
             ids, encoded, held, n = [], [], 0, n + 1
             return row
 
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+        for pdf in parts(batches):
+            for doc_id, of_text in zip(pdf["doc_id"].astype("Int64"), tok.encode_all(pdf["text"].tolist()), strict=True):
                 ids.append(None if doc_id is pd.NA else int(doc_id))
-                encoded.append(np.append(tok.encode(text), np.int32(end_id)))
+                encoded.append(np.append(of_text, np.int32(end_id)))
                 held += len(encoded[-1])
                 if held >= shard_tokens:
                     yield shard()
@@ -224,7 +245,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """Documents decoded from their shards: doc_id, start, n_tokens, ids_crc32."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in parts(batches, 8):
             for part, n, data in zip(pdf["part"], pdf["shard"], pdf["data"], strict=True):
                 shard = load(bytes(data))
                 flat = expand(shard).astype("<u4")
@@ -236,14 +257,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 out = pd.DataFrame({"part": part, "shard": n, "doc_id": pd.array(shard.doc_ids, "Int64"), "within": starts, "n_tokens": shard.counts.astype(np.int64), "ids_crc32": crc})
                 out.loc[shard.nulls == 1, "doc_id"] = pd.NA
                 yield out
-
-    bounded_batches(shards.sparkSession, 8)
     docs = shards.select("part", "shard", "data").mapInPandas(decode, "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long")
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sizes.select("part", before(Window.orderBy("part")).alias("base"))  # a row per partition
+    bases = sizes.select("part", before(Window.orderBy("part")).alias("base"))  # a row per partition
     each = shards.select("part", "shard", F.col("n_tokens").alias("n")).withColumn("ahead", before(Window.partitionBy("part").orderBy("shard")))
-    offsets = each.join(parts, "part").select("part", "shard", (F.col("base") + F.col("ahead")).alias("offset"))
+    offsets = each.join(bases, "part").select("part", "shard", (F.col("base") + F.col("ahead")).alias("offset"))
     return docs.join(offsets, ["part", "shard"]).select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import TwoGenerations, bounded_batches
+from tallyrail.llm.common import TwoGenerations, parts
 from tallyrail.llm.training import Ragged, bucket, fold, sample
 
 BITS, STEPS, RATE = 18, 120, 0.5
@@ -231,15 +231,13 @@ def tag(docs: DataFrame, model: ToxicModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         memo = model.memo()
-        for pdf in batches:
+        for pdf in parts(batches):
             texts = [t or "" for t in pdf["text"]]
             for at in range(0, len(texts), 100):
                 part = texts[at : at + 100]
                 marginals = model.marginals([t.split() for t in part], memo)
                 spans = [spans_of(t, p) for t, p in zip(part, marginals, strict=True)]
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + 100].astype("Int64").array, "score": [model.document(p) for p in marginals], "spans": spans})
-
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
