@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import bounded_batches
+from tallyrail.llm.common import parts
 from tallyrail.llm.tokens import tokenizer
 
 CAPACITY = 2048
@@ -106,7 +106,6 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_i
     a null doc_id stays null. An empty table gives no piece. Sequence ids are
     unique, not gapless: the partition's number times 2^33 plus a count.
     """
-    bounded_batches(docs.sparkSession)
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     if with_ids:
         fields += ", ids array<int>"
@@ -141,10 +140,10 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_i
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             return pdf
 
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+        for pdf in parts(batches):
+            for doc_id, ids in zip(pdf["doc_id"].astype("Int64"), tok.encode_all(pdf["text"].tolist()), strict=True):
                 doc_id = None if doc_id is pd.NA else int(doc_id)
-                ids = np.append(tok.encode(text), np.int32(end_id))
+                ids = np.append(ids, np.int32(end_id))
                 whole = len(ids) // capacity * capacity
                 for start in range(0, whole, capacity):
                     out.append(piece(doc_id, ids, start, capacity, len(ids), seq, 0))
