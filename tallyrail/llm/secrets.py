@@ -2,8 +2,8 @@
 
 Every (path, version) row is addressed by the SHA-256 of its text. The ledger
 keeps, for each pair of blob and rule version, whether it was scanned and what
-was found; a scan visits only pairs that the ledger does not hold, and findings
-are joined back to every path that has ever carried the blob. A rule whose
+was found; a scan visits only pairs that the ledger does not hold, and ``history``
+joins the findings back to every path that has ever carried the blob. A rule whose
 version changes makes its pairs unseen again; the others stay valid.
 """
 
@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import bounded_batches, shared_dir, written
+from tallyrail.llm.common import join_spread, latest_number, parts, shared_dir, written
 
 #: Fixed patterns of the three base kinds, in their order; the part that must reach the least length.
 BASE = (
@@ -70,15 +71,17 @@ def _blob():
 
 
 class BlobLedger:
-    """Tables below ``path``: ``versions`` (path, version, blob) and ``findings`` by blob and rule versions.
+    """Tables below ``path``, one of each per scan: ``versions`` (path, version, blob) and ``findings`` by blob and rule versions.
 
     Null texts are the empty blob. Repeated rows and equal texts share a blob.
-    An empty table leaves the ledger as it is. Other columns are ignored. Runs
-    are written once and listed by number; opening the same path goes on there.
+    An empty table leaves the findings as they are. Other columns are ignored. A
+    scan counts once its ``state`` is written, after its tables; a ledger opened
+    on a path goes on from the last one and writes over none.
     """
 
-    def __init__(self, spark: SparkSession, path: str, runs: int = 0):
-        self.spark, self.path, self.runs = spark, path.rstrip("/"), [f"{path.rstrip('/')}/run-{i}" for i in range(runs)]
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.runs = latest_number(spark, self.path, "state") + 1
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: str = "1", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Record ``docs`` as a version of their paths, scan what is unseen, return findings by path.
@@ -86,14 +89,13 @@ class BlobLedger:
         The result has one row per row of ``docs``: path, blob and ``found``, the
         spans by kind of the rules that match it (null where none does).
         """
-        bounded_batches(self.spark)
-        run = f"{self.path}/run-{len(self.runs)}"
+        n = self.runs
         rows = docs.select(F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        versions = written(rows.select("path", F.lit(version).alias("version"), _blob()), f"{run}/versions")
+        versions = written(rows.select("path", F.lit(version).alias("version"), _blob()), f"{self.path}/versions-{n}")
         marks = {f"{r.kind}@{r.version}": r for r in rules}
         # A blob is read from one of the paths that carry it, found again by path and digest.
         todo = versions.groupBy("blob").agg(F.min("path").alias("path")).withColumn("todo", F.array(*(F.lit(m) for m in marks)))
-        if self.runs:
+        if n:
             held = self.findings().select("blob", F.explode("rules").alias("mark")).groupBy("blob").agg(F.collect_set("mark").alias("held"))
             todo = todo.join(held, "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("held", F.array().cast("array<string>")))).where(F.size("todo") > 0)
         todo = todo.select("blob", "path", "todo").alias("t")
@@ -102,7 +104,7 @@ class BlobLedger:
         texts = here.join(todo.hint("shuffle_hash"), same).select("r.blob", "r.text", "t.todo")
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in parts(batches):
                 out = []
                 for blob, text, todo in zip(pdf["blob"], pdf["text"], pdf["todo"], strict=True):
                     lowered = text.lower()
@@ -110,17 +112,30 @@ class BlobLedger:
                     out.append((blob, list(todo), {k: [{"start": a, "end": b} for a, b in v] for k, v in spans.items() if v}))
                 yield pd.DataFrame(out, columns=["blob", "rules", "found"])
 
-        texts.mapInPandas(look, FINDING).dropDuplicates(["blob"]).write.mode("overwrite").parquet(f"{run}/findings")
-        self.runs.append(run)
-        current = F.filter("rules", lambda m: m.isin(*marks))
+        texts.mapInPandas(look, FINDING).dropDuplicates(["blob"]).write.mode("overwrite").parquet(f"{self.path}/findings-{n}")
+        self.spark.range(1).coalesce(1).write.mode("error").parquet(f"{self.path}/state-{n}")
+        self.runs = n + 1
+        return self._found(versions.drop("version"), rules)
+
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Every path, version and blob that the ledger has ever recorded, with ``found`` under the given rules."""
+        return self._found(self.versions(), rules)
+
+    def _found(self, versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+        """``versions`` with the spans by kind that the current versions of the rules found in their blobs."""
+        current = F.filter("rules", lambda m: m.isin(*(f"{r.kind}@{r.version}" for r in rules)))
         found = self.findings().where(F.size("found") > 0).select("blob", F.explode(current).alias("mark"), "found")
         found = found.select("blob", F.substring_index("mark", "@", 1).alias("kind"), F.try_element_at("found", F.substring_index("mark", "@", 1)).alias("spans")).where("spans IS NOT NULL")
         found = found.groupBy("blob").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "spans")))).alias("found"))
-        return versions.drop("version").join(found, "blob", "left")
+        return join_spread(versions, found, "blob", versions.groupBy("blob").agg(F.count("*").alias("n")), "path", "left")
+
+    def versions(self) -> DataFrame:
+        """All rows of versions that the ledger holds."""
+        return reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/versions-{i}") for i in range(self.runs)))
 
     def findings(self) -> DataFrame:
         """All rows of findings that the ledger holds: blob, rule versions of that scan, spans by kind."""
-        return self.spark.read.schema(FINDING).parquet(*(f"{r}/findings" for r in self.runs))
+        return self.spark.read.schema(FINDING).parquet(*(f"{self.path}/findings-{i}" for i in range(self.runs)))
 
 
 def spans_of(found, kinds: tuple[str, ...]):
