@@ -54,6 +54,11 @@ def op9_media(spark, sf_dir):
     return media.text_media(_read(spark, sf_dir, "documents"))
 
 
+def pages_interleaved(spark, sf_dir):
+    """Ordered text and media segments of all pages."""
+    return media.page_segments(_read(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark, sf_dir):
     """Secrets in every document, by way of a new ledger."""
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
@@ -70,5 +75,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
+    "pages_interleaved": pages_interleaved,
 }
 ORACLE = {"op1_near_dedup": minhash.ORACLE, "op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE}
