@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrail.llm import decontam, linededup, minhash, packing, quality
-from tallyrail.llm.common import shared_dir, written
+from tallyrail.llm.common import shared_dir, unused, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose doc_id ``gone`` has; rows without doc_id stay."""
+    name = unused(docs.columns, "_gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labelled ones among them."""
     return quality.accepted(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -26,20 +32,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; ``n_chars`` follows the text."""
-    cleaned = linededup.dedup_lines(docs).drop("n_lines", "n_dropped")
+    cleaned = linededup.dedup_lines(docs, report=False)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id."""
-    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return _without(docs, minhash.near_duplicates(docs).where(~F.col("kept")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontam.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return _without(docs, decontam.leaks(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
