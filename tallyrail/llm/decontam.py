@@ -1,22 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval and a subsequence check.
 
 Texts are read as words; those of the benchmark are its vocabulary, bounded by
-the benchmark and not by the corpus. Passages are windows of 16 words in steps of
-eight, of documents and of items (items in steps of four). Three passes over all
-documents, none of which moves a text:
+the benchmark and not by the corpus. All documents are read once and written as
+vocabulary numbers. Passages are windows of 16 words in steps of eight, of
+documents and of items (items in steps of four). Three passes over the numbers:
 
 1. in how many passages each vocabulary word occurs, over all passages;
-2. the randomised range of the TF-IDF matrix of the passages that share most
-   words with the vocabulary: each task adds up its part of ``A' A G`` for a
-   random ``G``; the orthonormal basis of the sum is the latent space;
-3. passages are projected and compared with all item passages by cosine, in
-   blocks; near ones are checked in their document by the longest common
-   subsequence of the item and the words where it would lie, and by its answer.
-
-What the latent search finds depends on where the passages fall. So the third
-pass also looks at every place that can hold a leak by its definition: a leak of
-the larger part has one of the item's rarest words, a lesser one the answer, and
-both have enough of the item's words within the length that a leak may take.
+2. a randomised singular value decomposition of the passages' TF-IDF matrix A: the
+   tasks add up ``Y = A' A G`` for a random ``G``, and the driver gets singular
+   values and right singular vectors from ``Y`` and the small matrix ``G' Y``;
+3. passages are projected to the latent space and compared with all item passages
+   by cosine, in blocks; near ones are checked in their document by the longest
+   common subsequence of the item and the words where it would lie, and by its
+   answer.
+
+A passage's vector has a length for its words outside the vocabulary too; passages
+with too little of their length inside have no place in the latent space. What the
+latent search finds depends on where the passages fall; README has its recall. So
+the last pass also looks at every place that can hold a leak by its definition: a
+leak of the larger part has one of the item's rarest words, a lesser one the
+answer, and both have enough of the item's words within the length it may take.
 """
 
 from __future__ import annotations
@@ -24,19 +27,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import parts
+from tallyrail.llm.common import parts, shared_dir, written
 
 WINDOW, STEP, ITEM_STEP = 16, 8, 4
-#: Vocabulary words that a document's passage needs for the latent search; items shorter than that lower it.
-SHARED = 11
-#: Latent dimensions, least cosine of two passages, and part of the item passage's words that the other must hold too.
-RANK, COSINE, COMMON = 64, 0.6, 0.5
+#: Latent dimensions, random directions beyond them, least cosine of two passages there.
+RANK, MORE, COSINE = 96, 16, 0.6
+#: Least part of a passage's length that lies in the vocabulary.
+INSIDE = 0.55
+#: Words of the items that are searched for at once; a larger benchmark is searched for in blocks.
+ITEM_WORDS = 200_000
+#: Characters of a benchmark that the driver takes in.
+BENCHMARK_CHARS = 200_000_000
 #: Part of an item's words, in order, that makes a leak; a lesser one does with the item's answer, its last words.
 LEAK, LEAK_WITH_ANSWER, ANSWER = 0.7, 0.5, 4
 _PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
@@ -95,29 +103,24 @@ class Items:
         get = self.vocabulary.get
         return np.fromiter((get(x, -1) for x in w), np.int32, len(w))
 
-    def least(self) -> int:
-        """Vocabulary words that a document's passage needs."""
-        return min(SHARED, min(map(len, self.ids)))
+    def passages(self) -> np.ndarray:
+        """The items' passages, a row each, -1 after the end of a short one."""
+        out = np.full((len(self.owner), WINDOW), -1, np.int32)
+        for i, (o, a) in enumerate(zip(self.owner, self.offset, strict=True)):
+            part = self.ids[o][a : a + WINDOW]
+            out[i, : len(part)] = part
+        return out
 
-    def passages(self) -> list[np.ndarray]:
-        return [np.array(self.ids[o][a : a + WINDOW], np.int32) for o, a in zip(self.owner, self.offset, strict=True)]
+    @property
+    def kind(self) -> str:
+        """How vocabulary numbers are stored."""
+        return "<i2" if len(self.vocabulary) < 1 << 15 else "<i4"
 
 
-def windows(ids: np.ndarray, least: int = 0) -> np.ndarray:
-    """Starts of a text's passages with at least ``least`` vocabulary words; a shorter text is one passage.
-
-    ``least`` holds for full passages; a shorter one needs the same share.
-    """
+def windows(ids: np.ndarray) -> np.ndarray:
+    """Starts of a text's passages; a shorter text is one passage."""
     n = len(ids)
-    if n == 0:
-        return np.empty(0, np.int64)
-    starts = np.arange(0, max(1, n - WINDOW + STEP), STEP)
-    starts = np.minimum(starts, max(0, n - WINDOW))
-    if not least:
-        return starts
-    total = np.concatenate(([0], np.cumsum(ids >= 0)))
-    ends = np.minimum(starts + WINDOW, n)
-    return starts[(total[ends] - total[starts]) * WINDOW >= least * (ends - starts)]
+    return np.minimum(np.arange(0, max(1, n - WINDOW + STEP), STEP), max(0, n - WINDOW)) if n else np.empty(0, np.int64)
 
 
 def grid(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -134,44 +137,79 @@ def project(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+ENCODED = "doc_id long, n_words int, ids binary"
+
+
+def encoded(docs: DataFrame, items: Items) -> DataFrame:
+    """doc_id, n_words and the words as vocabulary numbers (null where none is of the vocabulary) of each row of ``docs``."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts(batches):
+            ids = [items.numbers(t) for t in pdf["text"]]
+            held = [x.astype(items.kind).tobytes() if len(x) and x.max() >= 0 else None for x in ids]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": [len(x) for x in ids], "ids": held})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, ENCODED)
 
-def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+
+def frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """Passages of all documents that hold each vocabulary word, and the number of passages."""
-    size = len(items.vocabulary)
+    size, kind = len(items.vocabulary), items.kind
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, total = np.zeros(size, np.int64), 0
+        found = np.zeros(size, np.int64)
         for pdf in parts(batches):
-            for text in pdf["text"]:
-                ids = items.numbers(text)
-                starts = windows(ids)
-                total += len(starts)
+            for raw in pdf["ids"]:
+                ids = np.frombuffer(raw, kind)
                 # A word is counted once a passage: in sorted rows, where it first stands.
-                rows = np.sort(grid(ids, starts), axis=1) if len(starts) else np.empty((0, WINDOW), np.int32)
-                new = rows >= 0
-                new[:, 1:] &= rows[:, 1:] != rows[:, :-1]
-                found += np.bincount(rows[new], minlength=size)
+                held = np.sort(grid(ids, windows(ids)), axis=1)
+                new = held >= 0
+                new[:, 1:] &= held[:, 1:] != held[:, :-1]
+                found += np.bincount(held[new], minlength=size)
         hit = np.flatnonzero(found)
-        yield pd.DataFrame({"word": np.append(hit, -1), "n": np.append(found[hit], total)})
-
-    rows = _texts(docs).select("text").mapInPandas(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    out, total = np.zeros(size, np.int64), 0
-    for r in rows:
-        if r["word"] < 0:
-            total = r["n"]
-        else:
-            out[r["word"]] = r["n"]
+        yield pd.DataFrame({"word": hit, "n": found[hit]})
+
+    n = F.col("n_words")
+    of_text = F.when(n > WINDOW, F.ceil((n - WINDOW + STEP) / STEP)).otherwise(F.when(n > 0, 1).otherwise(0))
+    total = rows.agg(F.sum(of_text)).first()[0] or 0
+    out = np.zeros(size, np.int64)
+    for r in rows.where("ids IS NOT NULL").select("ids").mapInPandas(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
     return out, total
 
 
-def add_up(rows: np.ndarray, idf: np.ndarray, table: np.ndarray, out: np.ndarray) -> None:
+@dataclass
+class Weights:
+    """TF-IDF weights of the vocabulary's words, their squares with a zero for -1, and the square of a word outside."""
+
+    idf: np.ndarray
+    squares: np.ndarray
+    outside: float
+
+    @classmethod
+    def of(cls, found: np.ndarray, total: int) -> Weights:
+        """A word outside the vocabulary weighs as one inside does on average."""
+        idf = np.log((1 + total) / (1 + found)) + 0.1
+        return cls(idf, np.append(idf**2, 0), float(idf.mean()) ** 2)
+
+    def lengths(self, rows: np.ndarray, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared lengths of passages of so many words: inside the vocabulary, and in all."""
+        inside = self.squares[rows].sum(1)
+        return inside, inside + (words - (rows >= 0).sum(1)) * self.outside
+
+    def passages(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, rows and squared lengths of a text's passages that lie in the vocabulary far enough."""
+        starts = windows(ids)
+        rows = grid(ids, starts)
+        inside, length = self.lengths(rows, min(len(ids), WINDOW))
+        keep = np.flatnonzero(inside >= INSIDE**2 * length)
+        return starts[keep], rows[keep], length[keep]
+
+
+def add_up(rows: np.ndarray, length: np.ndarray, idf: np.ndarray, table: np.ndarray, out: np.ndarray) -> None:
     """Add ``A' (A G)`` of passages to ``out``, the rows of A being their TF-IDF vectors at unit length."""
     part = project(rows, table)
-    weight = np.append(idf, 0).astype(np.float32)
-    part /= np.maximum((weight[rows] ** 2).sum(1), 1e-9)[:, None]
+    part /= length[:, None]
     keep = rows.ravel() >= 0
     word, doc = rows.ravel()[keep], np.repeat(np.arange(len(rows)), rows.shape[1])[keep]
     order = np.argsort(word, kind="stable")
@@ -181,15 +219,6 @@ def add_up(rows: np.ndarray, idf: np.ndarray, table: np.ndarray, out: np.ndarray
         out[word[first]] += np.add.reduceat(part[doc], first, axis=0) * idf[word[first]][:, None]
 
 
-def shared(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """How many words of each own passage the passage beside it holds, in blocks."""
-    out = np.empty(len(rows), np.int64)
-    for at in range(0, len(rows), 20000):
-        x, y = rows[at : at + 20000], own[at : at + 20000]
-        out[at : at + 20000] = ((x[:, None, :] == y[:, :, None]).any(2) & (y >= 0)).sum(1)
-    return out
-
-
 def needed(length: int, part: float) -> int:
     """The least number of words that is ``part`` of ``length``."""
     n = math.ceil(part * length)
@@ -246,9 +275,22 @@ class Places:
         for item, places in answered.items():
             yield item, np.array(places), needed(len(self.ids[item]), LEAK_WITH_ANSWER)
 
-    def of(self, flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-        """The hits that stay; ``flat`` may be several documents, one after the other."""
-        padded = np.concatenate((np.full(self.pad, -1), flat, np.full(self.pad, -1)))
+    def padded(self, flat: np.ndarray) -> np.ndarray:
+        """Numbers of documents, one after the other, with room before and after."""
+        return np.concatenate((np.full(self.pad, -1), flat, np.full(self.pad, -1)))
+
+    def most(self, padded: np.ndarray, item: int, start: np.ndarray) -> np.ndarray:
+        """Words of the item, in any order, where it would lie with a beginning at ``start``: no less than its subsequence there."""
+        holds = np.zeros(len(self.counts), np.int8)
+        holds[self.ids[item]] = 1
+        length = len(self.ids[item])
+        slack = (room(length) - length) // 2
+        at = self.pad + start - slack
+        return np.concatenate([holds[padded[at[lo : lo + 4096, None] + np.arange(room(length))]].sum(1, dtype=np.int64) for lo in range(0, len(at), 4096)])
+
+    def of(self, padded: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """The hits that stay."""
+        flat = padded[self.pad : len(padded) - self.pad]
         holds = np.zeros(len(self.counts), np.int8)
         for item, at, least in self.hits(flat):
             wide = room(len(self.ids[item]))
@@ -264,92 +306,122 @@ class Places:
             holds[self.ids[item]] = 0
 
 
-def latent(docs: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Orthonormal basis (words x rank) of the range of the passages' TF-IDF matrix, found at random.
+def decompose(y: np.ndarray, g: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (words x rank) and singular values of A from ``y = A' A g``.
+
+    ``A' A`` is approximated by ``y (g' y)^-1 y'``, whose eigenvectors are the left
+    singular vectors of ``y P L^(-1/2)`` with the eigenvectors P and eigenvalues L
+    of ``g' y``; those that are as good as zero are left out.
+    """
+    core = g.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-9 * max(float(values[-1]), 1e-300)
+    left, found, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    return left[:, :rank], found[:rank]
+
+
+def latent(rows: DataFrame, items: Items, weights: Weights, rank: int = RANK, more: int = MORE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (words x rank) and singular values of the passages' TF-IDF matrix.
 
-    The matrix has a row for each document passage that shares enough words and
-    for each item passage; the words of a task's passages are added up there, and
-    the tasks' sums by word in an aggregation.
+    The matrix has a row for each passage, of documents and of items, that lies in
+    the vocabulary far enough; the words of a task's passages are added up there,
+    and the tasks' sums by word in an aggregation.
     """
+    idf, kind = weights.idf, items.kind
     size = len(idf)
     rank = min(rank, size)
-    g = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
-    table = np.vstack((g * idf[:, None], np.zeros((1, rank)))).astype(np.float32)
+    wide = min(rank + more, size)
+    g = np.random.default_rng(seed).standard_normal((size, wide))
+    table = np.vstack((g * idf[:, None], np.zeros((1, wide)))).astype(np.float32)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((size, rank))
-        held: list[np.ndarray] = []
-        size_held, least = 0, items.least()
+        table, out = shared.value, np.zeros((size, wide))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def done() -> None:
+            if held:
+                add_up(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), idf, table, out)
+
         for pdf in parts(batches):
-            for text in pdf["text"]:
-                ids = items.numbers(text)
-                starts = windows(ids, least)
-                if len(starts):
-                    held.append(grid(ids, starts))
-                    size_held += len(starts)
-                if size_held > 8192:
-                    add_up(np.concatenate(held), idf, table, out)
-                    held, size_held = [], 0
-        if held:
-            add_up(np.concatenate(held), idf, table, out)
+            for raw in pdf["ids"]:
+                _, found, length = weights.passages(np.frombuffer(raw, kind))
+                if len(found):
+                    held.append((found, length))
+                    n += len(found)
+                if n > 4096:
+                    done()
+                    held, n = [], 0
+        done()
         hit = np.flatnonzero(out.any(1))
-        yield pd.DataFrame({"word": hit, **{f"y{i}": out[hit, i] for i in range(rank)}})
+        yield pd.DataFrame({"word": hit, **{f"y{i}": out[hit, i] for i in range(wide)}})
 
-    schema = "word int, " + ", ".join(f"y{i} double" for i in range(rank))
-    summed = _texts(docs).select("text").mapInPandas(sums, schema).groupBy("word").agg(*(F.sum(f"y{i}").alias(f"y{i}") for i in range(rank)))
-    y = np.zeros((size, rank))
+    schema = "word int, " + ", ".join(f"y{i} double" for i in range(wide))
+    summed = rows.where("ids IS NOT NULL").select("ids").mapInPandas(sums, schema).groupBy("word").agg(*(F.sum(f"y{i}").alias(f"y{i}") for i in range(wide)))
+    y = np.zeros((size, wide))
     got = summed.toPandas()
-    y[got["word"].to_numpy(int)] = got[[f"y{i}" for i in range(rank)]].to_numpy(float)
-    own = [p for p in items.passages()]
-    rows = np.full((len(own), WINDOW), -1, np.int64)
-    for i, p in enumerate(own):
-        rows[i, : len(p)] = p
+    y[got["word"].to_numpy(int)] = got[[f"y{i}" for i in range(wide)]].to_numpy(float)
+    own = items.passages()
     # The items' own part counts like the corpus's, however large that is.
-    part = np.zeros((size, rank))
-    add_up(rows, idf, table, part)
+    part = np.zeros((size, wide))
+    add_up(own, weights.lengths(own, (own >= 0).sum(1))[1], idf, table, part)
     scale = np.linalg.norm(y) / max(1e-9, np.linalg.norm(part))
-    q, _ = np.linalg.qr(y + part * max(1.0, scale))
-    return q
+    return decompose(y + part * max(1.0, scale), g, rank)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, path: str | None = None, places: bool = True) -> DataFrame:
     """(doc_id, item_id, overlap, answer, start, end) of each item found in each document.
 
     A leak is LEAK of the item's words in order within ``room`` words of the
     document, or LEAK_WITH_ANSWER with the answer among them; none is missed.
+    Without ``places`` the latent search stands alone, for measuring it.
 
     ``overlap`` is the part of the item's words found in order, ``answer``
     whether its last words are there too, ``start`` and ``end`` the words looked
     at. A pair counts once, with its best place. Null and empty texts and items
     hold nothing; repeated rows of documents give repeated rows, and rows without
     doc_id are reported with none. An empty benchmark or table gives no rows.
-    The benchmark is the query set and is read by the driver.
+    The benchmark is the query set; the driver reads it and searches for it in
+    blocks of ITEM_WORDS words.
     """
-    schema = "doc_id long, item_id long, overlap double, answer boolean, start int, end int"
-    items = Items.of([(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()])
-    if not items.ids:
-        return docs.sparkSession.createDataFrame([], schema)
-    found, total = frequencies(docs, items)
-    idf = np.log((1 + total) / (1 + found)) + 0.1
-    basis = latent(docs, items, idf)
-    table = np.vstack((basis * idf[:, None], np.zeros((1, basis.shape[1])))).astype(np.float32)
-    own = np.full((len(items.owner), WINDOW), -1, np.int32)
-    for i, p in enumerate(items.passages()):
-        own[i, : len(p)] = p
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > BENCHMARK_CHARS:
+        raise ValueError(f"a benchmark of {size} characters is more than the {BENCHMARK_CHARS} that one search takes; search for it in parts")
+    blocks: list[list[tuple[int, str]]] = [[]]
+    size = 0
+    for r in sorted(rows.collect()):
+        n = len(words(r["text"]))
+        if blocks[-1] and size + n > ITEM_WORDS:
+            blocks.append([])
+            size = 0
+        if n:
+            blocks[-1].append((r["item_id"], r["text"]))
+            size += n
+    if not blocks[0]:
+        return docs.sparkSession.createDataFrame([], LEAKS)
+    path = path or shared_dir(docs.sparkSession)
+    return reduce(DataFrame.unionByName, [_leaks(docs, Items.of(block), f"{path}/{i}", places) for i, block in enumerate(blocks)])
+
+
+LEAKS = "doc_id long, item_id long, overlap double, answer boolean, start int, end int"
+
+
+def _leaks(docs: DataFrame, items: Items, path: str, with_places: bool) -> DataFrame:
+    rows = written(encoded(docs, items), f"{path}/words")
+    found, total = frequencies(rows, items)
+    weights = Weights.of(found, total)
+    vectors, _ = latent(rows, items, weights)
+    table = np.vstack((vectors * weights.idf[:, None], np.zeros((1, vectors.shape[1])))).astype(np.float32)
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    targets = unit(project(own, table)).T.copy()
+    targets = unit(project(items.passages(), table)).T.copy()
     masks = [place_masks(i) for i in items.ids]
     answers = [i[-ANSWER:] for i in items.ids]
-    model = docs.sparkSession.sparkContext.broadcast((items, table, targets, masks, answers, own, (own >= 0).sum(1), Places(items, found)))
+    model = docs.sparkSession.sparkContext.broadcast((items, weights, table, targets, masks, answers, Places(items, found)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, table, targets, masks, answers, own, sizes, places = model.value
-        least = items.least()
-
-        def check(ids: list[int], n: int, start: int) -> tuple[float, bool, int, int] | None:
-            length = len(items.ids[n])
-            slack = max(4, length // 4)
-            return judge(ids, n, max(0, start - slack), min(len(ids), start + length + slack))
+        items, weights, table, targets, masks, answers, places = model.value
 
         def judge(ids: list[int], n: int, a: int, b: int) -> tuple[float, bool, int, int] | None:
             length, part = len(items.ids[n]), ids[a:b]
@@ -360,11 +432,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             has = any(part[i : i + len(want)] == want for i in range(len(part) - len(want) + 1))
             return (overlap, has, a, b) if overlap >= LEAK or has else None
 
-        def everywhere(held: list[tuple], seen: dict[tuple, tuple]) -> None:
+        def retrieved(held: list[tuple], begin: np.ndarray, padded: np.ndarray, seen: dict[tuple, tuple]) -> None:
+            """Add the leaks where a passage is near one of an item's in the latent space."""
+            near = [weights.passages(ids) for _, ids in held]
+            sizes = [len(x[0]) for x in near]
+            if not sum(sizes):
+                return
+            passages, start = np.concatenate([x[1] for x in near]), np.concatenate([x[0] for x in near])
+            of = np.repeat(np.arange(len(held)), sizes)
+            pairs = []
+            for lo in range(0, len(passages), 1024):
+                i, j = np.nonzero(unit(project(passages[lo : lo + 1024], table)) @ targets >= COSINE)
+                # One check for each item, document and place to within two words.
+                pairs.append(np.stack((items.owner[j], of[lo + i], (start[lo + i] - items.offset[j]) // 3 * 3 + 1), 1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
+                n = int(part[0, 0])
+                length = len(items.ids[n])
+                slack = (room(length) - length) // 2
+                part = part[places.most(padded, n, begin[part[:, 1]] + part[:, 2]) >= needed(length, LEAK_WITH_ANSWER)]
+                for d, p in part[:, 1:].tolist():
+                    if seen.get((d, n), (0,))[0] == 1.0:
+                        continue
+                    ids = lists(held, d)
+                    got = judge(ids, n, max(0, p - slack), min(len(ids), p + length + slack))
+                    if got and got > seen.get((d, n), (0.0,)):
+                        seen[d, n] = got
+
+        listed: dict[int, list[int]] = {}
+
+        def lists(held: list[tuple], d: int) -> list[int]:
+            if d not in listed:
+                listed[d] = held[d][1].tolist()
+            return listed[d]
+
+        def everywhere(held: list[tuple], begin: np.ndarray, padded: np.ndarray, seen: dict[tuple, tuple]) -> None:
             """Add the leaks of all places that can hold one."""
-            begin = np.cumsum([0] + [len(ids) for _, ids, _ in held])
             spans: dict[tuple, list[tuple[int, int, int]]] = {}
-            for n, at, least in places.of(np.concatenate([ids for _, ids, _ in held])):
+            for n, at, least in places.of(padded):
                 doc, wide = np.searchsorted(begin, at, "right") - 1, room(len(items.ids[n]))
                 for d, p in zip(doc.tolist(), (at - begin[doc]).tolist(), strict=True):
                     spans.setdefault((d, n), []).append((max(0, p - wide + 1), p, least))
@@ -375,7 +480,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         merged[-1][1:] = max(merged[-1][1], b), min(merged[-1][2], least)
                     else:
                         merged.append([a, b, least])
-                ids, length, has = held[d][1].tolist(), len(items.ids[n]), masks[n]
+                ids, length, has = lists(held, d), len(items.ids[n]), masks[n]
                 wide = room(length)
                 for a, b, least in merged:
                     if seen.get((d, n), (0,))[0] == 1.0:
@@ -389,48 +494,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             if got[0] == 1.0:
                                 break
 
-        def flush(held: list[tuple]) -> Iterator[pd.DataFrame]:
-            rows = np.concatenate([grid(ids, starts) for _, ids, starts in held])
-            doc = np.repeat(np.arange(len(held)), [len(s) for *_, s in held])
-            at = np.concatenate([s for *_, s in held])
+        def flush(held: list[tuple]) -> pd.DataFrame:
+            begin = np.cumsum([0] + [len(ids) for _, ids in held])
+            padded = places.padded(np.concatenate([ids for _, ids in held]))
             seen: dict[tuple, tuple] = {}
-            listed: dict[int, list[int]] = {}
-            for lo in range(0, len(rows), 2048):
-                i, j = np.nonzero(unit(project(rows[lo : lo + 2048], table)) @ targets >= COSINE)
-                common = shared(rows[lo + i], own[j]) >= COMMON * sizes[j]
-                i, j = i[common], j[common]
-                d, n = doc[lo + i], items.owner[j]
-                first = at[lo + i] - items.offset[j]
-                # One check for each document, item and place to within two words.
-                for k in np.unique(np.stack((d, n, first // 3), 1), axis=0, return_index=True)[1].tolist():
-                    dk, nk = int(d[k]), int(n[k])
-                    if seen.get((dk, nk), (0,))[0] == 1.0:
-                        continue
-                    if dk not in listed:
-                        listed[dk] = held[dk][1].tolist()
-                    got = check(listed[dk], nk, int(first[k]))
-                    if got and got > seen.get((dk, nk), (0.0,)):
-                        seen[dk, nk] = got
-            everywhere(held, seen)
+            listed.clear()
+            retrieved(held, begin, padded, seen)
+            if with_places:
+                everywhere(held, begin, padded, seen)
             out = [(held[d][0], items.item_ids[n], *v) for (d, n), v in seen.items()]
-            pdf = pd.DataFrame(out, columns=["doc_id", "item_id", "overlap", "answer", "start", "end"])
+            pdf = pd.DataFrame(out, columns=[c.split()[0] for c in LEAKS.split(", ")])
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            yield pdf
+            return pdf
 
         held: list[tuple] = []
-        size = total = 0
+        size = 0
         for pdf in parts(batches):
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-                ids = items.numbers(text)
-                starts = windows(ids, least)
-                if len(ids):
-                    held.append((None if doc_id is pd.NA else int(doc_id), ids, starts))
-                    size += len(starts)
-                    total += len(ids)
-                if size >= 4096 or total >= 1 << 18:
-                    yield from flush(held)
-                    held, size, total = [], 0, 0
+            for doc_id, raw in zip(pdf["doc_id"].astype("Int64"), pdf["ids"], strict=True):
+                held.append((None if doc_id is pd.NA else int(doc_id), np.frombuffer(raw, items.kind).astype(np.int32)))
+                size += len(held[-1][1])
+                if size >= 1 << 17:
+                    yield flush(held)
+                    held, size = [], 0
         if held:
-            yield from flush(held)
+            yield flush(held)
 
-    return _texts(docs).mapInPandas(search, schema)
+    return rows.where("ids IS NOT NULL").select("doc_id", "ids").mapInPandas(search, LEAKS)
