@@ -48,18 +48,15 @@ def features(token: str) -> list[int]:
     return [bucket(n, BITS) for n in names(token)]
 
 
-def chain(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Probability of tag 1 at every token of many chains laid end to end.
+def messages(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward messages of many chains laid end to end, a normalised pair for each token, and its emissions.
 
     ``score`` is a token's log-odds of tag 1, ``first`` marks the first token of
-    each chain, ``trans`` the transition scores (from, to). Forward and backward
-    messages of two tags are one number each, the log-odds; a pass goes over a
+    each chain, ``trans`` the transition scores (from, to). A pass goes over a
     square grid: maps of whole rows are composed side by side, then applied row
     by row, so that no step is longer than the square root of the input.
     """
     n = len(score)
-    if not n:
-        return score
     move = np.exp(trans)
     odds = np.exp(np.clip(score, -30, 30))
     width = int(np.ceil(np.sqrt(n)))
@@ -93,11 +90,30 @@ def chain(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray
     back = np.empty((n, 2, 2))
     back[:-1] = (move[None] * emit[1:, None, :]).transpose(0, 2, 1)
     back[last] = 1.0
-    behind = scan(back[::-1])[::-1]
+    return ahead, scan(back[::-1])[::-1], emit
+
+
+def chain(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probability of tag 1 at every token of many chains laid end to end."""
+    if not len(score):
+        return score
+    ahead, behind, _ = messages(score, first, trans)
     both = ahead * behind
     return both[:, 1] / both.sum(1)
 
 
+def gradient(score: np.ndarray, first: np.ndarray, trans: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the tags' negative log-likelihood by the tokens' scores and by the transitions, from exact marginals."""
+    ahead, behind, emit = messages(score, first, trans)
+    both = ahead * behind
+    p = both[:, 1] / both.sum(1)
+    i = np.flatnonzero(~first[1:])
+    pair = ahead[i, :, None] * np.exp(trans)[None] * (emit[i + 1] * behind[i + 1])[:, None, :]
+    pair /= pair.sum((1, 2), keepdims=True)
+    seen = np.bincount(2 * tag[i].astype(int) + tag[i + 1], minlength=4).reshape(2, 2)
+    return p - tag, pair.sum(0) - seen
+
+
 @dataclass
 class ToxicModel:
     """Weights by bucket, transitions, and the logistic fit of (bias, largest log-odds, log of the sum)."""
@@ -176,25 +192,16 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> ToxicModel:
     g2w, g2t, g2b = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
     rng = np.random.default_rng(3)
     ends = np.flatnonzero(first)
-    inner = np.append(~first[1:], False)
     for _ in range(STEPS):
         # A step takes a window of whole documents.
         a = int(rng.integers(len(ends)))
         lo = ends[a]
         hi = int(np.append(ends, len(token))[min(a + 160, len(ends))])
-        tok, tag, f, inn = token[lo:hi], tags[lo:hi], first[lo:hi], inner[lo:hi].copy()
-        inn[-1] = False
+        tok, tag, f = token[lo:hi], tags[lo:hi], first[lo:hi]
         by_word = np.bincount(owner, w[flat], len(ragged.at)) + bias
-        p = chain(by_word[tok], f, trans)
-        residual = p - tag
+        residual, gt = gradient(by_word[tok], f, trans, tag)
         g = np.bincount(flat, np.bincount(tok, residual, len(ragged.at))[owner], 1 << BITS) / max(1, tag.sum()) + 1e-5 * w
-        i = np.flatnonzero(inn)
-        # Pair marginals by the product of neighbours', which the transitions' small weights keep close.
-        gt = np.zeros((2, 2))
-        for s in (0, 1):
-            for t in (0, 1):
-                q = np.where(s, p[i], 1 - p[i]) * np.where(t, p[i + 1], 1 - p[i + 1])
-                gt[s, t] = (q - ((tag[i] == s) & (tag[i + 1] == t))).sum() / max(1, len(i)) + 1e-4 * trans[s, t]
+        gt = gt / max(1, tag.sum()) + 1e-4 * trans
         gb = residual.sum() / max(1, tag.sum())
         g2w += g * g
         g2t += gt * gt
