@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import hashed, mix, parts, shared_dir, words_of, written
+from tallyrail.llm.common import hashed, join_spread, mix, parts, shared_dir, words_of, written
 
 WORDS = 5
 BANDS, ROWS = 48, 5
@@ -79,7 +79,9 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 #: Estimates below this are no candidates: over four deviations of an estimate from 240 slots under the threshold.
 ESTIMATE = 0.62
 #: Rows of one side that a comparing task holds (the other side streams by), and rows of the other side in a unit.
-HELD, STREAMED = 64, 4096
+HELD, STREAMED = 64, 1024
+#: Linked nodes that a task unites at a time.
+UNITED = 1_000_000
 PROFILE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
@@ -174,6 +176,11 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": a[keep], "b": b[keep]})
 
 
+def _stacked(sketches: pd.Series) -> np.ndarray:
+    """The sketches of a column, a row each."""
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SLOTS)
+
+
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of each unit that have a candidate on the other side, in another component.
 
@@ -181,11 +188,11 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     again in the buckets of other bands. Sketches can agree in a band whose keys differ.
     """
     for held, rows in _units(batches, ["u1", "u2", "u3"]):
-        left = np.stack([np.frombuffer(bytes(s), np.uint8) for s in held["sketch"]])
+        left = _stacked(held["sketch"])
         seen = np.zeros(len(held), bool)
         for at in range(0, len(rows), 256):
             part = rows.iloc[at : at + 256]
-            right = np.stack([np.frombuffer(bytes(s), np.uint8) for s in part["sketch"]])
+            right = _stacked(part["sketch"])
             same = right[:, None, :] == left[None]
             near = same.mean(2) >= ESTIMATE
             near &= part["component"].to_numpy()[:, None] != held["component"].to_numpy()
@@ -208,11 +215,13 @@ UNIT = "u1 long, u2 int, u3 int, side int, node long"
 
 
 def _by_unit(rows: DataFrame) -> DataFrame:
-    return rows.repartition("u1", "u2", "u3").sortWithinPartitions("u1", "u2", "u3", "side")
+    # By number: comparing costs time by the rows, so partitions are not to be joined by their bytes.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "u1", "u2", "u3").sortWithinPartitions("u1", "u2", "u3", "side")
 
 
 def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over a partition's links: each node that is not its tree's smallest, with that node."""
+    """Union-find over a partition's links, UNITED nodes at a time: each that is not its tree's smallest, with that node."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -276,7 +285,8 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
     nodes = written(nodes, f"{path}/nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("size")).where("size > 1 AND lead < last")
-    members = written(members.join(shared.select("key", "lead", "size"), "key"), f"{path}/members")
+    shared = written(shared.select("key", "lead", "size"), f"{path}/shared")
+    members = written(join_spread(members, shared, "key", shared.select("key", F.col("size").alias("n")), "node"), f"{path}/members")
     suspects = members.select("node").distinct()
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,7 +300,8 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([np.mean(np.frombuffer(bytes(a), np.uint8) == np.frombuffer(bytes(b), np.uint8)) >= ESTIMATE for a, b in zip(x, y, strict=True)], dtype=bool)
+        same = _stacked(x) == _stacked(y)
+        return pd.Series(same.mean(1) >= ESTIMATE, dtype=bool)
 
     def verified(units: DataFrame, name: str) -> DataFrame:
         found = _by_unit(units.hint("shuffle_hash").join(sets, "node").select("u1", "u2", "u3", "side", "node", "shingles")).mapInPandas(_verify, "a long, b long")
