@@ -114,6 +114,25 @@ def test_components_of_long_chains(spark, tmp_path):
     assert set(got.values()) == {0, 100} and got[60] == 0
 
 
+def test_planted_pairs_are_all_linked(spark):
+    """10,000 pairs of full sets at a similarity of 0.75 to 0.8, each a component of its own."""
+    rng, rows, want = np.random.default_rng(12), [], 0
+    words = np.array([f"{a}{b}" for a in range(300) for b in range(100)])
+    while want < 10_000:
+        n = int(rng.integers(60, 160))
+        own = words[rng.integers(0, len(words), n)]
+        other = own.copy()
+        for at in rng.choice(n // 6, int(rng.integers(1, max(2, n // 30))), replace=False):
+            other[6 * at] = f"x{rng.integers(10**9)}"
+        a, b = (minhash.shingle_set(minhash.hashed([w.encode() for w in x])) for x in (own, other))
+        both = len(np.intersect1d(a, b))
+        if 75 <= 100 * both / (len(a) + len(b) - both) <= 80:
+            rows += [(2 * want, " ".join(own)), (2 * want + 1, " ".join(other))]
+            want += 1
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 20_000
+
+
 def test_pairs_whose_sketches_agree_in_a_band_without_a_common_key():
     """An earlier band's sketches collide though its keys differ: the pair still counts, once, in its first common bucket."""
     keys = np.arange(2 * minhash.BANDS).reshape(2, -1)
@@ -182,6 +201,56 @@ def test_leaks_of_reworded_items_at_every_offset(spark):
     assert want <= brute and got == brute
 
 
+def test_latent_search_finds_paraphrases(spark):
+    """The latent search alone, over real documents: words replaced and neighbours exchanged; README states these figures."""
+    rng = random.Random(9)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    pool = [w for _, t in docs for w in decontam.words(t)]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    plants, rows = {}, list(docs)
+    for kept in (0.55, 0.7, 0.85):
+        for i, t in items:
+            own = decontam.words(t)
+            answer = len(own) - decontam.ANSWER
+            free = [k for k in range(answer)]
+            out = set(rng.sample(free, min(len(free), len(own) - int(np.ceil(kept * len(own))))))
+            w = [rng.choice(pool) if k in out else x for k, x in enumerate(own)]
+            if kept > 0.8:  # in exchange of neighbours the subsequence loses one of the two
+                for k in range(0, answer - 1, 8):
+                    w[k], w[k + 1] = w[k + 1], w[k]
+            text = b" ".join([rng.choice(pool) for _ in range(30 + rng.randrange(8))] + w + [rng.choice(pool) for _ in range(40)]).decode()
+            plants[10**6 + len(plants)] = (kept, i)
+            rows.append((10**6 + len(plants) - 1, text))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b, places=False).collect()}
+    whole = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()}
+    assert got <= whole
+    for kept in (0.55, 0.7, 0.85):
+        mine = [(k, i) for k, (part, i) in plants.items() if part == kept and (k, i) in whole]
+        recall = np.mean([x in got for x in mine])
+        print("latent recall", kept, len(mine), recall)
+        assert len(mine) > 0.9 * len(items) and recall >= 0.9
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    pairs = lambda: sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect())
+    whole = pairs()
+    monkeypatch.setattr(decontam, "ITEM_WORDS", 2000)
+    assert pairs() == whole and whole
+
+
+def test_singular_values():
+    """Values and right vectors from one product with random directions, against the exact decomposition."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(300, 8)) @ np.diag([9, 7, 5, 3, 2, 1, 0.5, 0.2]) @ rng.normal(size=(8, 60)) + 0.001 * rng.normal(size=(300, 60))
+    g = rng.standard_normal((60, 24))
+    vectors, values = decontam.decompose(a.T @ (a @ g), g, 6)
+    _, exact, right = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(values, exact[:6], rtol=1e-3) and np.allclose(np.abs((vectors * right[:6].T).sum(0)), 1, atol=1e-3)
+
+
 def test_lcs():
     rng = random.Random(3)
     for _ in range(100):
@@ -372,6 +441,47 @@ def test_chain_equals_enumeration():
         assert np.allclose(got[a:b], marks / total)
 
 
+def test_gradient_of_the_likelihood():
+    """The tags' negative log-likelihood by enumeration, and its numeric derivatives."""
+    rng = np.random.default_rng(4)
+    n = 11
+    score, trans, tag = rng.normal(0, 2, n), rng.normal(0, 1, (2, 2)), rng.integers(0, 2, n).astype(bool)
+    first = np.zeros(n, bool)
+    first[[0, 4, 5]] = True
+
+    def loss(score, trans):
+        out = 0.0
+        for a, b in ((0, 4), (4, 5), (5, n)):
+            of = lambda t: sum(score[a + i] * x for i, x in enumerate(t)) + sum(trans[x, y] for x, y in zip(t, t[1:], strict=False))  # noqa: E731, B023
+            every = [of([(code >> i) & 1 for i in range(b - a)]) for code in range(2 ** (b - a))]
+            out += np.log(np.exp(every).sum()) - of([int(x) for x in tag[a:b]])
+        return out
+
+    by_score, by_trans = toxicity.gradient(score, first, trans, tag)
+    for i in range(n):
+        e = np.eye(n)[i] * 1e-5
+        assert np.isclose(by_score[i], (loss(score + e, trans) - loss(score - e, trans)) / 2e-5, atol=1e-6)
+    for s in (0, 1):
+        for t in (0, 1):
+            e = np.zeros((2, 2))
+            e[s, t] = 1e-5
+            assert np.isclose(by_trans[s, t], (loss(score, trans + e) - loss(score, trans - e)) / 2e-5, atol=1e-6)
+
+
+@pytest.mark.parametrize(("model", "label", "least", "order"), [(quality, "quality", 0.98, 0.99), (toxicity, "toxic", 0.97, 0.93)])
+def test_held_out_accuracy(spark, model, label, least, order):
+    """Labels of documents that training never saw, over a whole table."""
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0 if model is quality else zlib.crc32(str(i).encode()) % 4 == 2
+    known = {r["doc_id"]: r[label] for r in lab.collect() if r[label] is not None}
+    got = [r for r in model.classify(docs, lab).collect() if r["doc_id"] in known]
+    assert all(r["held_out"] == held(r["doc_id"]) for r in got)
+    rows = [(r["score"], r["predicted"], known[r["doc_id"]]) for r in got if r["held_out"]]
+    assert len(rows) > 600 and np.mean([p == y for _, p, y in rows]) > least
+    high, low = [s for s, _, y in rows if y], [s for s, _, y in rows if not y]
+    assert np.mean([[a > b for b in low] for a in high]) > order
+
+
 # 5 chat
 
 
