@@ -66,23 +66,24 @@ def audit(scores: DataFrame, sample: list[str], contract: str = "contract_id", m
     return out.select(*sample, decision.alias("decision"), F.when(decision == "accepted", F.col("best")).alias("selected"), F.when(decision == "ambiguous", F.col("near")).otherwise(0).alias("competitors"), reasons.alias("reasons"))
 
 
-#: Legal moves of a harness's resolution, and its terminal states. Moves from ``probed`` to
-#: ``unverified`` and to ``behavioral_equivalence_class`` are legal here, since the stop and ambiguity rules ask for them.
-EDGES = """
-initial: static_inferred failed
-static_inferred: capability_checked failed
-capability_checked: probed retryable_unsupported unverified failed
-probed: frozen retryable_rejected ambiguous budget_exhausted unidentifiable_from_binary unverified behavioral_equivalence_class failed
-retryable_rejected: probed unverified budget_exhausted failed
-retryable_unsupported: capability_checked unverified budget_exhausted failed
-ambiguous: probed behavioral_equivalence_class unverified budget_exhausted failed
-"""
+#: Legal moves of a harness's resolution, and its terminal states.
+EDGES = {
+    "initial": ("static_inferred", "failed"),
+    "static_inferred": ("capability_checked", "failed"),
+    "capability_checked": ("probed", "retryable_unsupported", "unverified", "failed"),
+    "probed": ("frozen", "retryable_rejected", "ambiguous", "budget_exhausted", "unidentifiable_from_binary", "failed"),
+    "retryable_rejected": ("capability_checked", "probed", "budget_exhausted", "unverified", "failed"),
+    "retryable_unsupported": ("capability_checked", "unverified", "failed"),
+    "ambiguous": ("probed", "behavioral_equivalence_class", "unidentifiable_from_binary", "budget_exhausted", "unverified", "failed"),
+}
 TERMINAL = ("frozen", "behavioral_equivalence_class", "unidentifiable_from_binary", "unverified", "budget_exhausted", "failed")
+#: Moves that are legal here besides, since the stop and the ambiguity rules ask for them.
+ADDED = {"probed": ("unverified", "behavioral_equivalence_class")}
 
 
-def edge_table(spark, text: str = EDGES) -> DataFrame:
-    """Legal (source, target) pairs."""
-    pairs = [(s.strip(), t) for line in text.strip().splitlines() for s, _, ts in [line.partition(":")] for t in ts.split()]
+def edge_table(spark, *tables: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Legal (source, target) pairs; those of EDGES and ADDED where no table is given."""
+    pairs = [(s, t) for table in tables or (EDGES, ADDED) for s, ts in table.items() for t in ts]
     return spark.createDataFrame(pairs, "source string, target string")
 
 

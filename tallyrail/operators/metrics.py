@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrail.functions.numbers import rate, wilson
@@ -125,11 +125,36 @@ def fixed_and_frozen(df: DataFrame, dimensions: list[str], frozen: Column, passe
     return df.groupBy(*dimensions).agg(F.count("*").alias("total"), f.alias("frozen"), k.alias("passed"), rate(k, F.count("*"), None).alias("fixed_rate"), rate(F.count_if(passed & frozen), f, None).alias("frozen_rate"))
 
 
-def slot_scores(df: DataFrame, dimensions: list[str], found: str, truth: str, positive: str) -> DataFrame:
-    """Precision, recall and F1 of ``positive`` over slots of two arrays, the shorter padded with ``missing``."""
-    slots = df.select(*dimensions, F.explode(F.arrays_zip(F.col(found).alias("f"), F.col(truth).alias("t"))).alias("s"))
-    f, t = F.coalesce("s.f", F.lit("missing")) == positive, F.coalesce("s.t", F.lit("missing")) == positive
+def _slot_counts(slots: DataFrame, dimensions: list[str], positive: str) -> DataFrame:
+    f, t = F.coalesce("f", F.lit("missing")) == positive, F.coalesce("t", F.lit("missing")) == positive
     out = slots.groupBy(*dimensions).agg(F.count_if(f & t).alias("tp"), F.count_if(f & ~t).alias("fp"), F.count_if(~f & t).alias("fn"))
     p, r = rate(F.col("tp"), F.col("tp") + F.col("fp"), None), rate(F.col("tp"), F.col("tp") + F.col("fn"), None)
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
     return out.select("*", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def slot_scores(df: DataFrame, dimensions: list[str], found: str, truth: str, positive: str) -> DataFrame:
+    """Precision, recall and F1 of ``positive`` over slots of two arrays, the shorter padded with ``missing``."""
+    return _slot_counts(df.select(*dimensions, F.inline(F.arrays_zip(F.col(found).alias("f"), F.col(truth).alias("t")))), dimensions, positive)
+
+
+def slot_scores_of_rows(found: DataFrame, truth: DataFrame, dimensions: list[str], order: list[str], value: str, positive: str, blocks: int = 64) -> DataFrame:
+    """``slot_scores`` of two ordered tables: rows meet by their position in the group, and no group is held in one row.
+
+    Positions come from counts of ranges of the first order column, so that a large group is sorted in parts.
+    """
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*dimensions, *order, F.col(value).alias(name))
+        time = rows.schema[order[0]].dataType.typeName().startswith(("timestamp", "date"))
+        first = (F.col(order[0]).cast("timestamp") if time else F.col(order[0])).cast("double")
+        ends = rows.groupBy(*dimensions).agg(F.min(first).alias("_low"), F.max(first).alias("_high"))
+        block = F.least(F.floor((first - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-9)) * blocks), F.lit(blocks - 1)).cast("int")
+        rows = rows.join(ends, dimensions).withColumn("_block", F.coalesce(block, F.lit(-1))).drop("_low", "_high")
+        sizes = rows.groupBy(*dimensions, "_block").agg(F.count("*").alias("_size"))
+        ahead = F.coalesce(F.sum("_size").over(Window.partitionBy(*dimensions).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        before = sizes.select(*dimensions, "_block", ahead.alias("_ahead"))
+        rank = F.row_number().over(Window.partitionBy(*dimensions, "_block").orderBy(*order))
+        return rows.withColumn("_rank", rank).join(before, [*dimensions, "_block"]).select(*dimensions, (F.col("_ahead") + F.col("_rank")).alias("_at"), name)
+
+    return _slot_counts(numbered(found, "f").join(numbered(truth, "t"), [*dimensions, "_at"], "full"), dimensions, positive)

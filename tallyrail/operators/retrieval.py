@@ -3,59 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a worker compares at a time; the query set is stated and its size is checked.
-MAX_QUERIES = 100_000
+#: Numbers in the queries of a block: a block goes to every task, and a batch is compared with QUERIES of it at a time.
+BLOCK_NUMBERS, QUERIES, ROWS = 8_000_000, 512, 2048
+NEAREST = "query long, neighbour long, distance double"
 
 
-def nearest(base: DataFrame, queries: DataFrame, metric: str = "l2", k: int = 1, digits: int | None = None) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, metric: str = "l2", k: int = 1, digits: int | None = None, itself: bool = True) -> DataFrame:
     """(query, neighbour, distance, rank): the ``k`` nearest base vectors of each query, ties by id.
 
-    Both tables have (id, vector). The queries are handed to every task, which
-    keeps its ``k`` best of its rows; those are ranked at the end, so a query has
-    at most k rows per task. A zero vector has cosine distance 1. ``digits``
-    rounds distances before ranking. Vectors of another length are an error.
+    Both tables have (id, vector). The queries are read in blocks of a bounded
+    size; a block is handed to every task, which keeps its ``k`` best of its
+    rows; those are ranked at the end, so a query has at most k rows per task.
+    Without ``itself`` a row of the query's own id is no neighbour. A zero vector
+    has cosine distance 1. ``digits`` rounds distances before ranking. Vectors of
+    another length are an error, and null vectors are left out.
     """
-    rows = queries.select("id", "vector").limit(MAX_QUERIES + 1).toPandas().sort_values("id")
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; give them in parts")
     spark = base.sparkSession
-    schema = "query long, neighbour long, distance double"
-    if rows.empty:
-        return spark.createDataFrame([], schema + ", rank int")
-    q = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), np.stack(rows["vector"].map(lambda v: np.asarray(v, np.float64)))))
+    rows = queries.select(F.col("id").cast("long").alias("id"), "vector").where("vector IS NOT NULL")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("wide")).first()
+    blocks = -(-size["n"] * (size["wide"] or 1) // BLOCK_NUMBERS)
+    if not blocks:
+        return spark.createDataFrame([], NEAREST + ", rank int")
+    base = base.select(F.col("id").cast("long").alias("id"), "vector").where("vector IS NOT NULL")
+    found = []
+    for block in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas().sort_values("id")
+        if len(part):
+            held = spark.sparkContext.broadcast((part["id"].to_numpy(np.int64), np.stack(part["vector"].map(lambda v: np.asarray(v, np.float64)))))
+            found.append(base.mapInPandas(_search(held, metric, k, digits, itself), NEAREST))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def distances(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of all rows from all queries, a line per query."""
+    if metric == "l2":
+        return np.stack([((rows - v) ** 2).sum(1) for v in queries])
+    norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)
+    return np.where(norms == 0, 1.0, 1 - (queries @ rows.T) / np.where(norms == 0, 1, norms))
 
+
+def _search(held, metric: str, k: int, digits: int | None, itself: bool):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = q.value
-        best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), np.int64)
+        ids, vectors = held.value
+        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
-                x = np.stack(part["vector"].map(lambda v: np.asarray(v, np.float64)))
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at : at + ROWS]
+                own, x = part["id"].to_numpy(np.int64), np.stack(part["vector"].map(lambda v: np.asarray(v, np.float64)))
                 if x.shape[1] != vectors.shape[1]:
                     raise ValueError("vectors of different dimension")
-                if metric == "l2":
-                    d = np.stack([((x - v) ** 2).sum(1) for v in vectors])
-                else:
-                    norms = np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(x, axis=1)
-                    d = np.where(norms == 0, 1.0, 1 - (vectors @ x.T) / np.where(norms == 0, 1, norms))
-                d = d if digits is None else np.round(d, digits)
-                all_d = np.concatenate((best_d, d), 1)
-                all_i = np.concatenate((best_i, np.broadcast_to(part["id"].to_numpy(np.int64), d.shape)), 1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        n = best_d.shape[1]
-        yield pd.DataFrame({"query": np.repeat(ids, n), "neighbour": best_i.ravel(), "distance": best_d.ravel()})
+                for lo in range(0, len(ids), QUERIES):
+                    q = slice(lo, lo + QUERIES)
+                    d = distances(metric, vectors[q], x)
+                    d = d if digits is None else np.round(d, digits)
+                    if not itself:
+                        d[ids[q, None] == own] = np.inf
+                    all_d = np.concatenate((best_d[q], d), 1)
+                    all_i = np.concatenate((best_i[q], np.broadcast_to(own, d.shape)), 1)
+                    order = np.lexsort((all_i, all_d), axis=1)[:, :k]
+                    best_d[q], best_i[q] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+        keep = np.isfinite(best_d)
+        yield pd.DataFrame({"query": np.broadcast_to(ids[:, None], keep.shape)[keep], "neighbour": best_i[keep], "distance": best_d[keep]})
 
-    found = base.select(F.col("id").cast("long").alias("id"), "vector").where("vector IS NOT NULL").mapInPandas(search, schema)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return search
 
 
 def retrieved_documents(found: DataFrame, base: DataFrame, text: str) -> DataFrame:

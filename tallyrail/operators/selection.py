@@ -58,7 +58,8 @@ def round_robin(df: DataFrame, group: str, stratum: list[str], n: int, seed: int
     """``n`` groups taken in turn from the strata, in each by SHA-256 of seed, NUL and group; with ``turn``."""
     mix = F.sha2(F.concat(F.lit(f"{seed}\0"), F.col(group).cast("string")), 256)
     turn = F.row_number().over(Window.partitionBy(*stratum).orderBy(mix, F.col(group)))
-    return df.withColumn("turn", turn).orderBy("turn", *stratum).limit(n)
+    # No stratum gives more than n groups, so Spark keeps n of each before it sorts.
+    return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", *stratum).limit(n)
 
 
 def complete_groups(df: DataFrame, group: str, member: str, required: list[str]) -> DataFrame:

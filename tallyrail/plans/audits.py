@@ -88,7 +88,7 @@ def audit(spark, sf_dir):
 )
 def edge_check(spark, sf_dir):
     """Observed moves that the edge table does not allow."""
-    edges = a.edge_table(spark, "view: click purchase\nclick: click purchase")
+    edges = a.edge_table(spark, {"view": ("click", "purchase"), "click": ("click", "purchase")})
     return a.illegal_moves(state_transitions(spark, sf_dir), edges)
 
 

@@ -20,14 +20,14 @@ def vectors(spark, sf_dir):
     """
     WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0),
     d AS (SELECT q.vec_id AS query, b.vec_id AS neighbour, round(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS distance
-          FROM q JOIN embeddings b ON q.vec_id % 50 = 0 AND b.vec_id % 50 <> 0)
+          FROM q JOIN embeddings b ON q.vec_id <> b.vec_id)
     SELECT query, neighbour, distance FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) = 1
     """,
 )
 def nearest_l2(spark, sf_dir):
     """The nearest other vector of each stated query, by squared Euclidean distance."""
     v = vectors(spark, sf_dir)
-    return retrieval.nearest(v.where("id % 50 <> 0"), v.where("id % 50 = 0"), "l2", 1, 6).drop("rank")
+    return retrieval.nearest(v, v.where("id % 50 = 0"), "l2", 1, 6, itself=False).drop("rank")
 
 
 @query(
@@ -36,7 +36,7 @@ def nearest_l2(spark, sf_dir):
     WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0),
     d AS (SELECT q.vec_id AS query, b.vec_id AS neighbour, list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS ab,
             sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nn
-          FROM q JOIN embeddings b ON q.vec_id % 50 = 0 AND b.vec_id % 50 <> 0),
+          FROM q JOIN embeddings b ON q.vec_id <> b.vec_id),
     c AS (SELECT query, neighbour, round(CASE WHEN nn = 0 THEN 1.0 ELSE 1 - ab / nn END, 6) AS distance FROM d)
     SELECT query, neighbour, distance, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour)::INTEGER AS "rank" FROM c QUALIFY "rank" <= 3
     """,
@@ -44,7 +44,7 @@ def nearest_l2(spark, sf_dir):
 def nearest_cosine(spark, sf_dir):
     """The three nearest other vectors of each stated query, by cosine distance."""
     v = vectors(spark, sf_dir)
-    return retrieval.nearest(v.where("id % 50 <> 0"), v.where("id % 50 = 0"), "cosine", 3, 6)
+    return retrieval.nearest(v, v.where("id % 50 = 0"), "cosine", 3, 6, itself=False)
 
 
 @query(

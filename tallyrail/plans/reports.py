@@ -133,9 +133,9 @@ def fixed_vs_filtered(spark, sf_dir):
 def slot_prf(spark, sf_dir):
     """Precision, recall and F1 over the slots of two sequences, the shorter one padded."""
     e = read_table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("g"), "event_type", "ts", "event_id", "value")
-    seq = lambda df, n: df.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias(n))
-    both = seq(e, "f").join(seq(e.where("value > 20"), "t"), "g")
-    out = m.slot_scores(both, ["g"], "f", "t", "purchase")
+    some = e.where("value > 20")
+    both = e.select("g").distinct().join(some.select("g").distinct(), "g")
+    out = m.slot_scores_of_rows(e.join(F.broadcast(both), "g"), some.join(F.broadcast(both), "g"), ["g"], ["ts", "event_id"], "event_type", "purchase")
     return out.select("g", "tp", "fp", "fn", *(round9(F.col(c), c) for c in ("precision", "recall", "f1")))
 
 

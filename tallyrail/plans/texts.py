@@ -13,32 +13,30 @@ from tallyrail.session import read_table
 @query(
     "q12_fence_extract",
     """
-    WITH c AS (SELECT conv_id, turn, text, length(text) AS l FROM conversations WHERE text IS NOT NULL),
-    w AS (SELECT *, 'x' || chr(10) || '```c' || chr(10) || substr(text, 1, 5) || chr(10) || '```' || chr(10) || '```' || chr(10) || substr(text, 1, l // 2) || chr(10) || '```' || chr(10) AS r FROM c),
+    WITH w AS (SELECT conv_id, turn, 'x' || chr(10) || '```c' || chr(10) || text || chr(10) || '```' || chr(10) || '```' || chr(10) || role || ': ' || role || chr(10) || '```' || chr(10) AS r FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL),
     b AS (SELECT *, regexp_extract_all(r, '(?is)```(?:c|cpp|c\\+\\+)?\\s*\\n?(.*?)```', 1) AS blocks FROM w)
-    SELECT conv_id, turn, len(blocks) AS blocks,
-           length(trim(CASE WHEN length(blocks[2]) > length(blocks[1]) THEN blocks[2] ELSE blocks[1] END, ' ' || chr(9) || chr(10) || chr(13))) AS code_chars FROM b
+    SELECT conv_id, turn, len(blocks) AS blocks, sha256(trim(CASE WHEN length(blocks[2]) > length(blocks[1]) THEN blocks[2] ELSE blocks[1] END, ' ' || chr(9) || chr(10) || chr(13))) AS code_hash FROM b
     """.replace("\\\\", "\\"),
 )
 def fence_extract(spark, sf_dir):
-    """The longest fenced block of a transcript, the first on a tie."""
-    c = read_table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
-    half = F.expr("substr(text, 1, length(text) div 2)")
-    made = F.concat(F.lit("x\n```c\n"), F.substring("text", 1, 5), F.lit("\n```\n```\n"), half, F.lit("\n```\n"))
+    """The longest fenced block of a transcript that holds the whole text and a note, the first on a tie."""
+    c = read_table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", "text", "role")
+    made = F.concat(F.lit("x\n```c\n"), "text", F.lit("\n```\n```\n"), "role", F.lit(": "), "role", F.lit("\n```\n"))
     got = t.markdown_fence(made)
-    return c.select("conv_id", "turn", got["blocks"].alias("blocks"), F.length(got["code"]).cast("long").alias("code_chars"))
+    return c.select("conv_id", "turn", got["blocks"].alias("blocks"), F.sha2(got["code"], 256).alias("code_hash"))
 
 
 @query(
     "q13_rename_whole_word",
     """
-    SELECT doc_id, sha256(regexp_replace(text, '\\bthe\\b', 'FUN_1', 'g')) AS code_hash, len(regexp_extract_all(text, '\\bthe\\b')) AS n_replaced
-    FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^ -~\\n\\t]')
+    WITH p AS (SELECT doc_id, text, regexp_replace(text, '(^|[^\\p{L}\\p{M}\\p{N}_])the($|[^\\p{L}\\p{M}\\p{N}_])', '\\1' || chr(1) || '\\2', 'g') AS once FROM documents),
+    r AS (SELECT doc_id, regexp_replace(once, '(^|[^\\p{L}\\p{M}\\p{N}_])the($|[^\\p{L}\\p{M}\\p{N}_])', '\\1' || chr(1) || '\\2', 'g') AS twice FROM p)
+    SELECT doc_id, sha256(replace(twice, chr(1), 'FUN_1')) AS code_hash, length(twice) - length(replace(twice, chr(1), '')) AS n_replaced FROM r
     """,
 )
 def rename_word(spark, sf_dir):
-    """Whole-word renaming and its count, on ASCII texts."""
-    docs = read_table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^ -~\n\t]")).select("doc_id", "text")
+    """Whole-word renaming and its count, in all texts; letters with accents are parts of words."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     got = t.rename_word(F.col("text"), F.lit("the"), F.lit("FUN_1"))
     return docs.select("doc_id", F.sha2(got["code"], 256).alias("code_hash"), got["count"].cast("long").alias("n_replaced"))
 
