@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 
 import pandas as pd
 from pyspark.sql import Column
@@ -286,6 +288,68 @@ def normalize_pseudocode(c: pd.Series) -> pd.Series:
     return c.map(normalize_code)
 
 
+def target_assembly(c: Column, name: Column) -> Column:
+    """A function's part of compiler assembly: its visibility and type lines, then from its label to its size line; null without a label.
+
+    Lines end with a newline; without a size line the part goes to the end.
+    """
+    q = quoted(name)
+    label = F.concat(F.lit("(?m)^[ \\t]*"), q, F.lit(":[ \\t]*$"))
+    at = F.regexp_instr(c, label)
+    rest = F.substr(c, at)
+    ends = F.concat(F.lit("(?m)^[ \\t]*\\.size\\s+"), q, F.lit("\\s*,[^\\n]*\\n?"))
+    end = F.regexp_instr(rest, ends)
+    body = F.when(end > 0, F.substr(rest, F.lit(1), end - 1 + F.length(F.regexp_substr(rest, ends)))).otherwise(rest)
+    heads = F.regexp_extract_all(F.substr(c, F.lit(1), at - 1), F.concat(F.lit("(?m)^[ \\t]*\\.(?:globl|type)\\s+"), q, F.lit("(?:[ \\t,][^\\n]*)?\\n")), F.lit(0))
+    return F.when(at > 0, F.concat(F.array_join(heads, ""), body))
+
+
+def disassembly_header(c: Column, name: str = "candidate.o:") -> Column:
+    """The first line that names the object's format, without the folder before ``name``."""
+    return F.regexp_replace(c, f"(?s)\\A((?:(?!file format).)*?)(?-s)^?[^\\n]*{re.escape(name)}(?=[^\\n]*file format)", f"$1{name}")
+
+
+#: Fixed patterns: how compilers name an identifier that is not declared.
+UNDECLARED = (r"['\u2018\"`]([A-Za-z_$][A-Za-z0-9_$]*)['\u2019\"] (?:undeclared|was not declared)", r"use of undeclared identifier ['\u2018\"`]([A-Za-z_$][A-Za-z0-9_$]*)['\u2019\"]")
+
+
+def undeclared(diagnostics: Column) -> Column:
+    """Sorted distinct identifiers that a compiler calls undeclared."""
+    return F.array_sort(F.array_distinct(F.concat(*(F.regexp_extract_all(diagnostics, F.lit(p), F.lit(1)) for p in UNDECLARED))))
+
+
+def public_declaration(declaration: Column, name: Column) -> Column:
+    """A declaration that was published for a name, if it is one external declaration of it; else null."""
+    d = strip(declaration)
+    fits = F.regexp_like(d, F.concat(F.lit("^extern\\s+[^;{}]+\\b"), quoted(name), F.lit("\\s*;$"))) & name.rlike("^[A-Za-z_$][A-Za-z0-9_$]*$")
+    return F.when(fits, d)
+
+
+#: Types that read-only data can be decoded as, their format letters and sizes.
+NUMBERS = {"i8": "b", "u8": "B", "byte": "B", "i16": "h", "u16": "H", "word": "H", "i32": "i", "u32": "I", "dword": "I", "i64": "q", "u64": "Q", "qword": "Q", "f32": "f", "f64": "d"}
+
+
+def decoded(data: str | None, base: int | None, address: int | None, label: str, kind: str) -> str:
+    """JSON of the little-endian numbers at a label of read-only data, or what went wrong."""
+    if address is None:
+        return f"Not Found {label}!"
+    m = re.fullmatch(r"(\w+?)(?:\[(\d+)\])?", (kind or "").lower().strip())
+    try:
+        form, n = f"<{NUMBERS[m[1]] * int(m[2] or 1)}", int(m[2] or 1)
+        at = address - (base or 0)
+        values = struct.unpack(form, bytes.fromhex(data or "")[at : at + struct.calcsize(form)])
+        return json.dumps(values[0] if n == 1 else values)
+    except (KeyError, TypeError, ValueError, struct.error):
+        return f"Read {label} failed!"
+
+
+@F.pandas_udf(T.StringType())
+def decode_rodata(data: pd.Series, base: pd.Series, address: pd.Series, label: pd.Series, kind: pd.Series) -> pd.Series:
+    """Numbers at labels of read-only data; unpacking typed bytes needs Python's struct."""
+    whole = lambda v: None if v is None or pd.isna(v) else int(v)
+    return pd.Series([decoded(d, whole(b), whole(a), n, k) for d, b, a, n, k in zip(data, base, address, label, kind, strict=True)])
+
+
 PROCESSORS = {
     "markdown_fence": lambda code, name: (markdown_fence(code)["code"], F.size(fenced(code)) > 0),
     "rename_target": lambda code, name: (rename_target(code, name)["code"], rename_target(code, name)["count"] > 0),
