@@ -1,4 +1,4 @@
-"""ELF64 little-endian objects as rows: sections, symbols and relocations of ``binaryFile`` content."""
+"""ELF64 objects as rows: sections, symbols and relocations of ``binaryFile`` content."""
 
 from __future__ import annotations
 
@@ -18,12 +18,13 @@ def _name(table: bytes, at: int) -> str:
 
 
 def parse(data: bytes) -> list[tuple]:
-    """(kind, section, name, offset, size, type, bind, addend) rows; anything but an ELF64 little-endian file is an error."""
-    if data[:6] != b"\x7fELF\x02\x01":
-        raise ValueError("not a little-endian ELF64 file")
-    table, = struct.unpack_from("<Q", data, 40)
-    entry, count, names_at = struct.unpack_from("<3H", data, 58)
-    heads = [struct.unpack_from("<2I4Q2I2Q", data, table + i * entry) for i in range(count)]
+    """(kind, section, name, offset, size, type, bind, addend) rows; anything but an ELF64 file, of either byte order, is an error."""
+    if data[:5] != b"\x7fELF\x02" or data[5] not in (1, 2):
+        raise ValueError("not an ELF64 file")
+    order = "<" if data[5] == 1 else ">"
+    table, = struct.unpack_from(f"{order}Q", data, 40)
+    entry, count, names_at = struct.unpack_from(f"{order}3H", data, 58)
+    heads = [struct.unpack_from(f"{order}2I4Q2I2Q", data, table + i * entry) for i in range(count)]
     body = [b"" if h[1] == 8 else data[h[4] : h[4] + h[5]] for h in heads]
     titles = [_name(body[names_at], h[0]) for h in heads]
     rows = [("section", None, t, h[4], h[5], str(h[1]), None, None) for t, h in zip(titles, heads, strict=True)]
@@ -32,14 +33,14 @@ def parse(data: bytes) -> list[tuple]:
         if h[1] in (2, 11):
             symbols[i] = []
             for at in range(0, len(body[i]) - 23, 24):
-                name, info, _, shndx, value, size = struct.unpack_from("<IBBHQQ", body[i], at)
+                name, info, _, shndx, value, size = struct.unpack_from(f"{order}IBBHQQ", body[i], at)
                 text = _name(body[h[6]], name) or (titles[shndx] if info & 15 == 3 and shndx < count else "")
                 symbols[i].append(text)
                 where = None if shndx == 0 else titles[shndx] if shndx < count else "ABS"
                 rows.append(("symbol", where, text, value, size, KINDS.get(info & 15, str(info & 15)), BINDS.get(info >> 4, str(info >> 4)), None))
     for i, h in enumerate(heads):
         if h[1] in (4, 9):
-            step, form = (24, "<QQq") if h[1] == 4 else (16, "<QQ")
+            step, form = (24, f"{order}QQq") if h[1] == 4 else (16, f"{order}QQ")
             for at in range(0, len(body[i]) - step + 1, step):
                 offset, info, *addend = struct.unpack_from(form, body[i], at)
                 held = symbols.get(h[6], [])

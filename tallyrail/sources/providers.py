@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-GENERATION = "sample_id string, success boolean, code string, reason string"
-EVIDENCE = "sample_id string, compile_pass boolean, link_pass boolean, behavioral_pass boolean, reason string, tests_total int, tests_passed int"
+GENERATION = "sample_id string, success boolean, code string, reason string, detail string"
+EVIDENCE = "sample_id string, compile_pass boolean, link_pass boolean, behavioral_pass boolean, reason string, tests_total int, tests_passed int, detail string"
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -48,9 +48,11 @@ def _run(df: DataFrame, make: Callable[[], Provider], schema: str, size: int, fa
                     got = provider(part)
                     if sorted(got["sample_id"]) != sorted(part["sample_id"]):
                         raise ValueError("a provider must answer each request once")
-                except Exception:  # noqa: BLE001  a provider's failure is a result
-                    got = pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), **{k: [v] * len(part) for k, v in failed.items()}})
-                yield got.reindex(columns=names).astype(object)
+                except Exception as why:  # noqa: BLE001  a provider's failure is a result, with what went wrong
+                    row = failed | {"detail": f"{type(why).__name__}: {why}"[-2000:]}
+                    got = pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), **{k: [v] * len(part) for k, v in row.items()}})
+                got = got.reindex(columns=names).astype(object)
+                yield got.where(got.notna(), None)
 
     return df.mapInPandas(run, schema)
 

@@ -76,8 +76,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = Fal
         return spark.createDataFrame([], schema)
     if not tolerant:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path, mode="PERMISSIVE").cache()
-    return spark.createDataFrame([], schema) if rows.where("_corrupt_record IS NOT NULL").limit(1).count() else rows.drop("_corrupt_record")
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path, mode="PERMISSIVE")
+    return spark.createDataFrame([], schema) if rows.where("_corrupt_record IS NOT NULL").head(1) else rows.drop("_corrupt_record")
 
 
 def run_results(spark: SparkSession, run_dir: str, schema: str = RESULTS) -> DataFrame:

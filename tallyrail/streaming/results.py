@@ -32,7 +32,9 @@ def upsert_totals(stream: DataFrame, by: list[str], passed: Column, table: str,
     def fold(batch: DataFrame, epoch: int) -> None:
         new = batch.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"))
         before = f"{table}/v={epoch - 1}"
-        if epoch and exists(spark, before):
+        if epoch:
+            if not exists(spark, before):
+                raise ValueError(f"{before} is missing: totals cannot go on from batch {epoch}")
             new = spark.read.parquet(before).unionByName(new).groupBy(*by).agg(F.sum("total").alias("total"), F.sum("passed").alias("passed"))
         new.write.mode("overwrite").parquet(f"{table}/v={epoch}")
 
