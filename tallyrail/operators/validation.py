@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrail.functions.keys import content_hash
+
 
 def row_errors(df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
     """(key, error) for every rule that a row breaks; a null verdict is a break."""
@@ -41,6 +43,99 @@ def flat_dataset_rules() -> dict[str, Column]:
     }
 
 
+#: What the validator reads of a flat dataset's samples; other fields are left alone.
+CHECKED = (
+    "sample_id string, legacy_name string, source_group_id string, function_name string, optimization string, source struct<code:string,code_sha256:string>, "
+    "evaluation struct<dependencies:string,dependencies_sha256:string,executable_wrapper:string,executable_wrapper_sha256:string,io_pairs:string,io_pair_count:int,io_pairs_sha256:string,"
+    "method:string,passed:boolean,uses_reference_assembly:boolean,compiler_flags:array<string>>, "
+    "assembly struct<gcc_target_assembly:string,gcc_target_assembly_sha256:string,full_translation_unit_assembly:string,full_translation_unit_assembly_sha256:string,"
+    "objdump_intel_with_relocations:string,objdump_intel_sha256:string,objdump_intel_instruction_only:string,objdump_intel_instruction_only_sha256:string,objdump_intel_instruction_only_syntax:string,"
+    "objdump_att_instruction_only:string,objdump_att_instruction_only_sha256:string,objdump_att_instruction_only_syntax:string>, "
+    "assembly_validation struct<assembled:boolean,linked:boolean,behavioral_pass:boolean,tests_total:int,tests_passed:int,validated_full_assembly_sha256:string>, "
+    "decompilation struct<ghidra:struct<code:string,sha256:string,producer:string,version:string,function_name:string,input_kind:string,input_binary_sha256:string>>, "
+    "binary struct<path:string,sha256:string>"
+)
+LEVELS = ("O0", "O1", "O2", "O3")
+
+
+def stored_dataset_rules(pseudocode: bool, files: bool) -> dict[str, Column]:
+    """Row rules of stored samples (schema CHECKED): every text with its digest, the views' forms, and that all passed.
+
+    ``pseudocode`` asks for a decompiler's view too. With ``files`` the column
+    ``file_sha256`` has the digest of the stored binary, null where there is none.
+    """
+    text = lambda c, digest: (F.col(c) != "") & (F.sha2(c, 256) == F.col(digest))
+    view, att, full = "assembly.objdump_intel_instruction_only", "assembly.objdump_att_instruction_only", "assembly.full_translation_unit_assembly"
+    label = F.concat("function_name", F.lit(":\n"))
+    v, p = "assembly_validation", "decompilation.ghidra"
+    rules = {
+        "source": text("source.code", "source.code_sha256"),
+        "dependencies": F.sha2(F.coalesce("evaluation.dependencies", F.lit("")), 256) == F.col("evaluation.dependencies_sha256"),
+        "wrapper": text("evaluation.executable_wrapper", "evaluation.executable_wrapper_sha256"),
+        "io_pair_count": (F.json_array_length("evaluation.io_pairs") > 0) & (F.json_array_length("evaluation.io_pairs") == F.col("evaluation.io_pair_count")),
+        "io_pairs": content_hash(F.col("evaluation.io_pairs")) == F.col("evaluation.io_pairs_sha256"),
+        "evaluation_passed": (F.col("evaluation.method") == "ground_truth_c_source") & F.col("evaluation.passed"),
+        "reference_assembly_unused": ~F.col("evaluation.uses_reference_assembly"),
+        "compiler_flag": F.array_contains("evaluation.compiler_flags", F.concat(F.lit("-"), F.col("optimization"))),
+        "full_assembly": text(full, f"{full}_sha256"),
+        "target_assembly": text("assembly.gcc_target_assembly", "assembly.gcc_target_assembly_sha256"),
+        "disassembly": text("assembly.objdump_intel_with_relocations", "assembly.objdump_intel_sha256"),
+        "symbol_in_disassembly": F.col("assembly.objdump_intel_with_relocations").contains(F.concat(F.lit("<"), F.col("function_name"), F.lit(">:"))),
+        "instruction_view": text(view, f"{view}_sha256"),
+        "instruction_view_label": F.startswith(view, label),
+        "instruction_view_addresses": ~F.col(view).rlike(r"(?m)^\s*[0-9a-fA-F]+:\s"),
+        "instruction_view_relocations": ~F.col(view).contains("R_X86_64_"),
+        "instruction_view_directives": ~F.col(view).rlike(r"(?m)^\s*\.(?:file|text|section|globl|type|size|cfi|ident)"),
+        "instruction_view_syntax": F.col(f"{view}_syntax") == "Intel",
+        "att_view": text(att, f"{att}_sha256"),
+        "att_view_label": F.startswith(att, label),
+        "att_view_addresses": ~F.col(att).rlike(r"(?m)^\s*[0-9a-fA-F]+:\s"),
+        "att_view_syntax": F.col(f"{att}_syntax") == "AT&T",
+        "assembly_passed": F.col(f"{v}.assembled") & F.col(f"{v}.linked") & F.col(f"{v}.behavioral_pass") & (F.col(f"{v}.tests_total") == F.col(f"{v}.tests_passed")) & (F.col(f"{v}.tests_total") == F.json_array_length("evaluation.io_pairs")),
+        "validated_assembly": F.col(f"{v}.validated_full_assembly_sha256") == F.col(f"{full}_sha256"),
+    }
+    if pseudocode:
+        rules |= {
+            "pseudocode": text(f"{p}.code", f"{p}.sha256"),
+            "pseudocode_producer": (F.col(f"{p}.producer") == "ghidra") & (F.col(f"{p}.version") != ""),
+            "pseudocode_function": F.col(f"{p}.function_name") == F.col("function_name"),
+            "pseudocode_input": F.col(f"{p}.input_kind") == "target-object",
+            "pseudocode_input_hash": F.col(f"{p}.input_binary_sha256").rlike("^[0-9a-f]{64}$"),
+        }
+    return rules | ({"binary": F.col("file_sha256") == F.col("binary.sha256")} if files else {})
+
+
+def view_counts(samples: DataFrame) -> DataFrame:
+    """What the stored counts of a dataset's views must be: samples, instructions, merged relocations, made labels, pseudocode."""
+    lines = lambda c, ok: F.coalesce(F.size(F.filter(F.split(c, "\r\n|\n|\r"), ok)), F.lit(0))
+    view = "assembly.objdump_intel_instruction_only"
+    return samples.agg(
+        F.count("*").alias("samples"),
+        F.coalesce(F.sum(lines(view, lambda x: x.startswith("    "))), F.lit(0)).alias("instructions"),
+        F.coalesce(F.sum(lines("assembly.objdump_intel_with_relocations", lambda x: x.contains("R_X86_64_"))), F.lit(0)).alias("relocations_merged"),
+        F.coalesce(F.sum(lines(view, lambda x: x.startswith(".L_"))), F.lit(0)).alias("internal_labels_generated"),
+        F.count_if(F.col("decompilation.ghidra.code") != "").alias("samples_available"),
+    )
+
+
+def stored_dataset_errors(samples: DataFrame, rows: int, groups: int, pseudocode: bool = False, files: bool = False, passed: DataFrame | None = None) -> DataFrame:
+    """(subject, error) of stored samples: rules of rows, of groups, exact counts, unique names, and ``passed`` ids that differ."""
+    out = row_errors(samples, ["sample_id"], stored_dataset_rules(pseudocode, files)).select(F.col("sample_id").alias("subject"), "error")
+    out = out.unionByName(group_errors(samples, "source_group_id", "optimization", list(LEVELS), []).select(F.col("source_group_id").alias("subject"), "error"))
+    for name in ("sample_id", "legacy_name"):
+        twice = samples.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
+        out = out.unionByName(twice.select(F.col(name).alias("subject"), F.lit(f"{name}_not_unique").alias("error")))
+    counts = dataset_errors(samples, "source_group_id", "optimization", rows, groups, {x: rows // len(LEVELS) for x in LEVELS})
+    if counts:
+        out = out.unionByName(samples.sparkSession.createDataFrame([("dataset", c) for c in counts], "subject string, error string"))
+    if passed is not None:
+        ids = samples.select("sample_id").distinct()
+        other = passed.select("sample_id").distinct()
+        for a, b, name in ((ids, other, "not_passed_in_report"), (other, ids, "passed_but_not_stored")):
+            out = out.unionByName(a.join(b, "sample_id", "left_anti").select(F.col("sample_id").alias("subject"), F.lit(name).alias("error")))
+    return out
+
+
 def prompt(template: str, fields: dict[str, Column]) -> Column:
     """A template with ``{name}`` placeholders filled in; an unknown placeholder is an error."""
     import string

@@ -76,3 +76,36 @@ def test_source_kernels(spark):
     assert [r[0] for r in df.select(t.public_declaration(F.col("d"), F.col("n"))).collect()] == ["extern int foo;", None, None]
     df = spark.createDataFrame([("0100000002000000", 100, 104, "L", "i32"), ("0100000002000000", 100, 100, "L", "u32[2]"), ("01", 100, None, "L", "u8"), ("01", 100, 100, "L", "f64"), ("01", 100, 100, "L", "x9")], "a string, b long, c long, d string, e string")
     assert [r[0] for r in df.select(t.decode_rodata(*(F.col(c) for c in "abcde"))).collect()] == ["2", "[1, 2]", "Not Found L!", "Read L failed!", "Read L failed!"]
+
+
+def stored(i, level):
+    """A sample that breaks no rule."""
+    import hashlib
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    intel, att, full, io = "run:\n    ret\n.L_1:\n", "run:\n    ret\n", "full", '[{"a":1}]'
+    listing = "0 <run>:\n R_X86_64_PC32 x"
+    return {
+        "sample_id": f"g{i}:{level}", "legacy_name": f"l{i}{level}", "source_group_id": f"g{i}", "function_name": "run", "optimization": level, "source": {"code": "int f;", "code_sha256": h("int f;")},
+        "evaluation": {"dependencies": "", "dependencies_sha256": h(""), "executable_wrapper": "w", "executable_wrapper_sha256": h("w"), "io_pairs": io, "io_pair_count": 1, "io_pairs_sha256": h(io), "method": "ground_truth_c_source", "passed": True, "uses_reference_assembly": False, "compiler_flags": [f"-{level}"]},
+        "assembly": {"gcc_target_assembly": "t", "gcc_target_assembly_sha256": h("t"), "full_translation_unit_assembly": full, "full_translation_unit_assembly_sha256": h(full), "objdump_intel_with_relocations": listing, "objdump_intel_sha256": h(listing), "objdump_intel_instruction_only": intel, "objdump_intel_instruction_only_sha256": h(intel), "objdump_intel_instruction_only_syntax": "Intel", "objdump_att_instruction_only": att, "objdump_att_instruction_only_sha256": h(att), "objdump_att_instruction_only_syntax": "AT&T"},
+        "assembly_validation": {"assembled": True, "linked": True, "behavioral_pass": True, "tests_total": 1, "tests_passed": 1, "validated_full_assembly_sha256": h(full)},
+        "decompilation": {"ghidra": {"code": "c", "sha256": h("c"), "producer": "ghidra", "version": "1", "function_name": "run", "input_kind": "target-object", "input_binary_sha256": "0" * 64}}, "binary": {"path": "b", "sha256": "0"},
+    }
+
+
+def test_stored_dataset(spark):
+    from tallyrail.operators import validation as v
+
+    good = [stored(i, x) for i in range(2) for x in v.LEVELS]
+    df = spark.createDataFrame(good, v.CHECKED)
+    assert v.stored_dataset_errors(df, 8, 2, pseudocode=True, passed=df).count() == 0
+    assert v.view_counts(df).first().asDict() == {"samples": 8, "instructions": 8, "relocations_merged": 8, "internal_labels_generated": 8, "samples_available": 8}
+    bad = [stored(i, x) for i in range(2) for x in v.LEVELS]
+    bad[0]["source"]["code"], bad[1]["evaluation"]["passed"], bad[2]["assembly"]["objdump_att_instruction_only_syntax"] = "int g;", None, "Intel"
+    bad[3]["assembly_validation"]["tests_passed"], bad[4]["decompilation"]["ghidra"]["input_binary_sha256"], bad[5]["optimization"] = 0, "x", "O0"
+    got = {tuple(r) for r in v.stored_dataset_errors(spark.createDataFrame(bad, v.CHECKED), 8, 2, pseudocode=True, passed=df.where("sample_id <> 'g0:O0'")).collect()}
+    assert got == {
+        ("g0:O0", "source"), ("g0:O1", "evaluation_passed"), ("g0:O2", "att_view_syntax"), ("g0:O3", "assembly_passed"), ("g1:O0", "pseudocode_input_hash"), ("g1:O1", "compiler_flag"),
+        ("g1", "missing_level"), ("g1", "repeated_level"), ("dataset", "n_O0: 3 instead of 2"), ("dataset", "n_O1: 1 instead of 2"), ("g0:O0", "not_passed_in_report"),
+    }
