@@ -314,6 +314,32 @@ def test_packing(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_a_whole_table(spark):
+    """Every document's pieces tile the library's ids, every sequence is gapless, and padding is small."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tok = tokens.ChunkTokenizer("byte_bpe_50k.json")
+    pieces, windows = {}, {}
+    for r in packing.pack_documents(docs, with_ids=True).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for r in docs.collect():
+        want, at = [*tok.full.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_ID], 0
+        for p in sorted(pieces[r["doc_id"]], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(want) and p["ids"] == want[at : at + p["length"]]
+            assert p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes())
+            at += p["length"]
+        assert at == len(want)
+    used = 0
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+        used += at
+    assert used >= 0.97 * packing.CAPACITY * len(windows)
+
+
 def test_windows_hold_everything():
     rng = random.Random(5)
     for n in (1, 2, 30, 500):
@@ -778,4 +804,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert {i: t for i, _, _, t in brute_lines(list(read("quality").items()))} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in lines.items()}
     _, comp = brute_components(list(lines.items()))
     assert set(near) == {i for i in lines if comp[i] == i}
-    assert set(clean) <= set(near) and set(docs.select("doc_id").distinct().toPandas()["doc_id"]) == set(clean)
+    # Quality: the model that the stage learns, asked text by text.
+    first = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(first, spark.read.parquet(f"{sf}/labels.parquet"))
+    memo = model.memo()
+    assert set(read("quality")) == {r["doc_id"] for r in first.collect() if model.score(r["text"], memo) >= quality.THRESHOLD}
+    # Decontamination: every place of every document that has enough of an item's words.
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    known, leaking = decontam.Items.of(items), set()
+    for i, text in near.items():
+        ids = known.numbers(text)
+        for own in known.ids:
+            wide = decontam.room(len(own))
+            held = np.concatenate(([0], np.cumsum(np.isin(ids, own))))
+            starts = np.arange(max(1, len(ids) - wide + 1))
+            starts = starts[held[np.minimum(starts + wide, len(ids))] - held[starts] >= 0.5 * len(own)]
+            masks = decontam.place_masks(own)
+            for at in starts.tolist():
+                part = ids[at : at + wide].tolist()
+                overlap = decontam.lcs(masks, len(own), part) / len(own)
+                if overlap >= 0.7 or overlap >= 0.5 and any(part[k : k + 4] == own[-4:] for k in range(len(part))):
+                    leaking.add(i)
+                    break
+    assert set(clean) == set(near) - leaking and leaking
+    # Packing: all ids of all documents that are left.
+    tok = tokens.ChunkTokenizer("byte_bpe_50k.json")
+    packed = {r["doc_id"]: r["n"] for r in docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert packed == {i: len(tok.encode(t)) + 1 for i, t in clean.items()}
