@@ -67,6 +67,36 @@ def labelled_rows(spark: SparkSession, path: str, limit: int | None = None) -> D
     return rows.withColumns({"includes": split["includes"], "code": split["rest"], "function_name": tx.function_name(F.col("c_func"), F.lit("func0"))})
 
 
+#: Columns of a compiled-functions table: a row per function of a binary.
+COMPILED = "project string, file string, path string, opt string, language string, include string, addr bigint"
+
+
+def compiled_functions(rows: DataFrame, dataset: str, binaries: DataFrame, listings: DataFrame, levels: list[str] | None = None, languages: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Samples of a table of compiled functions (COMPILED): those whose binary is there and has a listing of the function.
+
+    ``binaries`` has the paths that exist, ``listings`` (path, function_name, text)
+    what a disassembling provider gave; an empty text is none. The level may be
+    written with a dash and is O0 where it is missing, the language C. The limit
+    is by project, function and level.
+    """
+    level = F.regexp_replace(F.coalesce("opt", F.lit("O0")), "^-+", "")
+    base = rows.select(
+        F.coalesce("project", F.lit("unknown")).alias("project"), F.coalesce("file", F.lit("")).alias("function_name"), F.coalesce("path", F.lit("")).alias("path"),
+        level.alias("optimization"), F.lower(F.coalesce("language", F.lit("c"))).alias("language"), F.coalesce("include", F.lit("")).alias("prelude"), "addr", F.sha2(F.to_json(F.struct("*")), 256).alias("content_hash"),
+    ).where("function_name <> ''")
+    base = base.where(F.col("optimization").isin(*levels)) if levels else base
+    base = base.where(F.col("language").isin(*languages)) if languages else base
+    found = base.join(binaries.select("path").distinct(), "path", "left_semi").join(listings.where("text <> ''").select("path", "function_name", F.col("text").alias("listing")), ["path", "function_name"])
+    group = F.concat_ws(":", F.lit(dataset), "project", "function_name")
+    cpp = F.col("language").isin("cpp", "c++", "cxx")
+    out = found.select(
+        F.concat_ws(":", group, "optimization").alias("sample_id"), group.alias("source_group_id"), "project", "function_name", "language", "optimization",
+        F.struct(F.col("listing").alias("text"), F.lit("att").alias("syntax")).alias("assembly"), F.struct("path", F.lit("elf").alias("format"), F.lit("x86_64").alias("architecture")).alias("binary"),
+        F.struct(F.when(cpp, "clang++").otherwise("clang").alias("compiler"), "prelude").alias("compile_context"), "addr", "content_hash",
+    )
+    return out.orderBy("project", "function_name", "optimization").limit(limit) if limit is not None else out
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
     """JSON lines under a schema; a missing path is empty and blank lines are skipped.
 

@@ -83,3 +83,13 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.upsert_totals(source, ["event_type"], ok, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     want = events.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(ok).alias("passed"))
     assert sorted(map(tuple, stream.latest(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_compiled_functions(spark):
+    rows = [("p", "f", "a.o", "-O2", "C", "#x", 1), ("p", "f", "a.o", None, None, None, 2), ("p", "g", "a.o", "O1", "c++", None, 3), ("q", "h", "gone.o", "O1", "c", None, 4), ("q", "", "a.o", "O1", "c", None, 5)]
+    df = spark.createDataFrame(rows, readers.COMPILED)
+    binaries = spark.createDataFrame([("a.o",), ("b.o",)], "path string")
+    listings = spark.createDataFrame([("a.o", "f", "f: ret"), ("a.o", "g", "g: ret"), ("gone.o", "h", "x"), ("a.o", "k", "")], "path string, function_name string, text string")
+    got = readers.compiled_functions(df, "d", binaries, listings).orderBy("sample_id").collect()
+    assert [r["sample_id"] for r in got] == ["d:p:f:O0", "d:p:f:O2", "d:p:g:O1"] and got[2]["compile_context"]["compiler"] == "clang++" and got[1]["language"] == "c"
+    assert readers.compiled_functions(df, "d", binaries, listings, levels=["O2"], limit=1).first()["addr"] == 1
