@@ -21,7 +21,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
 
     The rows of least hash of their id are taken; ``weight`` is the share of a
     class's rows that one row of the sample stands for. Ids with several labels
-    take the largest; null ids, labels and texts are no examples.
+    take the largest, ids with several texts the smallest; null ids, labels and
+    texts are no examples.
     """
     y = F.col(label).cast("int").alias("y")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y).where("doc_id IS NOT NULL AND y IS NOT NULL")
@@ -29,7 +30,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("y") == c).orderBy("h").limit(rows_per_class[c]) for c in (0, 1)]
     ids = chosen[0].union(chosen[1]).select("doc_id", "y")
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").toPandas()
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    got = got.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas()
     got = got.sort_values(["doc_id", "text"]).reset_index(drop=True)
     got["weight"] = [counts.get(c, 0) for c in got["y"]]
     got["weight"] /= got.groupby("y")["y"].transform("size") if len(got) else 1
