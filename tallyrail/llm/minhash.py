@@ -307,13 +307,15 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
         found = _by_unit(units.hint("shuffle_hash").join(sets, "node").select("u1", "u2", "u3", "side", "node", "shingles")).mapInPandas(_verify, "a long, b long")
         return written(found.distinct(), f"{path}/{name}")
 
-    star = members.where("node <> lead").select("lead", "node").distinct()
+    star = written(members.where("node <> lead").select("lead", "node").distinct(), f"{path}/meets")
+    per_lead = lambda rows: rows.groupBy("lead").agg(F.count("*").alias("n"))
     left = sketches.select(F.col("node").alias("lead"), F.col("n").alias("m"), F.col("sketch").alias("other"))
     sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * 75
-    star = star.join(sketches, "node").join(left, "lead").where(sizes).where(close("sketch", "other")).select("lead", "node").distinct()
+    star = join_spread(star.join(sketches, "node"), left, "lead", per_lead(star), "node").where(sizes).where(close("sketch", "other")).select("lead", "node").distinct()
     star = written(star, f"{path}/star")
-    chunks = star.groupBy("lead").agg(F.ceil(F.count("*") / STREAMED).cast("int").alias("chunks"))
-    star = star.join(chunks, "lead").withColumn("u2", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    counts = written(per_lead(star), f"{path}/per-lead")
+    chunks = counts.select("lead", F.ceil(F.col("n") / STREAMED).cast("int").alias("chunks"))
+    star = join_spread(star, chunks, "lead", counts, "node").withColumn("u2", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     ends = star.select("lead", "u2").distinct().select(F.col("lead").alias("u1"), "u2", F.lit(0).alias("u3"), F.lit(0).alias("side"), F.col("lead").alias("node"))
     units = star.select(F.col("lead").alias("u1"), "u2", F.lit(0).alias("u3"), F.lit(1).alias("side"), "node").union(ends)
     links = verified(units, "links-1")
