@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyrail.llm import chat, decontam, linededup, media, minhash, packing, quality, repair, secrets, toxicity
+from tallyrail.llm import chat, decontam, divergence, linededup, media, minhash, packing, quality, repair, secrets, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -64,6 +64,11 @@ def op10_secrets(spark, sf_dir):
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark, sf_dir):
+    """How every source differs from its peers and its language."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
+    "op13_divergence": op13_divergence,
     "pages_interleaved": pages_interleaved,
 }
-ORACLE = {"op1_near_dedup": minhash.ORACLE, "op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE}
+ORACLE = {"op1_near_dedup": minhash.ORACLE, "op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE, "op13_divergence": divergence.ORACLE}
