@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyrail.llm import chat, decontam, divergence, linededup, media, minhash, packing, quality, repair, secrets, toxicity
+from tallyrail.llm import chat, decontam, divergence, langid, linededup, media, minhash, packing, quality, repair, search, secrets, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -64,6 +64,16 @@ def op10_secrets(spark, sf_dir):
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op11_search(spark, sf_dir):
+    """The documents that rank highest for every benchmark item."""
+    return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_language(spark, sf_dir):
+    """The language of every document."""
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark, sf_dir):
     """How every source differs from its peers and its language."""
     return divergence.audit(_read(spark, sf_dir, "documents"))
@@ -80,7 +90,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
+    "op11_search": op11_search,
+    "op12_language": op12_language,
     "op13_divergence": op13_divergence,
     "pages_interleaved": pages_interleaved,
 }
-ORACLE = {"op1_near_dedup": minhash.ORACLE, "op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE, "op13_divergence": divergence.ORACLE}
+ORACLE = {"op1_near_dedup": minhash.ORACLE, "op5_chat": chat.ORACLE, "op7_line_dedup": linededup.ORACLE, "op11_search": search.ORACLE, "op13_divergence": divergence.ORACLE}
