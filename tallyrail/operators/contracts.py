@@ -1,4 +1,4 @@
-"""Contracts as structs: truth from signatures, validation, capability, alias groups, matches, minimised inputs."""
+"""Contracts as structs: truth from signatures, validation, capability, matches, minimised inputs."""
 
 from __future__ import annotations
 
@@ -84,20 +84,6 @@ def capability(contract: Column, known: list[str], stubbed: list[str]) -> Column
     return F.struct(F.when(F.size(reasons) > 0, "unsupported").when(stub, "supported_with_stub").otherwise("supported").alias("status"), reasons.alias("reasons"))
 
 
-def alias_groups(objects: Column, pairs: Column) -> Column:
-    """array<struct<object_id, group>>: objects joined by alias pairs (left, right), named by the smallest id of a group.
-
-    A contract has three objects at most, so two passes over the pairs settle it.
-    """
-
-    def least(names: Column) -> Column:
-        near = lambda o, p: F.when(p["left"] == o["object_id"], F.filter(names, lambda x: x["object_id"] == p["right"])[0]["group"]).when(p["right"] == o["object_id"], F.filter(names, lambda x: x["object_id"] == p["left"])[0]["group"])
-        return F.transform(names, lambda o: F.struct(o["object_id"].alias("object_id"), F.array_min(F.array_compact(F.concat(F.array(o["group"]), F.transform(pairs, lambda p: near(o, p))))).alias("group")))
-
-    start = F.transform(objects, lambda o: F.struct(o.alias("object_id"), o.alias("group")))
-    return least(least(start))
-
-
 def target_symbol(symbols: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """The symbol of each key's target name: defined, functions before others, global before local, largest; the first on a tie."""
     found = symbols.join(names, [key, "name"]).where("section IS NOT NULL AND type IN ('FUNC', 'NOTYPE')")

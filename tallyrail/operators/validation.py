@@ -165,9 +165,9 @@ def resolution_path(status: Column, audit: Column, holdout: Column, probed: Colu
     return F.when(F.element_at(path, -1) == status, path).otherwise(F.array_append(path, status))
 
 
-def stop_probing(budget_left: Column, risk: Column, rounds_without_news: Column) -> Column:
-    """Why active probing stops, first reason first; null while it may go on."""
-    return F.when(budget_left <= 0, "budget_exhausted").when(risk, "risk").when(rounds_without_news >= 2, "no_information")
+def stop_probing(budget_left: Column, risk_bound: Column, risk_limit: Column, rounds_without_news: Column) -> Column:
+    """Why active probing stops, first reason first; null while it may go on. A null bound or limit is no risk."""
+    return F.when(budget_left <= 0, "budget_exhausted").when(risk_bound > risk_limit, "risk_limit_exceeded").when(rounds_without_news >= 2, "no_new_information")
 
 
 def proposal_ok(evidence: Column, known: Column, confidence: Column) -> Column:

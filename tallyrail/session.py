@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,3 +30,19 @@ def get_session(master: str | None = None, app: str = "tallyrail", **conf: str)
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """The Parquet table ``name`` of a data folder, by any path that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset, on one machine, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='tallyrail-')}"
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read back, which cuts its lineage."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

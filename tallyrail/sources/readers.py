@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tallyrail.functions import text as tx
 from tallyrail.operators.cache import exists
+from tallyrail.sources import arrays
 
 FLAT = (
-    "samples array<struct<sample_id:string,source_group_id:string,function_name:string,optimization:string,source_type:string,"
+    "struct<sample_id:string,source_group_id:string,function_name:string,optimization:string,source_type:string,"
     "source_metadata:struct<language:string>,source:struct<code:string,signature:array<string>>,assembly:map<string,string>,"
     "decompilation:map<string,struct<code:string,producer:string,version:string,sha256:string>>,"
     "binary:struct<path:string,sha256:string,format:string,architecture:string>,"
-    "evaluation:struct<dependencies:string,executable_wrapper:string,function_head_used_by_wrapper:string>>>"
+    "evaluation:struct<dependencies:string,executable_wrapper:string,function_head_used_by_wrapper:string>>"
 )
 LABELLED = ("task_id string, type string, c_func string, c_test string, asm_labeled string, address_mapping map<string,struct<addr:bigint>>, rodata_addr bigint, rodata_data string")
 RESULTS = (
@@ -26,18 +27,18 @@ RESULTS = (
 
 def flat_dataset(spark: SparkSession, path: str, view: str, pseudocode: str | None = None, levels: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Samples of one JSON document in file order: one assembly view, optionally one pseudocode view, level filter, ordered limit."""
-    rows = spark.read.schema(FLAT).json(path, multiLine=True).select(F.posexplode("samples").alias("ordinal", "s"))
+    rows = arrays.read_array(spark, path, FLAT, "samples").select("file", "ordinal", F.col("e").alias("s"))
     if levels:
         rows = rows.where(F.col("s.optimization").isin(*levels))
     out = rows.select(
-        "ordinal", "s.sample_id", "s.source_group_id", "s.function_name", "s.optimization",
+        "file", "ordinal", "s.sample_id", "s.source_group_id", "s.function_name", "s.optimization",
         F.coalesce("s.source_metadata.language", F.lit("c")).alias("language"),
         F.struct(F.try_element_at("s.assembly", F.lit(view)).alias("text"), F.lit("intel" if "intel" in view.lower() else "att").alias("syntax"), F.lit(view).alias("view")).alias("assembly"),
         F.try_element_at("s.decompilation", F.lit(pseudocode or "")).alias("pseudocode"), "s.binary", F.col("s.source.signature").alias("signature"),
         F.struct("s.source.code", "s.evaluation").alias("private_payload"),
         F.sha2(F.to_json("s"), 256).alias("content_hash"),
     )
-    return out.orderBy("ordinal").limit(limit) if limit is not None else out
+    return out.orderBy("file", "ordinal").limit(limit).drop("file") if limit is not None else out.drop("file")
 
 
 def split_tables(spark: SparkSession, paths: dict[str, str], levels: list[str] | None = None, languages: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -58,11 +59,12 @@ def split_tables(spark: SparkSession, paths: dict[str, str], levels: list[str] |
 
 def labelled_rows(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Rows that have a source and labelled assembly, includes apart from code, function name by its definition; then the limit."""
-    rows = spark.read.schema(LABELLED).json(path, multiLine=True).withColumn("ordinal", F.monotonically_increasing_id())
+    rows = arrays.read_array(spark, path, LABELLED).select("file", "ordinal", "e.*")
     has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     rows = rows.where(has("c_func") & has("asm_labeled"))
     if limit is not None:
-        rows = rows.orderBy("ordinal").limit(limit)
+        rows = rows.orderBy("file", "ordinal").limit(limit)
+    rows = rows.drop("file")
     split = tx.includes(F.col("c_func"))
     return rows.withColumns({"includes": split["includes"], "code": split["rest"], "function_name": tx.function_name(F.col("c_func"), F.lit("func0"))})
 

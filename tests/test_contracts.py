@@ -31,11 +31,6 @@ def test_violations_and_capability(spark):
     assert rows[1]["k"]["reasons"] == ["object_size_exceeds_limit", "unsupported_argument_slot", "unsupported_relation:odd", "unsupported_unknown_external_dependency:mystery"]
 
 
-def test_alias_groups(spark):
-    df = spark.createDataFrame([(["a", "b", "c"], [("c", "b"), ("b", "a")])], "o array<string>, p array<struct<left:string,right:string>>")
-    assert [g["group"] for g in df.select(c.alias_groups(F.col("o"), F.col("p"))).first()[0]] == ["a", "a", "a"]
-
-
 def test_symbols(spark):
     rows = [(1, "f", ".text", "NOTYPE", "GLOBAL", 9, 0), (1, "f", ".text", "FUNC", "LOCAL", 4, 1), (1, "f", None, "FUNC", "GLOBAL", 4, 2), (1, "g", ".data", "OBJECT", "LOCAL", 4, 3), (1, "h", ".bss", "OBJECT", "WEAK", 4, 4)]
     s = spark.createDataFrame(rows, "file int, name string, section string, type string, bind string, size long, position int")

@@ -15,17 +15,25 @@ def test_settings(tmp_path):
     good = {"datasets": [{"id": "d", "type": "flat", "path": "x"}], "decompilers": [{"id": "b", "type": "command"}]}
     done = settings.complete(good)
     assert done["executor"]["memory_mb"] == 2048 and done["preflight"]["mode"] == "strict" and done["_config_hash"] == settings.complete(dict(reversed(good.items())))["_config_hash"]
+    assert done["metrics"] == ["recompilable", "behavioral_pass"] and done["postprocessors"] == ["markdown_fence"]
     bad = {"datasets": [{"id": "d", "type": "flat"}, {"id": "d", "type": "f", "path": "x", "selection_manifest": "m", "limit": 1, "evaluation_protocol": 3}], "preflight": {"mode": "maybe"}}
     assert settings.problems(bad) == [
-        "datasets[0].path is required", "duplicate dataset id: d", "datasets[1].evaluation_protocol must be a string or mapping",
-        "datasets[1] cannot combine selection_manifest with limit", "decompilers must be a non-empty list", "preflight.mode must be strict, warn, or off",
+        "decompilers: a list with at least one row is needed", "datasets[0].path: no value", "datasets[1].id: 'd' is there twice",
+        "datasets[1].evaluation_protocol: int instead of str or dict", "datasets[1].limit: not together with selection_manifest", "preflight.mode: 'maybe' is none of strict, warn, off",
     ]
-    with pytest.raises(ValueError, match="Invalid configuration"):
-        settings.complete(bad)
+    # Kinds first: what is no mapping is named, nothing crashes.
+    assert settings.problems({**done, "datasets": ["x"]}) == ["datasets[0]: no mapping"]
+    assert settings.problems({**done, "preflight": None}) == ["preflight.mode: None is none of strict, warn, off"]
+    assert settings.problems(["x"]) == ["the settings are no mapping"] and settings.problems({**done, "metrics": "all"}) == ["metrics: str instead of list"]
+    for wrong in (bad, ["x"], None, {**good, "preflight": None}):
+        with pytest.raises(ValueError, match="cannot be used"):
+            settings.complete(wrong)
     assert settings.resolve_path("a", "/b") == "/b/a" and settings.resolve_path("/a", "/b") == "/a"
     path = tmp_path / "c.json"
     path.write_text(json.dumps(good))
     assert cli.main(["validate-config", "--config", str(path)]) == 0
+    path.write_text("[1]")
+    assert cli.main(["validate-config", "--config", str(path)]) == 2
     path.write_text("{}")
     assert cli.main(["validate-config", "--config", str(path)]) == 2 and cli.main(["list-plugins"]) == 0
 
