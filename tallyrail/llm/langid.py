@@ -32,6 +32,8 @@ from tallyrail.llm.training import bucket, fold
 FOLDS, HELD_OUT = 5, 0
 #: Training documents of each language, and languages, at most.
 ROWS_PER_LANG, LANGS = 400, 64
+#: Rows that are ranked for each that is taken.
+SPARE = 8
 BITS, STEPS, CHAIN, RATE = 16, 200, 4096, 0.2
 #: Mean length of the runs of words that training chains are spliced from.
 RUN = 30
@@ -297,9 +299,15 @@ def sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, langs: int = LAN
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     known = known.where(fold(folds=FOLDS) != HELD_OUT)
-    often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
-    ids = known.where(F.col("lang").isin(often)).select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_lang)
+    often = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    if not often:
+        return pd.DataFrame({"doc_id": [], "lang": [], "text": []})
+    # Of a frequent language only hashes that can be among the least are ranked: SPARE times as many rows as are taken.
+    below = F.create_map(*(F.lit(x) for lang, n in often.items() for x in (lang, int(min(1.0, SPARE * rows_per_lang / n) * (2**64 - 2**11) - 2**63))))
+    number = F.xxhash64("doc_id", F.lit(23))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = known.where(F.col("lang").isin(list(often))).select("doc_id", "lang", number.alias("h")).where(F.col("h") <= below[F.col("lang")])
+    ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_lang)
     got = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
     return got.sort_values(["doc_id", "lang"]).reset_index(drop=True)
 
