@@ -1,9 +1,7 @@
-"""Contracts as structs: truth from signatures, validation, capability, matches, minimised inputs."""
+"""Contracts as structs: truth from signatures, validation, capability, matches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,32 +94,3 @@ def global_objects(symbols: DataFrame, referenced: DataFrame, key: str) -> DataF
     mark = referenced.select(key, "name").distinct().withColumn("_r", F.lit(True))
     rows = symbols.where(F.col("section").isin(*SECTIONS) & (F.col("type") == "OBJECT")).join(mark, [key, "name"], "left")
     return rows.where(F.col("bind").isin("GLOBAL", "WEAK") | F.col("_r")).drop("_r").orderBy(key, "section", "name")
-
-
-def minimized(case: dict, fails: Callable[[dict], bool], least: dict[str, int], attempts: int = 8) -> tuple[dict, list[tuple[str, bool]]]:
-    """Greedily simplify an input while it still fails: zero integers, zero and shrink objects, place them right.
-
-    ``case`` has ``gpr`` and ``objects`` (size, bytes_hex, placement). Each step is
-    kept only if the simpler input fails too; at most ``attempts`` are tried. The
-    result is diagnostic and changes no verdict.
-    """
-    log: list[tuple[str, bool]] = []
-
-    def steps(c: dict):
-        for slot in sorted(c["gpr"]):
-            if type(c["gpr"][slot]) is int and c["gpr"][slot]:
-                yield f"zero_integer:{slot}", lambda c, s=slot: {**c, "gpr": {**c["gpr"], s: 0}}
-        for name in sorted(c["objects"]):
-            size = least.get(name, c["objects"][name]["size"])
-            put = lambda c, n, **new: {**c, "objects": {**c["objects"], n: {**c["objects"][n], **new}}}
-            yield f"zero_object:{name}", lambda c, n=name, put=put: put(c, n, bytes_hex="00" * c["objects"][n]["size"])
-            if c["objects"][name]["size"] > size:
-                yield f"shrink_object:{name}", lambda c, n=name, k=size, put=put: put(c, n, size=k, bytes_hex=c["objects"][n]["bytes_hex"][: 2 * k])
-            yield f"normalize_placement:{name}", lambda c, n=name, put=put: put(c, n, placement="right")
-
-    for name, change in list(steps(case)):
-        simpler = change(case)
-        if simpler != case and len(log) < attempts:
-            log.append((name, bool(fails(simpler))))
-            case = simpler if log[-1][1] else case
-    return case, log

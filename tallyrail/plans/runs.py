@@ -10,6 +10,7 @@ from tallyrail.functions import text as t
 from tallyrail.operators import audit as a
 from tallyrail.operators import records as r
 from tallyrail.operators import selection as sel
+from tallyrail.operators import sequences
 from tallyrail.plans.catalog import query
 from tallyrail.plans.reports import round9
 from tallyrail.session import read_table
@@ -148,16 +149,24 @@ def holdout(spark, sf_dir):
 @query(
     "q50_legal_moves",
     """
-    SELECT * FROM (VALUES ('initial', 'static_inferred'), ('initial', 'failed'), ('static_inferred', 'capability_checked'), ('static_inferred', 'failed'), ('capability_checked', 'probed'),
+    WITH legal(source, target) AS (VALUES ('initial', 'static_inferred'), ('initial', 'failed'), ('static_inferred', 'capability_checked'), ('static_inferred', 'failed'), ('capability_checked', 'probed'),
     ('capability_checked', 'retryable_unsupported'), ('capability_checked', 'unverified'), ('capability_checked', 'failed'), ('probed', 'frozen'), ('probed', 'retryable_rejected'), ('probed', 'ambiguous'),
     ('probed', 'budget_exhausted'), ('probed', 'unidentifiable_from_binary'), ('probed', 'failed'), ('retryable_rejected', 'capability_checked'), ('retryable_rejected', 'probed'), ('retryable_rejected', 'budget_exhausted'),
     ('retryable_rejected', 'unverified'), ('retryable_rejected', 'failed'), ('retryable_unsupported', 'capability_checked'), ('retryable_unsupported', 'unverified'), ('retryable_unsupported', 'failed'), ('ambiguous', 'probed'),
-    ('ambiguous', 'behavioral_equivalence_class'), ('ambiguous', 'unidentifiable_from_binary'), ('ambiguous', 'budget_exhausted'), ('ambiguous', 'unverified'), ('ambiguous', 'failed')) AS t(source, target)
+    ('ambiguous', 'behavioral_equivalence_class'), ('ambiguous', 'unidentifiable_from_binary'), ('ambiguous', 'budget_exhausted'), ('ambiguous', 'unverified'), ('ambiguous', 'failed')),
+    s AS (SELECT user_id, event_id, ['initial', 'static_inferred', 'capability_checked', 'probed', 'retryable_rejected', 'retryable_unsupported', 'ambiguous', 'frozen', 'failed', 'unverified'][1 + (event_id * 7 + floor(value)::INT) % 10] AS state FROM events),
+    m AS (SELECT state AS source, lead(state) OVER (PARTITION BY user_id ORDER BY event_id) AS target FROM s)
+    SELECT m.source, m.target, any_value(legal.source) IS NOT NULL AS legal, count(*) AS n FROM m LEFT JOIN legal ON m.source = legal.source AND m.target = legal.target WHERE m.target IS NOT NULL GROUP BY 1, 2
     """,
 )
 def legal_moves(spark, sf_dir):
-    """The legal moves of a resolution, without the additions made here."""
-    return a.edge_table(spark, a.EDGES)
+    """The moves between the states that users' events stand for, and whether the table of legal moves has them."""
+    states = F.array(*(F.lit(x) for x in ("initial", "static_inferred", "capability_checked", "probed", "retryable_rejected", "retryable_unsupported", "ambiguous", "frozen", "failed", "unverified")))
+    state = F.element_at(states, (1 + (F.col("event_id") * 7 + F.floor("value")) % 10).cast("int"))
+    rows = read_table(spark, sf_dir, "events").select("user_id", "event_id", state.alias("state"))
+    moves = sequences.transitions(rows, ["user_id"], ["event_id"], "state")
+    illegal = a.illegal_moves(moves, a.edge_table(spark, a.EDGES)).select("source", "target", F.lit(False).alias("_ok"))
+    return moves.join(illegal, ["source", "target"], "left").select("source", "target", F.coalesce("_ok", F.lit(True)).alias("legal"), "n")
 
 
 @query(

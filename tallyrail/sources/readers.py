@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyrail.functions import text as tx
 from tallyrail.operators.cache import exists
-from tallyrail.sources import arrays
+from tallyrail.session import stored
+from tallyrail.sources import arrays, arrow
 
 FLAT = (
     "struct<sample_id:string,source_group_id:string,function_name:string,optimization:string,source_type:string,"
@@ -25,6 +27,10 @@ RESULTS = (
 )
 
 
+#: Neighbours that make a node of a hash tree.
+FAN = 1024
+
+
 def flat_dataset(spark: SparkSession, path: str, view: str, pseudocode: str | None = None, levels: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Samples of one JSON document in file order: one assembly view, optionally one pseudocode view, level filter, ordered limit."""
     rows = arrays.read_array(spark, path, FLAT, "samples").select("file", "ordinal", F.col("e").alias("s"))
@@ -41,20 +47,26 @@ def flat_dataset(spark: SparkSession, path: str, view: str, pseudocode: str | No
     return out.orderBy("file", "ordinal").limit(limit).drop("file") if limit is not None else out.drop("file")
 
 
-def split_tables(spark: SparkSession, paths: dict[str, str], levels: list[str] | None = None, languages: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Samples of split tables (Parquet), in the order of the splits and of ``index``; the limit holds across splits."""
+def split_tables(spark: SparkSession, paths: dict[str, str], levels: list[str] | None = None, languages: list[str] | None = None, limit: int | None = None, form: str = "parquet") -> DataFrame:
+    """Samples of split tables, in the order of the splits and of ``index`` or, in Arrow folders, of their rows; the limit holds across splits.
+
+    ``form`` is ``parquet``, or ``arrow`` for folders of Arrow files, whose reader
+    drops the rows of other levels and languages itself.
+    """
     allowed = {"humaneval", "mbpp"}
     if bad := set(paths) - allowed:
         raise ValueError(f"unknown splits {sorted(bad)}; known are {sorted(allowed)}")
-    parts = [spark.read.parquet(p).withColumn("split", F.lit(s)).withColumn("_split", F.lit(i)) for i, (s, p) in enumerate(paths.items())]
-    out = reduce(DataFrame.unionByName, parts)
-    if levels:
-        out = out.where(F.col("opt").isin(*levels))
-    if languages:
-        out = out.where(F.col("language").isin(*languages))
+    keep = {c: v for c, v in (("opt", levels), ("language", languages)) if v}
+
+    def table(path: str) -> DataFrame:
+        if form == "arrow":
+            return arrow.read_folder(spark, path, keep=keep).withColumnRenamed(arrow.PLACE, "_place")
+        return spark.read.parquet(path).where(reduce(Column.__and__, [F.col(c).isin(*v) for c, v in keep.items()], F.lit(True))).withColumn("_place", F.col("index"))
+
+    out = reduce(DataFrame.unionByName, [table(p).withColumn("split", F.lit(s)).withColumn("_split", F.lit(i)) for i, (s, p) in enumerate(paths.items())])
     if limit is not None:
-        out = out.orderBy("_split", "index", "opt").limit(limit)
-    return out.drop("_split")
+        out = out.orderBy("_split", "_place", "opt").limit(limit)
+    return out.drop("_split", "_place")
 
 
 def labelled_rows(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -161,7 +173,50 @@ def inventory(files: DataFrame, without: str | None = None) -> DataFrame:
     return (rows if without is None else rows.where(~F.col("path").endswith(without))).orderBy("path")
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """One digest of a directory: over the sorted names and digests of its files."""
-    each = F.array_sort(F.collect_list(F.concat_ws(":", "path", F.sha2("content", 256))))
-    return files.agg(F.sha2(F.array_join(each, "\n"), 256).alias("fingerprint"))
+def hash_tree(files: DataFrame, path: str, fan: int = FAN) -> DataFrame:
+    """level, node, files, digest: a tree of digests over the files in order of their path.
+
+    A file's digest is that of its path and its content's digest. The files are
+    numbered over ordered ranges; ``fan`` neighbours make a node of the next level,
+    until one is left. No row or task has more than ``fan`` digests together, and the
+    tree is the same for any partitioning. ``path`` is a folder for its levels.
+    """
+    leaves = files.select("path", F.sha2(F.concat_ws(":", "path", F.sha2("content", 256)), 256).alias("digest"))
+    ordered = leaves.repartitionByRange("path").sortWithinPartitions("path").withColumn("at", F.monotonically_increasing_id())
+    level = stored(ordered.select("at", "digest"), f"{path}/leaves")
+    part = F.shiftright("at", 33)
+    before, total = {}, 0
+    for r in level.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():  # a row per range
+        before[r["p"]], total = total, total + r["n"]
+    if not total:
+        return files.sparkSession.createDataFrame([(0, 0, 0, hashlib.sha256(b"").hexdigest())], "level int, node long, files long, digest string")
+    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
+    level = level.select((offsets[part] + F.col("at").bitwiseAND((1 << 33) - 1)).alias("node"), F.lit(1).cast("long").alias("files"), "digest")
+    levels, number = [], 0
+    while total > 1 or not levels:
+        number, total = number + 1, -(-total // fan)
+        digests = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"])
+        level = level.groupBy(F.floor(F.col("node") / fan).alias("parent")).agg(F.sum("files").alias("files"), F.sha2(F.array_join(digests, "\n"), 256).alias("digest"))
+        level = stored(level.select(F.lit(number).alias("level"), F.col("parent").alias("node"), "files", "digest"), f"{path}/level-{number}")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def fingerprint(files: DataFrame, path: str, fan: int = FAN) -> DataFrame:
+    """One digest of a directory and its number of files: the root of its hash tree."""
+    return hash_tree(files, path, fan).orderBy(F.desc("level")).limit(1).select(F.col("digest").alias("fingerprint"), "files")
+
+
+def bundle_digest(files: DataFrame, names: list[str]) -> str:
+    """SHA-256 over the names and contents of a stated few files, in the order of ``names``; a missing file is an error.
+
+    The files pass through the driver: a bundle of many or large files takes ``fingerprint``.
+    """
+    found = {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in files.where(F.regexp_extract("path", "[^/]*$", 0).isin(names)).collect()}
+    if missing := [n for n in names if n not in found]:
+        raise ValueError(f"files that are missing: {missing}")
+    digest = hashlib.sha256()
+    for n in names:
+        digest.update(n.encode())
+        digest.update(found[n])
+    return digest.hexdigest()

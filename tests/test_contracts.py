@@ -39,13 +39,6 @@ def test_symbols(spark):
     assert [r["name"] for r in c.global_objects(s, none, "file").collect()] == ["h"] and [r["name"] for r in c.global_objects(s, g, "file").collect()] == ["h", "g"]
 
 
-def test_minimized():
-    case = {"gpr": {"RDI": 5, "RSI": 7}, "objects": {"o": {"size": 4, "bytes_hex": "01020304", "placement": "left"}}}
-    got, log = c.minimized(case, lambda x: x["gpr"]["RDI"] == 5, {"o": 2})
-    assert got == {"gpr": {"RDI": 5, "RSI": 0}, "objects": {"o": {"size": 2, "bytes_hex": "0000", "placement": "right"}}}
-    assert log[0] == ("zero_integer:RDI", False) and len(c.minimized(case, lambda x: True, {}, 1)[1]) == 1
-
-
 def test_validation(spark):
     df = spark.createDataFrame([("g", "O0", 1), ("g", "O0", 2), ("h", "O0", 1), ("h", "O1", 1)], "g string, l string, v int")
     assert sorted(map(tuple, validation.group_errors(df, "g", "l", ["O0", "O1"], ["v"]).collect())) == [("g", "differs:v"), ("g", "missing_level"), ("g", "repeated_level")]

@@ -46,7 +46,7 @@ def test_trees_and_inventories(spark, tmp_path):
     got = readers.artifact_tree(spark, f"{tmp_path}/t", "public.json", {"meta": "meta.json"}).collect()
     assert [(r["public"], r["meta"]) for r in got] == [("a", "m"), ("b", None)]
     files = readers.binary_files(spark, f"{tmp_path}/t", "*.json")
-    assert readers.inventory(files, "meta.json").count() == 2 and len(readers.fingerprint(files).first()[0]) == 64
+    assert readers.inventory(files, "meta.json").count() == 2 and len(readers.fingerprint(files, str(tmp_path / 'tree')).first()[0]) == 64
     (tmp_path / "kb.txt").write_text("one\n\n two\n")
     assert [tuple(r) for r in readers.knowledge_base(spark, f"{tmp_path}/kb.txt").orderBy("id").collect()] == [(0, "one"), (1, " two")]
 
