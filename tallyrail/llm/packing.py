@@ -1,19 +1,18 @@
 """Packing of documents into windows by Karmarkar-Karp multiway differencing.
 
 A document's ids that fill whole windows are cut off as windows of their own;
-what is left over is packed with its neighbours. A block of leftovers is split
-into k windows by differencing: partial partitions start as one leftover each,
-and the two with the largest spread are merged with opposing imbalances (the
-largest sum of one with the smallest of the other) until one is left. k starts
-at the least possible count and rises while a window exceeds the capacity, up to
-a stated slack; what still exceeds it is cut off and moved into the room that
-the other windows have. No rows move between partitions.
+what is left over is packed whole with its neighbours. A block of leftovers is
+split into k windows by differencing: partial partitions start as one leftover
+each, and the two with the largest spread are merged with opposing imbalances (the
+largest sum of one with the smallest of the other) until one is left. k starts at
+the least count that could hold the block and rises by one whenever a window
+exceeds the capacity; as every leftover fits a window, no leftover is ever cut. No
+rows move between partitions.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +27,8 @@ from tallyrail.llm.tokens import tokenizer
 
 CAPACITY = 2048
 END_ID = 1
-#: Windows that a block of leftovers aims at; bounds a block's memory and its padding (a window at most, per block).
-BLOCK_WINDOWS = 96
-#: Share by which the window count may rise, by one at least, before leftovers are cut instead.
-SLACK = 0.01
+#: Windows that a block of leftovers aims at; bounds a block's memory. Larger blocks have less padding and cost more.
+BLOCK_WINDOWS = 192
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -62,41 +59,20 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return groups + [[] for _ in range(k - len(groups))]
 
 
-def windows_of(sizes: list[int], capacity: int = CAPACITY, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, length) that hold every item whole or cut, none above ``capacity``."""
-    total = sum(sizes)
-    least = max(1, -(-total // capacity))
-    most = least + math.ceil(least * slack)
-    for k in range(least, most + 1):
+def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Windows of whole items, none above ``capacity``, as the items' positions; an item above it is an error.
+
+    The count starts at the least possible one: what the sum takes, or the items of
+    which no two fit together. It rises while a window is too full, at most to one
+    window per item.
+    """
+    if max(sizes) > capacity:
+        raise ValueError("an item is larger than a window")
+    for k in range(max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes)), len(sizes)):
         groups = difference(sizes, k)
-        sums = [sum(sizes[i] for i in g) for g in groups]
-        if max(sums) <= capacity:
-            return [[(i, 0, sizes[i]) for i in g] for g in groups if g]
-    out, spare = [], []
-    for g, held in zip(groups, sums, strict=True):
-        window, over = [(i, 0, sizes[i]) for i in sorted(g, key=lambda i: (-sizes[i], i))], max(0, held - capacity)
-        while over:  # cut from the largest items on
-            for at, (i, start, length) in enumerate(window):
-                cut = min(over, length)
-                spare.append((i, start + length - cut, cut))
-                window[at] = (i, start, length - cut)
-                over -= cut
-                if not over:
-                    break
-        out.append([w for w in window if w[2]])
-    room = sorted(((capacity - sum(w[2] for w in x), at) for at, x in enumerate(out)), key=lambda r: (-r[0], r[1]))
-    at = 0
-    free = room[0][0] if room else 0
-    for i, start, length in sorted(spare, key=lambda s: (-s[2], s[0])):
-        while length:
-            if not free:
-                at += 1
-                free = room[at][0]
-                continue
-            take = min(free, length)
-            out[room[at][1]].append((i, start, take))
-            start, length, free = start + take, length - take, free - take
-    return [w for w in out if w]
+        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
+            return [g for g in groups if g]
+    return [[i] for i in range(len(sizes))]
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -126,10 +102,10 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_i
             nonlocal block, held, seq
             for window in windows_of([len(b[1]) - b[2] for b in block], capacity) if block else []:
                 offset = 0
-                for i, start, length in window:
+                for i in window:
                     doc_id, ids, base = block[i]
-                    out.append(piece(doc_id, ids, base + start, length, len(ids), seq, offset))
-                    offset += length
+                    out.append(piece(doc_id, ids, base, len(ids) - base, len(ids), seq, offset))
+                    offset += len(ids) - base
                 seq += 1
             block, held = [], 0
 

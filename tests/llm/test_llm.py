@@ -338,33 +338,28 @@ def test_packing_of_a_whole_table(spark):
         assert at <= packing.CAPACITY
         used += at
     assert used >= 0.97 * packing.CAPACITY * len(windows)
+    # Only whole windows are cut off: a document has one piece that is shorter, its last.
+    for own in pieces.values():
+        assert all(p["length"] == packing.CAPACITY for p in sorted(own, key=lambda p: p["start"])[:-1])
 
 
-def test_windows_hold_everything():
+def test_windows_hold_every_leftover_whole():
+    """The count rises until nothing exceeds a window, by no more than that, also over blocks as large as production's."""
     rng = random.Random(5)
-    for n in (1, 2, 30, 500):
-        sizes = [min(2047, int(rng.expovariate(1 / 600)) + 1) for _ in range(n)]
+    blocks = [[min(2047, int(rng.expovariate(1 / 600)) + 1) for _ in range(n)] for n in (1, 2, 30, 500)]
+    for _ in range(3):
+        blocks.append([])
+        while sum(blocks[-1]) < packing.BLOCK_WINDOWS * packing.CAPACITY:
+            blocks[-1].append(max(1, min(packing.CAPACITY - 1, int(rng.expovariate(1 / 600)))))
+    most = lambda sizes, groups: max(sum(sizes[i] for i in g) for g in groups)
+    for sizes in blocks:
         windows = packing.windows_of(sizes)
-        assert max(sum(p[2] for p in w) for w in windows) <= packing.CAPACITY
-        held = {}
-        for w in windows:
-            for i, start, length in w:
-                held.setdefault(i, []).append((start, length))
-        for i, parts in held.items():
-            at = 0
-            for start, length in sorted(parts):
-                assert start == at
-                at += length
-            assert at == sizes[i]
-        assert len(held) == n and len(windows) <= 1.011 * -(-sum(sizes) // packing.CAPACITY) + 1
-    # A block as large as production's: one more window than the least holds every leftover whole.
-    rng, sizes = random.Random(5), []
-    for _ in range(5):
-        sizes = []
-        while sum(sizes) < packing.BLOCK_WINDOWS * packing.CAPACITY:
-            sizes.append(max(1, min(packing.CAPACITY - 1, int(rng.expovariate(1 / 600)))))
-    least = -(-sum(sizes) // packing.CAPACITY)
-    assert len(packing.windows_of(sizes)) == least + 1 and sum(map(len, packing.windows_of(sizes))) == len(sizes)
+        assert most(sizes, windows) <= packing.CAPACITY and sorted(i for w in windows for i in w) == list(range(len(sizes)))
+        least = max(-(-sum(sizes) // packing.CAPACITY), sum(2 * s > packing.CAPACITY for s in sizes))
+        assert all(most(sizes, packing.difference(sizes, k)) > packing.CAPACITY for k in range(least, len(windows)))
+    assert len(packing.windows_of([1025] * 40)) == 40 and len(packing.windows_of([683] * 40)) == 20
+    with pytest.raises(ValueError, match="larger than a window"):
+        packing.windows_of([2049])
     assert sorted(map(sorted, packing.difference([8, 7, 6, 5, 4], 2))) == [[0, 3], [1, 2, 4]] or max(sum([8, 7, 6, 5, 4][i] for i in g) for g in packing.difference([8, 7, 6, 5, 4], 2)) <= 16
 
 
