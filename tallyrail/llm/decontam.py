@@ -20,10 +20,12 @@ latent search finds depends on where the passages fall; README has its recall. S
 the last pass also looks at every place that can hold a leak by its definition: a
 leak of the larger part has one of the item's rarest words, a lesser one the
 answer, and both have enough of the item's words within the length it may take.
+Only documents and items that the latent search has not settled are looked at so.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -371,7 +373,7 @@ def latent(rows: DataFrame, items: Items, weights: Weights, rank: int = RANK, mo
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, path: str | None = None, places: bool = True) -> DataFrame:
-    """(doc_id, item_id, overlap, answer, start, end) of each item found in each document.
+    """(doc_id, item_id, overlap, answer, start, end, origin) of each item found in each document.
 
     A leak is LEAK of the item's words in order within ``room`` words of the
     document, or LEAK_WITH_ANSWER with the answer among them; none is missed.
@@ -379,7 +381,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, path: str | None = None, places
 
     ``overlap`` is the part of the item's words found in order, ``answer``
     whether its last words are there too, ``start`` and ``end`` the words looked
-    at. A pair counts once, with its best place. Null and empty texts and items
+    at, ``origin`` the search that found it: ``latent``, or ``places`` where the
+    latent search gave no leak. A pair counts once, with the best place of its origin. Null and empty texts and items
     hold nothing; repeated rows of documents give repeated rows, and rows without
     doc_id are reported with none. An empty benchmark or table gives no rows.
     The benchmark is the query set; the driver reads it and searches for it in
@@ -405,7 +408,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, path: str | None = None, places
     return reduce(DataFrame.unionByName, [_leaks(docs, Items.of(block), f"{path}/{i}", places) for i, block in enumerate(blocks)])
 
 
-LEAKS = "doc_id long, item_id long, overlap double, answer boolean, start int, end int"
+LEAKS = "doc_id long, item_id long, overlap double, answer boolean, start int, end int, origin string"
 
 
 def _leaks(docs: DataFrame, items: Items, path: str, with_places: bool) -> DataFrame:
@@ -467,12 +470,13 @@ def _leaks(docs: DataFrame, items: Items, path: str, with_places: bool) -> DataF
             return listed[d]
 
         def everywhere(held: list[tuple], begin: np.ndarray, padded: np.ndarray, seen: dict[tuple, tuple]) -> None:
-            """Add the leaks of all places that can hold one."""
+            """Add the leaks of all places that can hold one, for documents and items that the latent search has not settled."""
             spans: dict[tuple, list[tuple[int, int, int]]] = {}
             for n, at, least in places.of(padded):
                 doc, wide = np.searchsorted(begin, at, "right") - 1, room(len(items.ids[n]))
                 for d, p in zip(doc.tolist(), (at - begin[doc]).tolist(), strict=True):
-                    spans.setdefault((d, n), []).append((max(0, p - wide + 1), p, least))
+                    if (d, n) not in seen:
+                        spans.setdefault((d, n), []).append((max(0, p - wide + 1), p, least))
             for (d, n), span in spans.items():
                 merged: list[list[int]] = []
                 for a, b, least in sorted(span):
@@ -481,18 +485,21 @@ def _leaks(docs: DataFrame, items: Items, path: str, with_places: bool) -> DataF
                     else:
                         merged.append([a, b, least])
                 ids, length, has = lists(held, d), len(items.ids[n]), masks[n]
-                wide = room(length)
-                for a, b, least in merged:
-                    if seen.get((d, n), (0,))[0] == 1.0:
-                        break
-                    if lcs(has, length, ids[a : b + wide]) < least:
+                wide, best = room(length), None
+                # Ranges of starts, those that may hold most first: what a range's words hold in all bounds every start in it.
+                queue = [(-lcs(has, length, ids[a : b + wide]), a, b, least) for a, b, least in merged]
+                heapq.heapify(queue)
+                while queue:
+                    most, a, b, least = heapq.heappop(queue)
+                    if -most < least or best and -most / length <= best[0]:
+                        continue
+                    if a == b:
+                        best = max(filter(None, (best, judge(ids, n, a, min(len(ids), a + wide)))), default=None)
                         continue
-                    # A leak can be moved so that it starts with a word of the item.
-                    for start in range(a, b + 1):
-                        if ids[start] in has and (got := judge(ids, n, start, min(len(ids), start + wide))) and got > seen.get((d, n), (0.0,)):
-                            seen[d, n] = got
-                            if got[0] == 1.0:
-                                break
+                    for lo, hi in ((a, (a + b) // 2), ((a + b) // 2 + 1, b)):
+                        heapq.heappush(queue, (-lcs(has, length, ids[lo : hi + wide]), lo, hi, least))
+                if best:
+                    seen[d, n] = best
 
         def flush(held: list[tuple]) -> pd.DataFrame:
             begin = np.cumsum([0] + [len(ids) for _, ids in held])
@@ -500,9 +507,10 @@ def _leaks(docs: DataFrame, items: Items, path: str, with_places: bool) -> DataF
             seen: dict[tuple, tuple] = {}
             listed.clear()
             retrieved(held, begin, padded, seen)
+            latent = len(seen)
             if with_places:
                 everywhere(held, begin, padded, seen)
-            out = [(held[d][0], items.item_ids[n], *v) for (d, n), v in seen.items()]
+            out = [(held[d][0], items.item_ids[n], *v, "latent" if i < latent else "places") for i, ((d, n), v) in enumerate(seen.items())]
             pdf = pd.DataFrame(out, columns=[c.split()[0] for c in LEAKS.split(", ")])
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             return pdf

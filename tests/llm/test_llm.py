@@ -232,6 +232,17 @@ def test_latent_search_finds_paraphrases(spark):
         assert len(mine) > 0.9 * len(items) and recall >= 0.9
 
 
+def test_most_leaks_come_from_the_latent_search(spark, monkeypatch):
+    """The latent search settles most pairs of real documents; with no passage near enough, all are left to the places."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    take = lambda: {(r["doc_id"], r["item_id"]): r["origin"] for r in decontam.leaks(docs, bench).collect()}
+    found = take()
+    assert len(found) > 200 and sum(o == "latent" for o in found.values()) >= 0.95 * len(found)
+    monkeypatch.setattr(decontam, "COSINE", 2.0)
+    without = take()
+    assert set(without) == set(found) and set(without.values()) == {"places"}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
