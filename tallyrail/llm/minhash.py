@@ -221,7 +221,11 @@ def _by_unit(rows: DataFrame) -> DataFrame:
 
 
 def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over a partition's links, UNITED nodes at a time: each that is not its tree's smallest, with that node."""
+    """Union-find over a partition's links: each node that is not its tree's smallest, with that node.
+
+    With UNITED nodes at hand their trees are given out and forgotten; trees of
+    several such parts are joined by the rounds that follow.
+    """
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -232,13 +236,19 @@ def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x], x = top, parent.get(x, x)
         return top
 
+    def stars() -> pd.DataFrame:
+        nodes = [x for x in parent if root(x) != x]
+        return pd.DataFrame({"a": nodes, "b": [parent[x] for x in nodes]}, dtype="int64")
+
     for pdf in parts(batches):
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
             a, b = root(a), root(b)
             parent.setdefault(min(a, b), min(a, b))
             parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
-    yield pd.DataFrame({"a": nodes, "b": [parent[x] for x in nodes]}, dtype="int64")
+        if len(parent) >= UNITED:
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -246,17 +256,19 @@ def components(links: DataFrame, path: str) -> DataFrame:
 
     A partition's links are first united among themselves, which leaves a star a
     tree. Then each round takes the least label among a node and its neighbours,
-    and the label of that label; a round's labels are a written table.
+    and the label of that label; a round's labels are a written table. A node of
+    many links, and a label of many nodes, are split in the joins.
     """
     links = links.select("a", "b").mapInPandas(_united, "a long, b long")
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{path}/links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{path}/labels-0")
+    degrees = written(both.groupBy("b").agg(F.count("*").alias("n")), f"{path}/degrees")
     for i in range(1, 200):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        step = step.join(jump, F.col("next") == F.col("at"), "left").select("node", "component", F.least("next", F.coalesce("further", "next")).alias("next"))
-        step = written(step, f"{path}/labels-{i}")
+        near = join_spread(both, labels.select(F.col("node").alias("b"), "component"), "b", degrees, "a").groupBy("a").agg(F.min("component").alias("near"))
+        step = written(labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("next")), f"{path}/near-{i}")
+        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
+        step = join_spread(step, jump, "next", step.groupBy("next").agg(F.count("*").alias("n")), "node", "left")
+        step = written(step.select("node", "component", F.least("next", F.coalesce("further", "next")).alias("next")), f"{path}/labels-{i}")
         changed = step.where("next < component").limit(1).count()
         labels = step.select("node", F.col("next").alias("component"))
         if not changed:
@@ -326,19 +338,22 @@ def near_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
     shares = known.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = shares.groupBy("key").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select("key", "main", F.ceil((F.col("size") - F.col("most")) / HELD).cast("int").alias("blocks"), F.ceil(F.col("size") / STREAMED).cast("int").alias("chunks"))
-    rest = known.join(mixed, "key")
+    rest = join_spread(known, mixed, "key", shared.select("key", F.col("size").alias("n")), "node")
     number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = rest.where("component <> main").select(F.col("key").alias("u1"), number("blocks").alias("u2"), all_of("chunks").alias("u3"), F.lit(0).alias("side"), "node", "component", "band")
     others = rest.select(F.col("key").alias("u1"), number("chunks").alias("u3"), all_of("blocks").alias("u2"), F.lit(1).alias("side"), "node", "component", "band")
     meeting = outside.unionByName(others).join(keyed, "node").select("u1", "u2", "u3", "side", "node", "component", "band", "n", "sketch", "bands")
     units = written(_by_unit(meeting).mapInPandas(_meet, UNIT).distinct(), f"{path}/meeting")
-    links = written(links.union(verified(units, "links-2")), f"{path}/links")
-    labels = components(links, f"{path}/last")
+    more = verified(units, "links-2")
+    if not more.isEmpty():
+        labels = components(written(links.union(more), f"{path}/links"), f"{path}/last")
 
-    named = nodes.select("d1", "d2", F.col("node").alias("at")).join(labels, F.col("at") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "at").alias("component"))
+    digests = F.struct("d1", "d2").alias("d")
+    named = nodes.select(digests, F.col("node").alias("at")).join(labels, F.col("at") == F.col("node"), "left").select("d", F.coalesce("component", "at").alias("component"))
     # Rows of one doc_id with different texts share the smallest component of their sets.
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    copies = rows.select("doc_id", "n_shingles", digests)
+    out = join_spread(copies, named, "d", copies.groupBy("d").agg(F.count("*").alias("n")), "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

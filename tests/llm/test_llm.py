@@ -114,6 +114,35 @@ def test_components_of_long_chains(spark, tmp_path):
     assert set(got.values()) == {0, 100} and got[60] == 0
 
 
+def test_components_of_parts_and_of_a_large_star(spark, tmp_path, monkeypatch):
+    """Union-find in parts of a few nodes gives the same components, and a node of 20,000 links is split in the joins."""
+    rng = random.Random(6)
+    links = [(0, i) for i in range(1, 20_000)] + [(30_000 + i, 30_000 + rng.randrange(i)) for i in range(1, 500)] + [(40_000, 40_001)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(6)
+    sizes = []
+    spread = minhash.join_spread
+
+    def seen(left, right, key, counts, by, how="inner"):
+        out = spread(left, right, key, counts, by, how)
+        sizes.append(out.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first())
+        return out
+
+    monkeypatch.setattr(minhash, "UNITED", 50)
+    monkeypatch.setattr(minhash, "join_spread", seen)
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["node"]: r["component"] for r in minhash.components(df, f"file://{tmp_path}/c").collect()}
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
+    assert got == {**dict.fromkeys(range(20_000), 0), **dict.fromkeys(range(30_000, 30_500), 30_000), 40_000: 40_000, 40_001: 40_000}
+    print("largest task and rows of the joins:", [tuple(s) for s in sizes])
+    assert all(most <= 0.6 * total for most, total in sizes if total > 10_000)
+
+
 def test_planted_pairs_are_all_linked(spark):
     """10,000 pairs of full sets at a similarity of 0.75 to 0.8, each a component of its own."""
     rng, rows, want = np.random.default_rng(12), [], 0
