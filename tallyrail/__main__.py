@@ -1,4 +1,4 @@
-"""Command line: settings, selections, imports, subsets, reports and the inventory of plugins."""
+"""Command line: runs and their steps, settings, selections, imports, subsets, reports and the inventory of plugins."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from tallyrail import runs
 from tallyrail.functions import settings, text
 from tallyrail.operators import metrics, selection
 from tallyrail.session import get_session
@@ -19,6 +20,16 @@ def parser() -> argparse.ArgumentParser:
     commands = p.add_subparsers(dest="command", required=True)
     commands.add_parser("validate-config").add_argument("--config", required=True)
     commands.add_parser("report").add_argument("--run-dir", required=True)
+    commands.add_parser("validate-dataset", help="pass the datasets' own sources through their evaluators").add_argument("--config", required=True)
+    for name, what in (("generate", "generations of all samples and backends"), ("evaluate", "results of a run's generations"), ("run", "generations, results and reports")):
+        step = commands.add_parser(name, help=what)
+        step.add_argument("--config", required=True)
+        step.add_argument("--run-dir", required=True)
+        step.add_argument("--resume", action="store_true")
+    taken = commands.add_parser("import-run", help="take a run's generations into a cache")
+    taken.add_argument("--run-dir", required=True)
+    taken.add_argument("--cache-dir")
+    taken.add_argument("--config")
     commands.add_parser("list-plugins")
     freeze = commands.add_parser("create-selection-manifest", help="freeze the samples of a flat dataset into a manifest")
     for name in ("--dataset", "--view", "--output"):
@@ -31,12 +42,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def report(spark, run_dir: str) -> dict:
-    """Write a run's grouped reports beside its records; returns the totals."""
-    rows = metrics.with_metrics(readers.run_results(spark, run_dir))
-    groups = {"by_dataset": ["dataset_id"], "by_backend": ["backend_id"], "by_level": ["backend_id", "optimization"]}
-    writers.write_report({n: metrics.summarize(rows, dims) for n, dims in groups.items()}, f"{run_dir}/report")
-    return {"run_dir": run_dir, "records": rows.count(), "reports": sorted(groups)}
+def steps(spark, given: dict, command: str, run_dir: str, resume: bool) -> dict:
+    """Run the steps of a command; returns how many records they made."""
+    done = {"run_dir": run_dir}
+    if command != "evaluate":
+        done["generations"] = runs.generate(spark, given, run_dir, resume).count()
+    if command != "generate":
+        done["results"] = runs.evaluate(spark, given, run_dir).count()
+    return done | (runs.report(spark, run_dir) if command == "run" else {})
 
 
 def subset(spark, source: str, manifest_path: str, target: str) -> dict:
@@ -67,7 +80,16 @@ def main(argv: list[str] | None = None) -> int:
         else:
             spark = get_session(app=f"tallyrail {a.command}")
             if a.command == "report":
-                done = report(spark, a.run_dir)
+                done = runs.report(spark, a.run_dir)
+            elif a.command == "import-run":
+                given = settings.read(a.config) if a.config else None
+                if not (a.cache_dir or given):
+                    raise ValueError("import-run needs --cache-dir or --config")
+                done = runs.import_run(spark, a.run_dir, a.cache_dir or given["output"]["cache"], given and [b["id"] for b in given["decompilers"]])
+            elif a.command == "validate-dataset":
+                done = {"datasets": [r.asDict() for r in runs.validate(spark, settings.read(a.config)).orderBy("dataset_id", "optimization").collect()]}
+            elif a.command in ("generate", "evaluate", "run"):
+                done = steps(spark, settings.read(a.config), a.command, a.run_dir, a.resume)
             elif a.command == "derive-subset":
                 done = subset(spark, a.source_run, a.selection_manifest, a.output_run)
             else:

@@ -206,3 +206,72 @@ def normalized_observation(status: Column, return_kind: Column, rax: Column, poi
         F.when(valid & points, pointer).alias("object"),
         F.when(~F.coalesce(seen, F.lit(False)), "void_or_unknown").when(points & ~inside, "pointer_outside_known_object").alias("reason"),
     )
+
+
+def equivalence_classes(found: DataFrame, observations: DataFrame, sample: list[str], contract: str) -> DataFrame:
+    """Records of the samples whose contracts no probe can tell apart: status, the contract that stands for them, all alternatives.
+
+    ``found`` is what ``discriminate`` gives. A sample has few contracts, and its
+    alternatives are one sorted list.
+    """
+    same = found.where(F.col("verdict") == "behavioral_equivalence_class").select(*sample, F.col("representative").alias("behavioral_contract"), F.col("shared_probes").alias("safe_probe_count"))
+    others = observations.select(*sample, contract).distinct().groupBy(*sample).agg(F.array_sort(F.collect_list(contract)).alias("source_level_alternatives"))
+    out = same.join(others, sample)
+    return out.withColumns({"status": F.lit("unidentifiable_from_binary"), "distinguishing_probe_found": F.lit(False), "reason": F.lit("all alternatives show the same machine behaviour")})
+
+
+def audited_holdouts(explored: DataFrame, held_out: DataFrame, commitments: DataFrame, sample: list[str]) -> DataFrame:
+    """Whether a sample's holdout bears out what exploration accepted: ``holdout`` and ``reason``.
+
+    ``explored`` and ``held_out`` are audits (decision, selected); ``commitments``
+    has ``committed``, the digest written before the holdout ran, and ``replayed``,
+    that of what ran. Only an accepted exploration has a holdout; it is accepted if
+    the digests are equal and the same audit accepts the same contract.
+    """
+    now = held_out.select(*sample, F.col("decision").alias("_d"), F.col("selected").alias("_s"))
+    rows = explored.where("decision = 'accepted'").select(*sample, "selected").join(now, sample, "left").join(commitments, sample, "left")
+    reason = (
+        F.when(F.col("committed").isNull(), "holdout_not_committed")
+        .when(~F.col("committed").eqNullSafe(F.col("replayed")), "holdout_changed_after_commitment")
+        .when(F.col("_d").isNull(), "holdout_not_run")
+        .when(F.col("_d") != "accepted", F.concat(F.lit("holdout_"), F.col("_d")))
+        .when(~F.col("_s").eqNullSafe(F.col("selected")), "holdout_selected_another_contract")
+    )
+    return rows.withColumn("reason", reason).select(*sample, "selected", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("holdout"), "reason")
+
+
+def assembled_from_json(artifacts: DataFrame, schemas: dict[str, str], key: list[str]) -> DataFrame:
+    """A record per key from its artifacts (key, ``name``, ``text``): a struct per name of ``schemas``, null where it is missing.
+
+    Texts are JSON under the name's schema; one that is not becomes null too and is
+    named in ``broken``. Of several artifacts of one name the last in order of their text counts.
+    """
+    bad = "_corrupt_record"
+    parts = [F.max(F.when(F.col("name") == name, F.col("text"))).alias(f"_{name}") for name in schemas]
+    rows = artifacts.groupBy(*key).agg(*parts)
+    for name, schema in schemas.items():
+        rows = rows.withColumn(name, F.from_json(f"_{name}", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    broken = F.array_compact(F.array(*(F.when(F.col(f"{name}.{bad}").isNotNull(), F.lit(name)) for name in schemas)))
+    whole = [F.when(F.col(name).isNotNull() & F.col(f"{name}.{bad}").isNull(), F.col(name).dropFields(bad)).alias(name) for name in schemas]
+    return rows.select(*key, *whole, broken.alias("broken"))
+
+
+def cost_report(rows: DataFrame, dimensions: list[str], numbers: list[str]) -> DataFrame:
+    """Samples, and per number its total and its mean per sample (0.0 without samples); missing numbers count as 0."""
+    out = [F.count("*").alias("samples")]
+    for c in numbers:
+        v = F.coalesce(F.col(c), F.lit(0))
+        out += [F.coalesce(F.sum(v), F.lit(0)).alias(c), rate(F.sum(v), F.count("*")).alias(f"mean_{c}")]
+    return rows.groupBy(*dimensions).agg(*out)
+
+
+def static_evidence(contract: Column) -> Column:
+    """Sorted distinct evidence ids of a contract, its return, its arguments and its objects."""
+    nested = lambda c: F.flatten(F.transform(F.coalesce(contract[c], F.array()), lambda x: F.coalesce(x["evidence_ids"], F.array().cast("array<string>"))))
+    own = lambda ids: F.coalesce(ids, F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(own(contract["evidence_ids"]), own(contract["return_spec"]["evidence_ids"]), nested("arguments"), nested("objects"))))
+
+
+def after_images(things: Column) -> Column:
+    """A map from each object's or global's name to the bytes that it ended with; a missing map is empty."""
+    return F.transform_values(F.coalesce(things, F.create_map().cast("map<string,struct<after_bytes_hex:string>>")), lambda _, t: t["after_bytes_hex"])

@@ -118,14 +118,21 @@ def view_counts(samples: DataFrame) -> DataFrame:
     )
 
 
-def stored_dataset_errors(samples: DataFrame, rows: int, groups: int, pseudocode: bool = False, files: bool = False, passed: DataFrame | None = None) -> DataFrame:
-    """(subject, error) of stored samples: rules of rows, of groups, exact counts, unique names, and ``passed`` ids that differ."""
+def count_errors(samples: DataFrame, stored: dict[str, int]) -> list[str]:
+    """Where the counts that a dataset's manifest has stored differ from those of its samples; a count that is not stored is an error."""
+    got = view_counts(samples).first().asDict()
+    return [f"{name}: {stored[name]} stored, {n} found" if name in stored else f"{name}: not stored, {n} found" for name, n in got.items() if stored.get(name) != n]
+
+
+def stored_dataset_errors(samples: DataFrame, rows: int, groups: int, pseudocode: bool = False, files: bool = False, passed: DataFrame | None = None, stored: dict[str, int] | None = None) -> DataFrame:
+    """(subject, error) of stored samples: rules of rows, of groups, exact counts, ``stored`` counts of views, unique names, and ``passed`` ids that differ."""
     out = row_errors(samples, ["sample_id"], stored_dataset_rules(pseudocode, files)).select(F.col("sample_id").alias("subject"), "error")
     out = out.unionByName(group_errors(samples, "source_group_id", "optimization", list(LEVELS), []).select(F.col("source_group_id").alias("subject"), "error"))
     for name in ("sample_id", "legacy_name"):
         twice = samples.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
         out = out.unionByName(twice.select(F.col(name).alias("subject"), F.lit(f"{name}_not_unique").alias("error")))
     counts = dataset_errors(samples, "source_group_id", "optimization", rows, groups, {x: rows // len(LEVELS) for x in LEVELS})
+    counts += [] if stored is None else count_errors(samples, stored)
     if counts:
         out = out.unionByName(samples.sparkSession.createDataFrame([("dataset", c) for c in counts], "subject string, error string"))
     if passed is not None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrail import __main__ as cli
+from tallyrail import runs
 from tallyrail.functions import settings
 from tallyrail.functions import text as t
 from tallyrail.operators import records
@@ -45,7 +46,7 @@ def test_command_line_over_a_run(spark, tmp_path):
     (run / "results.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
     manifest = tmp_path / "m.json"
     manifest.write_text(json.dumps({"entries": [{"dataset_id": "d", "sample_id": "s1"}, {"dataset_id": "d", "sample_id": "s3"}]}))
-    assert cli.report(spark, str(run))["records"] == 8 and spark.read.json(f"{run}/report/by_backend.json").count() == 2
+    assert runs.report(spark, str(run))["records"] == 8 and spark.read.json(f"{run}/report/by_backend.json").count() == 2
     assert cli.subset(spark, str(run), str(manifest), str(tmp_path / "sub"))["records"] == 4
     manifest.write_text(json.dumps({"entries": [{"dataset_id": "d", "sample_id": "s9"}]}))
     with pytest.raises(ValueError):
