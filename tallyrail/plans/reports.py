@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyrail.functions.numbers import rate
 from tallyrail.operators import metrics as m
+from tallyrail.operators import records as r
 from tallyrail.operators import sequences as s
 from tallyrail.operators.selection import pending
 from tallyrail.plans.catalog import query
@@ -175,8 +175,8 @@ def net_change(spark, sf_dir):
 def cost(spark, sf_dir):
     """Totals of calls and tokens, and means per sample."""
     u = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("calls"), F.sum("value").alias("tokens"))
-    per = lambda c: rate(F.sum(c), F.count("*"))
-    return u.agg(F.count("*").alias("samples"), F.sum("calls").alias("calls"), F.round(F.sum("tokens"), 2).alias("tokens"), round9(per("calls"), "mean_calls"), F.round(per("tokens"), 6).alias("mean_tokens"))
+    out = r.cost_report(u, [], ["calls", "tokens"])
+    return out.select("samples", "calls", F.round("tokens", 2).alias("tokens"), round9(F.col("mean_calls"), "mean_calls"), F.round("mean_tokens", 6).alias("mean_tokens"))
 
 
 @query(
