@@ -23,6 +23,10 @@ def parts(batches: Iterator[pd.DataFrame], rows: int = ROWS_IN_HAND) -> Iterator
             yield pdf.iloc[at : at + rows]
 
 
+#: On one machine without ``spark.checkpoint.dir``: the temporary folder of each application.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; only where that is unset, on one machine, below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
-        base = f"file://{tempfile.mkdtemp(prefix='tallyrail-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        own = spark.sparkContext.applicationId
+        base = _TEMPORARY[own] = _TEMPORARY.get(own) or f"file://{tempfile.mkdtemp(prefix='tallyrail-')}"
     return f"{base.rstrip('/')}/tallyrail-{uuid.uuid4().hex}"
 
 

@@ -27,7 +27,7 @@ MEDIA = "digest string, media binary, n long"
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 #: Elements whose content is no text of the page, and void elements that break a line.
 HIDDEN, UNREAD = {"script", "style", "nav", "noscript", "template"}, {"script", "style"}
-BREAKS = {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "tr", "article", "section", "figure"}
+BREAKS = {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "tr", "td", "th", "dt", "dd", "option", "article", "section", "figure"}
 
 
 class _Interleaved(HTMLParser):

@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores ``threshold`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

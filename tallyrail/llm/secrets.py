@@ -130,8 +130,11 @@ class BlobLedger:
         return join_spread(versions, found, "blob", versions.groupBy("blob").agg(F.count("*").alias("n")), "path", "left")
 
     def versions(self) -> DataFrame:
-        """All rows of versions that the ledger holds."""
-        return reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/versions-{i}") for i in range(self.runs)))
+        """Paths, versions and blobs that the ledger holds: a row that an earlier scan has recorded counts there only, so that a repeated scan adds none."""
+        each = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/versions-{i}").withColumn("scan", F.lit(i)) for i in range(self.runs)))
+        counted = each.groupBy("path", "version", "blob", "scan").agg(F.count("*").alias("n"))
+        first = counted.groupBy("path", "version", "blob").agg(F.min_by("n", "scan").alias("n"))
+        return first.select("path", "version", "blob", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_")).drop("_")
 
     def findings(self) -> DataFrame:
         """All rows of findings that the ledger holds: blob, rule versions of that scan, spans by kind."""

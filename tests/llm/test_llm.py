@@ -480,6 +480,11 @@ def test_toxicity(spark, labels, odd, empty):
         assert [0 <= r["score"] <= 1 for r in toxicity.classify(d, labels).collect()] == [True] * d.count()
 
 
+def test_quality_keeps_columns_of_any_case(spark, labels):
+    docs = spark.createDataFrame([(i, f"word{i} good text") for i in range(8)], "doc_id long, Text string")
+    assert quality.accepted(docs, quality.fit(docs, labels), 0.0).columns == ["doc_id", "Text"]
+
+
 def test_names_of_long_tokens():
     """A token's name and endings are those of the whole core, however long."""
     a, b = toxicity.names("a" * 70 + "xyzw!"), toxicity.names("a" * 70 + "stuv!")
@@ -718,6 +723,28 @@ def test_pages(spark):
         assert [x["position"] for x in got[r["page_id"]]] == list(range(len(got[r["page_id"]])))
 
 
+def test_media_of_pages_in_order(spark):
+    """References and captions of the pages' media, against the tags as a pattern finds them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got: dict[int, list] = {}
+    for r in media.page_segments(rows).where("kind = 'media'").orderBy("page_id", "position").collect():
+        got.setdefault(r["page_id"], []).append(r["ref"])
+    found = 0
+    for r in rows.collect():
+        page = re.sub(r"(?s)<!--.*?-->|<(script|style|nav)\b.*?</\1>", "", r["html"])
+        want = re.findall(r"""<(?:img|video|audio|source)\b[^>]*?\bsrc=["']([^"']+)["']""", page)
+        assert got.get(r["page_id"], []) == want
+        found += len(want)
+    print("media of the pages:", found)
+
+
+def test_cells_are_apart(spark):
+    page = "<table><tr><td>1<td>2</table><dl><dt>a<dd>b</dl><select><option>x<option>y</select>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    text = " ".join(r["text"] for r in media.page_segments(rows).orderBy("position").collect())
+    assert text.split() == ["1", "2", "a", "b", "x", "y"]
+
+
 def test_hot_digests_are_split(spark, monkeypatch):
     from tallyrail.llm import common
 
@@ -802,6 +829,15 @@ def test_ledger_goes_on(spark, tmp_path):
     assert again.findings().count() == 3
 
 
+def test_a_repeated_scan_adds_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "token=abcdef1"), (2, "plain"), (2, "plain"), (None, "x")], "doc_id long, text string")
+    ledger = secrets.BlobLedger(spark, f"file://{tmp_path}/again")
+    for version in ("1", "2", "2", "1"):
+        ledger.scan(rows, version=version)
+    got = Counter((r["path"], r["version"]) for r in ledger.history().collect())
+    assert got == {(p, v): n for v in "12" for p, n in ((1, 1), (2, 2), (None, 1))}
+
+
 def test_secrets(spark, odd, empty, tmp_path):
     text = "é password= 'abc' Api_Key: \"abc123+/\" AKIA" + "A" * 16 + " AKIASHORT " + "0123456789abcdef" * 2 + " ſecret=abcdefg -----BEGIN RSA PRIVATE KEY-----"
     df = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")
