@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrail.operators.contracts import MAX_OBJECT, MAX_OBJECTS
@@ -109,3 +109,22 @@ def default_case(contract: Column, seed: Column) -> Column:
         F.map_from_entries(F.transform(pointed, lambda n: F.struct(n, thing(n)))).alias("objects"),
         F.create_map().cast("map<string,string>").alias("globals"), seed.cast("long").alias("seed"), F.lit("").alias("virtual_read_bytes"),
     ).cast(CASE)
+
+
+def resolved(samples: DataFrame, known: DataFrame) -> DataFrame:
+    """Samples (sample_id, function_name) with the contract and the inputs that are known for them.
+
+    ``known`` has ``scope`` (sample or function), ``name``, ``contract`` (CONTRACT) and
+    ``inputs`` (array of CASE, may be null). A sample's own entry goes before its
+    function's; without inputs the contract's default case is the one. ``reason`` is
+    ``unsupported_missing_known_contract`` where there is no entry, and ``errors`` has
+    the broken rules of every input.
+    """
+    entry = F.struct("contract", "inputs")
+    of = lambda scope, name: known.where(F.col("scope") == scope).groupBy(F.col("name").alias(name)).agg(F.first(entry).alias(f"_{scope}"))
+    rows = samples.join(of("sample", "sample_id"), "sample_id", "left").join(of("function", "function_name"), "function_name", "left").withColumn("_k", F.coalesce("_sample", "_function"))
+    given = F.coalesce(F.col("_k.inputs"), F.array().cast(f"array<{CASE}>"))
+    default = F.when(F.col("_k").isNotNull(), F.array(default_case(F.col("_k.contract"), F.lit(0))))
+    out = rows.withColumns({"contract": F.col("_k.contract"), "inputs": F.when(F.size(given) > 0, given).otherwise(default)})
+    errors = F.transform("inputs", lambda x: case_errors(F.col("contract"), x))
+    return out.withColumns({"errors": errors, "reason": F.when(F.col("_k").isNull(), "unsupported_missing_known_contract")}).select(*samples.columns, "contract", "inputs", "errors", "reason")

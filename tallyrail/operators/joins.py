@@ -50,3 +50,8 @@ def classify_dependencies(undefined: DataFrame, direct: DataFrame, lists: dict[s
     kind = F.coalesce(*(F.when(F.col("name").isin(*names), F.lit(k)) for k, names in lists.items() if names), F.lit("unknown"))
     flag = direct.select("name").distinct().withColumn("direct", F.lit(True))
     return undefined.join(flag, "name", "left").withColumn("direct", F.coalesce("direct", F.lit(False))).withColumn("kind", kind)
+
+
+def unsupported_direct(dependencies: DataFrame, supported: list[str]) -> DataFrame:
+    """Names of the dependencies that the target refers to itself and whose kind is none of ``supported``."""
+    return dependencies.where(F.col("direct") & ~F.col("kind").isin(*supported)).select("name")

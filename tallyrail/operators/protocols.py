@@ -124,3 +124,25 @@ def failure_metadata(reason: Column, detail: Column, prefix: str = "") -> Column
 def backend_version(name: Column, implementation: Column, contract: Column) -> Column:
     """A backend's version: its name and the first twelve digits of the digests of its implementation and its contract."""
     return F.concat(name, F.lit(":impl-"), F.left(implementation, F.lit(12)), F.lit(":contract-"), F.left(F.sha2(contract, 256), F.lit(12)))
+
+
+def gated_levels(levels: list[tuple[str, Column, Column]], shown: int = 2) -> Column:
+    """struct<passed, failed_level, feedback, score>: levels of a check in order, each asked only if those before it hold.
+
+    A level is (name, failures, total): an array of what failed at it, null if it was
+    not asked, and how many things it looked at. Feedback has the first ``shown``
+    failures of the first level that has some; the score is the part of all levels'
+    shares that holds, each level counting alike.
+    """
+    reached, failed, feedback, score = F.lit(True), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0.0)
+    for name, failures, total in levels:
+        bad = F.size(F.coalesce(failures, F.array(F.lit(f"{name} was not checked"))))
+        asked = reached
+        held = F.coalesce(F.try_divide(F.greatest(total - bad, F.lit(0)).cast("double"), total.cast("double")), F.when(bad == 0, 1.0).otherwise(0.0))
+        score = score + F.when(asked, held).otherwise(0.0)
+        here = asked & (bad > 0)
+        more = F.when(bad > shown, F.concat(F.lit(" and "), (bad - shown).cast("string"), F.lit(" more"))).otherwise("")
+        said = F.concat(F.lit(f"{name}: "), F.array_join(F.slice(F.coalesce(failures, F.array(F.lit("not checked"))), 1, shown), "; "), more)
+        failed, feedback = F.coalesce(failed, F.when(here, name)), F.coalesce(feedback, F.when(here, said))
+        reached = asked & (bad == 0)
+    return F.struct(reached.alias("passed"), failed.alias("failed_level"), feedback.alias("feedback"), (score / len(levels)).alias("score"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyrail.functions.keys import content_hash
 
@@ -177,6 +181,52 @@ def stop_probing(budget_left: Column, risk_bound: Column, risk_limit: Column, ro
     return F.when(budget_left <= 0, "budget_exhausted").when(risk_bound > risk_limit, "risk_limit_exceeded").when(rounds_without_news >= 2, "no_new_information")
 
 
+#: Fields that a proposal may not have at any depth, and the strategies of a probe intent.
+FORBIDDEN_FIELDS = ("source", "source_truth", "official_signature", "wrapper", "hidden_test", "evaluator_output", "ground_truth")
+STRATEGIES = ("effect_boundary", "boundary_pair", "stability_replay", "safe_neighborhood")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def forbidden_fields(proposal: pd.Series) -> pd.Series:
+    """Sorted names of FORBIDDEN_FIELDS that JSON text has at any depth."""
+
+    def found(text: str | None) -> list[str]:
+        hit, todo = set(), [] if text is None else [json.loads(text)]
+        while todo:
+            value = todo.pop()
+            if isinstance(value, dict):
+                hit.update(k for k in value if k in FORBIDDEN_FIELDS)
+                todo += value.values()
+            elif isinstance(value, list):
+                todo += value
+        return sorted(hit)
+
+    return proposal.map(found)
+
+
+def proposal_errors(proposal: Column, known: Column, intent: bool = False) -> Column:
+    """array<string>: what is wrong with a proposal given as JSON text, in order; empty if it can be used.
+
+    ``known`` has the evidence ids that there are. A contract proposal must have
+    ``proposed_contract``; a probe intent a known ``strategy`` and a ``rationale``.
+    Both need evidence, all of it known, and a ``confidence`` from 0 to 1, 0 where it is missing.
+    """
+    field = lambda name: F.get_json_object(proposal, f"$.{name}")
+    evidence = F.coalesce(F.from_json(field("evidence_ids"), "array<string>"), F.array().cast("array<string>"))
+    unknown = F.array_sort(F.array_distinct(F.array_except(evidence, known)))
+    confidence = F.coalesce(field("confidence").try_cast("double"), F.lit(0.0))
+    own = (
+        [F.when(~F.coalesce(field("strategy"), F.lit("")).isin(*STRATEGIES), "unknown_strategy"), F.when(F.coalesce(field("rationale"), F.lit("")) == "", "no_rationale")]
+        if intent
+        else [F.when(F.coalesce(field("proposed_contract"), F.lit("{}")).isin("{}", "null", "[]", ""), "no_proposed_contract")]
+    )
+    return F.concat(
+        F.transform(forbidden_fields(proposal), lambda n: F.concat(F.lit("forbidden_field:"), n)),
+        F.array_compact(F.array(*own, F.when(~confidence.between(0.0, 1.0), "confidence_out_of_range"), F.when(F.size(evidence) == 0, "no_evidence"))),
+        F.transform(unknown, lambda n: F.concat(F.lit("unknown_evidence:"), n)),
+    )
+
+
 def proposal_ok(evidence: Column, known: Column, confidence: Column) -> Column:
     """Whether a proposal names known evidence only, at least one, and a confidence in [0, 1]."""
     return (F.size(evidence) > 0) & (F.size(F.array_except(evidence, known)) == 0) & confidence.between(0.0, 1.0)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyrail.functions.keys import content_hash
+from tallyrail.operators import baselines, cases, joins
 from tallyrail.operators import protocols as p
 from tallyrail.operators import records as r
 from tallyrail.plans.catalog import query
+from tallyrail.operators.validation import proposal_errors
 from tallyrail.plans.reports import round9
-from tallyrail.session import read_table
-from tallyrail.sources import delivery
+from tallyrail.session import read_table, scratch
+from tallyrail.sources import delivery, readers
 
 
 @query(
@@ -185,3 +188,150 @@ def wrappers_and_exits(spark, sf_dir):
     wrapper = F.when(size % 4 == 0, F.concat(f, F.lit(' extern "C" int x;'))).otherwise(F.concat(f, F.lit(' extern "C" {\n int '), f, F.lit('(int);\n} extern "C" { z }')))
     got, verdict = p.rewritten_wrapper(wrapper, F.concat(F.lit("/w/"), f, F.lit(".c"))), p.exit_code_evidence(size % 5 != 0, size % 5 == 1, F.when(size % 5 == 2, 3).when(size % 5 == 4, 0))
     return part.select("p_partkey", F.coalesce(got["code"], F.lit("")).alias("code"), F.coalesce(got["reason"], F.lit("none")).alias("wrapper_reason"), F.coalesce(verdict["reason"], F.lit("none")).alias("exit_reason"), verdict["behavioral_pass"].alias("behavioral_pass"))
+
+
+def _frozen(spark, sf_dir):
+    """Documents as frozen samples: their artifacts, some of which no longer fit the manifest."""
+    i = F.col("doc_id")
+    explored, held = F.concat(F.lit('{"p":'), i, F.lit('}\n{"p":1}\n')), F.concat(F.lit('{"h":'), i, F.lit("}"))
+    policy = F.lit('{"compare": ["return", "memory"]}')
+    rest = F.to_json(F.struct(
+        F.lit("c1").alias("contract_id"), F.sha2(i.cast("string"), 256).alias("contract_hash"), F.when(i % 5 == 0, 3).otherwise(2).alias("exploration_probe_count"), F.lit(1).alias("holdout_probe_count"),
+        baselines.list_hash(held).alias("holdout_probe_plan_hash"), (i % 7 == 0).alias("mutation_after_freeze_allowed"), content_hash(policy).alias("observation_policy_hash"), F.lit(3).alias("probe_count"),
+        baselines.list_hash(explored).alias("probe_plan_hash"), F.lit("v2").alias("schema_version"), F.lit("frozen").alias("status"),
+    ))
+    # Keys in order, no white space: the canonical form that the manifest's own hash is of.
+    keys = F.from_json(rest, "map<string,string>")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", rest.alias("rest"), keys.alias("keys"), explored.alias("explored"), held.alias("held"), policy.alias("policy"))
+    ordered = F.regexp_replace("rest", '^\\{"contract_id":"c1","contract_hash":("[^"]*")', '{"contract_hash":$1,"contract_id":"c1"')
+    own = F.sha2(ordered, 256)
+    harness = F.concat(F.substr("rest", F.lit(1), F.length("rest") - 1), F.lit(',"content_hash":"'), F.when(i % 11 == 0, F.lit("x")).otherwise(own), F.lit('"}'))
+    metadata = F.when(i % 13 == 0, F.lit('{"harness_frozen": false, "contract_selection_status": "audit_accepted_frozen"}')).otherwise('{"harness_frozen": true, "contract_selection_status": "audit_accepted_holdout_frozen"}')
+    return d.select(
+        i.cast("string").alias("sample_id"), F.when(i % 3 != 0, harness).alias("harness"), metadata.alias("metadata"), F.concat(F.lit('{"contract_id": "'), F.when(i % 17 == 0, "c2").otherwise("c1"), F.lit('"}')).alias("selected"), "policy",
+        F.when(i % 19 == 0, F.concat("explored", F.lit('{"p":2}'))).otherwise(F.col("explored")).alias("exploration_probes"), F.col("held").alias("holdout_probes"), F.lit('{"o":1}\n\n{"o":2}').alias("exploration_observations"),
+        F.when(i % 23 != 0, F.lit('{"o":3}\n')).alias("holdout_observations"), F.sha2(i.cast("string"), 256).alias("selected_hash"), F.when(i % 29 != 0, F.lit("r")).alias("runner_sha256"),
+    )
+
+
+@query(
+    "q97_baseline_entries",
+    """
+    WITH x AS (SELECT doc_id AS i FROM documents WHERE doc_id % 3 <> 0)
+    SELECT i::VARCHAR AS sample_id, CASE WHEN i % 19 = 0 THEN 3 ELSE 2 END AS exploration_probe_count, 1 AS holdout_probe_count, list_filter([CASE WHEN i % 11 = 0 THEN 'manifest_content_hash' END, CASE WHEN i % 7 = 0 THEN 'mutation_forbidden' END, CASE WHEN i % 13 = 0 THEN 'metadata_frozen' END,
+        CASE WHEN i % 17 = 0 THEN 'selected_contract_id' END, CASE WHEN i % 19 = 0 THEN 'exploration_probe_plan_hash' END, CASE WHEN (i % 19 = 0) <> (i % 5 = 0) THEN 'exploration_probe_count' END, CASE WHEN i % 19 = 0 THEN 'probe_count' END,
+        CASE WHEN i % 19 = 0 THEN 'exploration_observation_count' END, CASE WHEN i % 23 = 0 THEN 'holdout_observation_count' END, CASE WHEN i % 29 = 0 THEN 'original_runner_present' END], lambda z: z IS NOT NULL) AS failure_reasons,
+        (i % 19 <> 0 AND i % 5 <> 0) AS exploration_plan
+    FROM x
+    """,
+)
+def baseline_entries(spark, sf_dir):
+    """Frozen samples compared with their manifests by seventeen checks, and a report's check of the exploration plan."""
+    found = baselines.entries(_frozen(spark, sf_dir), "v2")
+    return found.join(baselines.plan_checks(found), "sample_id").select("sample_id", "exploration_probe_count", "holdout_probe_count", "failure_reasons", "exploration_plan")
+
+
+@query("q98_knowledge_base", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, 'line ' || doc_id || ' ' || lang AS text FROM documents WHERE doc_id % 7 <> 0")
+def knowledge_base(spark, sf_dir):
+    """Documents' lines written as text files with blank ones among them, and read back numbered."""
+    path = f"{scratch(spark)}/lines"
+    d = read_table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    d.select(F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.concat(F.lit("line "), "doc_id", F.lit(" "), "lang")).alias("value")).write.text(path)
+    return readers.knowledge_base(spark, path)
+
+
+@query(
+    "q99_resolved_contracts",
+    """
+    WITH x AS (SELECT p_partkey AS i, p_name, p_size FROM part)
+    SELECT i AS p_partkey, CASE WHEN i % 5 = 0 THEN 's' || (p_size % 3) WHEN p_name LIKE 'red%' THEN 'f' ELSE 'none' END AS contract_id, CASE WHEN i % 5 = 0 THEN 2 WHEN p_name LIKE 'red%' THEN 1 ELSE 0 END AS inputs,
+        CASE WHEN i % 5 = 0 AND p_size % 3 > 0 THEN 1 ELSE 0 END AS broken, CASE WHEN i % 5 = 0 OR p_name LIKE 'red%' THEN 'none' ELSE 'unsupported_missing_known_contract' END AS reason
+    FROM x
+    """,
+)
+def resolved_contracts(spark, sf_dir):
+    """Contracts and inputs known for parts as samples, by their own entry, by that of their name, or by neither."""
+    parts = read_table(spark, sf_dir, "part")
+    samples = parts.select(F.col("p_partkey").cast("string").alias("sample_id"), F.col("p_name").alias("function_name"))
+    contract = lambda name, least: F.struct(name.alias("contract_id"), F.array(F.struct(F.lit("RDI").alias("slot"), F.lit("pointer").alias("kind"), F.lit("o").alias("object_ref"))).alias("arguments"), F.array(F.struct(F.lit("o").alias("object_id"), least.cast("int").alias("min_size"))).alias("objects"), F.array().cast("array<struct<kind:string,left:string,right:string,offset:int,length_slot:string,object_ref:string>>").alias("relations")).cast(cases.CONTRACT)
+    name = F.concat(F.lit("s"), F.col("p_size") % 3)
+
+    def case(size):
+        thing = F.struct(F.lit(size).alias("size"), F.lit("00" * size).alias("bytes_hex"), F.lit("left").alias("placement"))
+        register = F.struct(F.lit(None).cast("long").alias("value"), F.lit("o").alias("object_ref"), F.lit(False).alias("is_null"))
+        return F.struct(F.lit(1).alias("schema_version"), name.alias("contract_id"), F.create_map(F.lit("RDI"), register).alias("gpr"), F.create_map(F.lit("o"), thing).alias("objects"), F.create_map().cast("map<string,string>").alias("globals"), F.lit(0).cast("long").alias("seed"), F.lit("").alias("virtual_read_bytes")).cast(cases.CASE)
+
+    own = parts.where("p_partkey % 5 = 0").select(F.lit("sample").alias("scope"), F.col("p_partkey").cast("string").alias("name"), contract(name, F.when(F.col("p_size") % 3 > 0, 2).otherwise(1)).alias("contract"), F.array(case(1), case(2)).alias("inputs"))
+    shared = parts.where("p_name LIKE 'red%'").select(F.lit("function").alias("scope"), F.col("p_name").alias("name")).distinct().select("scope", "name", contract(F.lit("f"), F.lit(3)).alias("contract"), F.lit(None).cast(f"array<{cases.CASE}>").alias("inputs"))
+    got = cases.resolved(samples, own.unionByName(shared))
+    broken = F.size(F.filter(F.coalesce("errors", F.array().cast("array<array<string>>")), lambda e: F.size(e) > 0))
+    return got.select(F.col("sample_id").cast("long").alias("p_partkey"), F.coalesce("contract.contract_id", F.lit("none")).alias("contract_id"), F.size(F.coalesce("inputs", F.array().cast(f"array<{cases.CASE}>"))).alias("inputs"), broken.alias("broken"), F.coalesce("reason", F.lit("none")).alias("reason"))
+
+
+@query(
+    "q100_precomputed",
+    """
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'code ' || doc_id WHEN doc_id % 4 = 1 THEN 'shared' WHEN doc_id % 3 = 0 THEN '-' ELSE sha256(text) END AS code, CASE WHEN doc_id % 4 > 1 AND doc_id % 3 = 0 THEN 'precomputed_output_missing' ELSE 'none' END AS reason FROM documents
+    """,
+)
+def precomputed(spark, sf_dir):
+    """Stored outputs of documents as samples: by a manifest's code, by its path, by the pattern of their names, or none."""
+    d, i = read_table(spark, sf_dir, "documents"), F.col("doc_id")
+    requests = d.select("doc_id", F.concat(F.lit("a/"), i).alias("sample_id"), F.col("lang").alias("language"))
+    entry = lambda code, path, order: F.struct(code.cast("string").alias("code"), path.cast("string").alias("path"), F.lit(order).alias("ordinal"))
+    rows = F.when(i % 4 == 0, F.array(entry(F.lit("old"), F.lit(None), 1), entry(F.concat(F.lit("code "), i), F.lit(None), 2))).when(i % 4 == 1, F.array(entry(F.lit(None), F.lit("/s/x.c"), 1)))
+    manifest = requests.select("sample_id", F.inline(rows))
+    files = d.where("doc_id % 3 <> 0").select(F.concat(F.lit("root/"), "lang", F.lit("/a_"), i, F.lit(".c")).alias("path"), F.sha2("text", 256).alias("content")).union(spark.createDataFrame([("/s/x.c", "shared")], "path string, content string"))
+    got = readers.precomputed(requests, manifest, files, "{language}/{sample_id}.c", "root")
+    return got.select("doc_id", F.coalesce("code", F.lit("-")).alias("code"), F.coalesce("reason", F.lit("none")).alias("reason"))
+
+
+@query(
+    "q101_proposals",
+    """
+    SELECT event_id, list_filter(list_concat([CASE WHEN event_type = 'view' THEN 'forbidden_field:wrapper' END, CASE WHEN event_type = 'click' THEN 'no_proposed_contract' END, CASE WHEN value > 50 THEN 'confidence_out_of_range' END, CASE WHEN event_id % 5 = 0 THEN 'no_evidence' END],
+        [CASE WHEN event_id % 5 = 1 THEN 'unknown_evidence:e9' END]), lambda z: z IS NOT NULL) AS errors,
+        list_filter([CASE WHEN event_id % 3 = 0 THEN 'unknown_strategy' END, CASE WHEN event_id % 4 = 0 THEN 'no_rationale' END], lambda z: z IS NOT NULL) AS intent_errors FROM events
+    """,
+)
+def proposals(spark, sf_dir):
+    """What is wrong with the proposals and the probe intents that events stand for."""
+    e, i = read_table(spark, sf_dir, "events"), F.col("event_id")
+    known = F.array(F.lit("e1"), F.lit("e2"))
+    evidence = F.when(i % 5 == 0, "[]").when(i % 5 == 1, '["e1", "e9", "e9"]').otherwise('["e2"]')
+    contract = F.when(F.col("event_type") == "view", '{"a": [{"wrapper": 1}]}').when(F.col("event_type") == "click", "{}").otherwise('{"a": 1}')
+    proposal = F.concat(F.lit('{"proposed_contract": '), contract, F.lit(', "confidence": '), F.when(F.col("value") > 50, "1.5").otherwise("0.5"), F.lit(', "evidence_ids": '), evidence, F.lit("}"))
+    intent = F.concat(F.lit('{"strategy": "'), F.when(i % 3 == 0, "other").otherwise("boundary_pair"), F.lit('", "rationale": "'), F.when(i % 4 == 0, "").otherwise("r"), F.lit('", "confidence": 1, "evidence_ids": ["e1"]}'))
+    return e.select("event_id", proposal_errors(proposal, known).alias("errors"), proposal_errors(intent, known, intent=True).alias("intent_errors"))
+
+
+@query(
+    "q102_gated_levels",
+    """
+    WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 3)::INT AS a, (l_suppkey % 4)::INT AS b, l_quantity::INT % 5 AS c FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a = 0 AND b = 0 AND c = 0 AS passed, CASE WHEN a > 0 THEN 'syntax' WHEN b > 0 THEN 'compile' WHEN c > 0 THEN 'tests' ELSE 'none' END AS failed_level,
+        CASE WHEN a > 0 THEN 'syntax: s1' || CASE WHEN a > 1 THEN '; s2' ELSE '' END WHEN b > 0 THEN 'compile: c1' || CASE WHEN b > 1 THEN '; c2' ELSE '' END || CASE WHEN b > 2 THEN ' and 1 more' ELSE '' END
+             WHEN c > 0 THEN 'tests: t1' || CASE WHEN c > 1 THEN '; t2' ELSE '' END || CASE WHEN c > 2 THEN ' and ' || (c - 2) || ' more' ELSE '' END ELSE '-' END AS feedback,
+        round(((2 - a) / 2.0::DOUBLE + CASE WHEN a = 0 THEN (3 - b) / 3.0::DOUBLE ELSE 0 END + CASE WHEN a = 0 AND b = 0 THEN (4 - c) / 4.0::DOUBLE ELSE 0 END) / 3, 9) AS score
+    FROM x
+    """,
+)
+def gated_levels(spark, sf_dir):
+    """Levels of a check, each asked only where those before it hold, with the first failures as feedback."""
+    rows = read_table(spark, sf_dir, "lineitem")
+    failed = lambda name, n: F.slice(F.array(*(F.lit(f"{name}{i}") for i in range(1, 5))), 1, n.cast("int"))
+    got = p.gated_levels([("syntax", failed("s", F.col("l_partkey") % 3), F.lit(2)), ("compile", failed("c", F.col("l_suppkey") % 4), F.lit(3)), ("tests", failed("t", F.col("l_quantity").cast("int") % 5), F.lit(4))])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", got["passed"].alias("passed"), F.coalesce(got["failed_level"], F.lit("none")).alias("failed_level"), F.coalesce(got["feedback"], F.lit("-")).alias("feedback"), round9(got["score"], "score"))
+
+
+@query(
+    "q103_unsupported_direct",
+    """
+    WITH u AS (SELECT DISTINCT o_custkey % 300 AS k FROM orders), d AS (SELECT DISTINCT user_id % 300 AS k FROM events) SELECT 's' || u.k AS name FROM u JOIN d USING (k) WHERE u.k >= 20
+    """,
+)
+def unsupported_direct(spark, sf_dir):
+    """Undefined symbols that the target refers to itself and that nothing supplies."""
+    name = lambda k: F.concat(F.lit("s"), F.col(k) % 300).alias("name")
+    undefined, direct = read_table(spark, sf_dir, "orders").select(name("o_custkey")).distinct(), read_table(spark, sf_dir, "events").select(name("user_id"))
+    return joins.unsupported_direct(joins.classify_dependencies(undefined, direct, {"runtime": [f"s{i}" for i in range(20)], "stub": [f"s{i}" for i in range(10, 40)]}), ["runtime"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyrail.functions import text as tx
 from tallyrail.operators.cache import exists
+from tallyrail.operators.validation import prompt
 from tallyrail.session import stored
 from tallyrail.sources import arrays, arrow
 
@@ -27,8 +28,8 @@ RESULTS = (
 )
 
 
-#: Neighbours that make a node of a hash tree.
-FAN = 1024
+#: Neighbours that make a node of a hash tree; lines that are numbered together.
+FAN, LINES = 1024, 100_000
 
 
 def flat_dataset(spark: SparkSession, path: str, view: str, pseudocode: str | None = None, levels: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -144,10 +145,23 @@ def artifact_tree(spark: SparkSession, root: str, anchor: str, siblings: dict[st
     return out.orderBy("directory")
 
 
-def precomputed(requests: DataFrame, manifest: DataFrame, order: str) -> DataFrame:
-    """Code of a manifest (sample_id, code, ordinal) per request, its last duplicate winning; a reason where there is none."""
-    last = manifest.groupBy("sample_id").agg(F.max_by("code", order).alias("code"))
-    return requests.join(last, "sample_id", "left").withColumn("reason", F.when(F.col("code").isNull(), "precomputed_missing"))
+def precomputed(requests: DataFrame, manifest: DataFrame, files: DataFrame, pattern: str = "{sample_id}.c", root: str = "") -> DataFrame:
+    """Stored outputs of requests: ``code`` and, where there is none, ``reason``.
+
+    ``manifest`` (sample_id, code, path, ordinal) names a sample's code or the path of
+    its file, the last of several rows counting; without either the path is
+    ``pattern`` with the request's columns filled in, sample_id made safe for a file.
+    ``files`` has path and content; a path that is not absolute is below ``root``.
+    """
+    fields = {c: tx.safe_name(F.col(c)) if c == "sample_id" else F.col(c) for c in requests.columns}
+    last = manifest.groupBy("sample_id").agg(F.max_by(F.struct("code", "path"), "ordinal").alias("_m"))
+    named = F.coalesce("_m.path", prompt(pattern, fields))
+    place = F.when(named.startswith("/") | named.contains("://"), named).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/" if root else ""), named))
+    rows = requests.join(last, "sample_id", "left").withColumn("_path", place)
+    found = files.select(F.col("path").alias("_path"), F.col("content").cast("string").alias("_content"))
+    out = rows.join(found, "_path", "left").withColumn("code", F.coalesce("_m.code", "_content"))
+    reason = F.when(F.col("code").isNull(), "precomputed_output_missing").when(F.trim("code") == "", "decompile_empty_output")
+    return out.select(*requests.columns, "code", reason.alias("reason"))
 
 
 def stored_pseudocode(code: Column) -> Column:
@@ -156,10 +170,33 @@ def stored_pseudocode(code: Column) -> Column:
     return F.struct((~blank).alias("success"), F.when(~blank, code).alias("code"), F.when(blank, "pseudocode_missing").alias("reason"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, text: the lines of text files, numbered from 0 in each file, read by several tasks.
+
+    A split's lines come in order from one task; the splits' sizes, a row for each,
+    give every split the number of its first line.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("at"))
+    before, of = {}, {}
+    for r in rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("file", "start").collect():
+        before[f"{r['start']} {r['file']}"] = of.get(r["file"], 0) - r["first"]
+        of[r["file"]] = of.get(r["file"], 0) + r["n"]
+    if not before:
+        return spark.createDataFrame([], "file string, line long, text string")
+    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
+    return rows.select("file", (F.col("at") + offsets[F.concat_ws(" ", F.col("start").cast("string"), "file")]).alias("line"), "text")
+
+
 def knowledge_base(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of a text file as documents, numbered from 0 in file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text")).where(F.trim("text") != "")
-    return lines.select((F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("id"), "text")
+    """Non-blank lines of text files as documents, numbered from 0 in the files' order, by ranges of lines."""
+    lines = numbered_lines(spark, path).where(F.trim("text") != "").withColumn("_range", F.floor(F.col("line") / LINES))
+    key = F.concat_ws(" ", F.col("_range").cast("string"), "file")
+    before, total = {}, 0
+    for r in lines.groupBy("file", "_range").agg(F.count("*").alias("n")).orderBy("file", "_range").collect():  # a row per LINES lines
+        before[f"{r['_range']} {r['file']}"], total = total, total + r["n"]
+    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[key] if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("file", "_range").orderBy("line")) - 1
+    return lines.select((place + offsets).cast("long").alias("id"), "text")
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.o") -> DataFrame:

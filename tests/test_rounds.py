@@ -380,3 +380,52 @@ def test_state_machine_as_stream_and_as_fold(spark, tmp_path):
         assert ("quiet", "static_inferred") in gone and "done" not in {k for k, _ in gone}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_lines_by_split(spark, tmp_path, small_splits):
+    texts = {"a.txt": "".join(f"line {i}\n" if i % 5 else "  \n" for i in range(300)), "b.txt": "\n".join(f"more {i}" for i in range(50))}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = readers.numbered_lines(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 3
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["file"].rsplit("/", 1)[1], {})[r["line"]] = r["text"]
+    assert rows == {name: dict(enumerate(text.splitlines())) for name, text in texts.items()}
+    want = [x for text in texts.values() for x in text.splitlines() if x.strip()]
+    base = readers.knowledge_base(spark, str(tmp_path))
+    assert [tuple(r) for r in base.orderBy("id").collect()] == list(enumerate(want))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.txt").write_text("")
+    assert readers.knowledge_base(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_baselines(spark):
+    """A sample whose files fit its manifest holds all checks; without its files few hold; without a manifest there is no entry."""
+    import hashlib
+
+    from tallyrail.functions.keys import canonical
+    from tallyrail.operators import baselines
+
+    digest = lambda value: hashlib.sha256(canonical(value).encode()).hexdigest()
+    core = {"schema_version": "v2", "status": "frozen", "mutation_after_freeze_allowed": False, "contract_id": "k", "contract_hash": "h", "probe_plan_hash": digest([{"b": 1, "a": "é"}]), "holdout_probe_plan_hash": digest([]), "observation_policy_hash": digest({"x": [1, 2]}), "exploration_probe_count": 1, "holdout_probe_count": 0, "probe_count": 1}
+    harness = json.dumps(core | {"content_hash": digest(core)}, indent=1)
+    schema = "sample_id string, " + ", ".join(f"{a} string" for a in baselines.ARTIFACTS) + ", selected_hash string, runner_sha256 string"
+    good = ("a", harness, '{"harness_frozen": true, "contract_selection_status": "audit_accepted_frozen"}', '{"contract_id": "k"}', '{"x":[1,2]}', '{"b": 1, "a": "é"}\n', None, '{"o": 1}\n', "", "h", "r")
+    rows = [good, ("b", harness, *[None] * 9), ("c", *[None] * 10)]
+    found = baselines.entries(spark.createDataFrame(rows, schema), "v2")
+    got = {r["sample_id"]: r for r in found.collect()}
+    assert set(got) == {"a", "b"} and got["a"]["valid"] and len(got["a"]["checks"]) == 17 and all(got["a"]["checks"].values())
+    assert {k for k, ok in got["b"]["checks"].items() if ok} == {"manifest_content_hash", "manifest_v2", "status_frozen", "mutation_forbidden", "holdout_probe_plan_hash", "holdout_probe_count", "holdout_observation_count"} - (set() if got["b"]["checks"]["holdout_probe_count"] else {"holdout_probe_count"})
+    total = baselines.summary(found).first()
+    assert (total["frozen_harnesses"], total["valid_frozen_harnesses"], total["invalid_frozen_harnesses"]) == (2, 1, 1) and total["failure_reason_counts"]["original_runner_present"] == 1
+    assert {r["sample_id"]: r["exploration_plan"] for r in baselines.plan_checks(found).collect()} == {"a": True, "b": False}
+    assert baselines.summary(found.limit(0)).first()["frozen_harnesses"] == 0
+
+
+def test_levels_that_were_not_asked(spark):
+    from tallyrail.operators import protocols
+
+    df = spark.createDataFrame([([], None, 0), (None, [], 3), ([], ["x", "y", "z"], 4)], "a array<string>, b array<string>, n int")
+    got = [tuple(r[0]) for r in df.select(protocols.gated_levels([("one", F.col("a"), F.lit(1)), ("two", F.col("b"), F.col("n"))])).collect()]
+    assert got == [(False, "two", "two: not checked", 0.5), (False, "one", "one: not checked", 0.0), (False, "two", "two: x; y and 1 more", 0.625)]
