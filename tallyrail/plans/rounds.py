@@ -96,7 +96,8 @@ def minimized(spark, sf_dir):
     for kind, name in (("zero_integer", "RDI"), ("zero_integer", "RDX"), ("zero_object", "obj"), ("shrink_object", "obj"), ("normalize_placement", "obj")):
         step = F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"))
         gpr, objects = rd.simpler(step, F.col("gpr"), F.col("objects"))
-        both = F.explode(F.array(F.struct("gpr", "objects"), F.struct(gpr.alias("gpr"), objects.alias("objects"))))
+        now, then = F.struct("gpr", "objects"), F.struct(gpr.alias("gpr"), objects.alias("objects"))
+        both = F.explode(F.when(rd.changes(step, F.col("gpr"), F.col("objects")), F.array(now, then)).otherwise(F.array(now)))
         some = some.withColumn("_x", both).withColumns({"gpr": F.col("_x.gpr"), "objects": F.col("_x.objects")}).drop("_x")
     verdicts = some.select("o_orderkey", rd.input_hash().alias("input_hash"), _fails(F.col("gpr"), F.col("objects")).alias("fails"))
     got = rd.minimized(cases, verdicts, ["o_orderkey"], scratch(spark))

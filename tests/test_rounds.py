@@ -416,7 +416,7 @@ def test_baselines(spark):
     found = baselines.entries(spark.createDataFrame(rows, schema), "v2")
     got = {r["sample_id"]: r for r in found.collect()}
     assert set(got) == {"a", "b"} and got["a"]["valid"] and len(got["a"]["checks"]) == 17 and all(got["a"]["checks"].values())
-    assert {k for k, ok in got["b"]["checks"].items() if ok} == {"manifest_content_hash", "manifest_v2", "status_frozen", "mutation_forbidden", "holdout_probe_plan_hash", "holdout_probe_count", "holdout_observation_count"} - (set() if got["b"]["checks"]["holdout_probe_count"] else {"holdout_probe_count"})
+    assert {k for k, ok in got["b"]["checks"].items() if ok} == {"manifest_content_hash", "manifest_v2", "status_frozen", "mutation_forbidden", "holdout_probe_plan_hash", "holdout_probe_count", "exploration_observation_count", "holdout_observation_count"}
     total = baselines.summary(found).first()
     assert (total["frozen_harnesses"], total["valid_frozen_harnesses"], total["invalid_frozen_harnesses"]) == (2, 1, 1) and total["failure_reason_counts"]["original_runner_present"] == 1
     assert {r["sample_id"]: r["exploration_plan"] for r in baselines.plan_checks(found).collect()} == {"a": True, "b": False}
