@@ -275,3 +275,26 @@ def static_evidence(contract: Column) -> Column:
 def after_images(things: Column) -> Column:
     """A map from each object's or global's name to the bytes that it ended with; a missing map is empty."""
     return F.transform_values(F.coalesce(things, F.create_map().cast("map<string,struct<after_bytes_hex:string>>")), lambda _, t: t["after_bytes_hex"])
+
+
+def behaviour_rows(samples: DataFrame, report: DataFrame, key: str) -> DataFrame:
+    """A row of full shape per sample: what the report says of it, or a failure ``not_reported``.
+
+    ``report`` has the key, assembled, linked, behavioral_pass, tests_total,
+    tests_passed and reason; reported samples that are not in ``samples`` come too, ``unexpected``.
+    """
+    theirs = report.select(key, F.struct("assembled", "linked", "behavioral_pass", "tests_total", "tests_passed", "reason").alias("_r"))
+    rows = samples.withColumn("_s", F.lit(True)).join(theirs, key, "full")
+    state = F.when(F.col("_s").isNull(), "unexpected").when(F.col("_r").isNull(), "not_reported").otherwise("reported")
+    flag = lambda c: F.coalesce(F.col(f"_r.{c}"), F.lit(False)).alias(c)
+    count = lambda c: F.coalesce(F.col(f"_r.{c}"), F.lit(0)).alias(c)
+    reason = F.when(state == "reported", F.col("_r.reason")).otherwise(state)
+    return rows.select(*samples.columns, state.alias("state"), flag("assembled"), flag("linked"), flag("behavioral_pass"), count("tests_total"), count("tests_passed"), reason.alias("reason"))
+
+
+def behaviour_report(rows: DataFrame, level: str, group: str) -> DataFrame:
+    """Per level, and over all (``all``): samples, how many assemble, link and pass, tests, groups, and groups of which every sample passes."""
+    counts = [F.count("*").alias("samples"), *(F.count_if(c).alias(c) for c in ("assembled", "linked", "behavioral_pass")), *(F.sum(c).alias(c) for c in ("tests_total", "tests_passed"))]
+    per = rows.select(F.col(level).alias("level"), group, "assembled", "linked", "behavioral_pass", "tests_total", "tests_passed").withColumn("level", F.explode(F.array("level", F.lit("all"))))
+    whole = per.groupBy("level", group).agg(F.bool_and("behavioral_pass").alias("_all")).groupBy("level").agg(F.count("*").alias("groups"), F.count_if("_all").alias("passing_groups"))
+    return per.groupBy("level").agg(*counts).join(whole, "level")

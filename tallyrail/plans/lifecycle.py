@@ -335,3 +335,80 @@ def unsupported_direct(spark, sf_dir):
     name = lambda k: F.concat(F.lit("s"), F.col(k) % 300).alias("name")
     undefined, direct = read_table(spark, sf_dir, "orders").select(name("o_custkey")).distinct(), read_table(spark, sf_dir, "events").select(name("user_id"))
     return joins.unsupported_direct(joins.classify_dependencies(undefined, direct, {"runtime": [f"s{i}" for i in range(20)], "stub": [f"s{i}" for i in range(10, 40)]}), ["runtime"])
+
+
+@query(
+    "q104_behaviour_report",
+    """
+    WITH x AS (SELECT o_orderkey AS k, o_custkey AS grp, o_orderpriority AS lvl, o_orderkey % 9 = 0 AS gone, o_orderkey % 5 > 0 AS assembled, o_orderkey % 5 > 1 AS linked, o_orderkey % 5 > 1 AND o_orderkey % 11 > 0 AS passed FROM orders),
+    r AS (SELECT k, grp, lvl, assembled AND NOT gone AS a, linked AND NOT gone AS l, passed AND NOT gone AS p, CASE WHEN gone THEN 0 ELSE 4 END AS t, CASE WHEN gone THEN 0 WHEN passed THEN 4 ELSE 1 END AS g FROM x),
+    e AS (SELECT * FROM r UNION ALL SELECT k, grp, 'all', a, l, p, t, g FROM r), w AS (SELECT lvl, grp, bool_and(p) AS ok FROM e GROUP BY 1, 2)
+    SELECT e.lvl AS level, count(*) AS samples, count(*) FILTER (WHERE a) AS assembled, count(*) FILTER (WHERE l) AS linked, count(*) FILTER (WHERE p) AS behavioral_pass, sum(t)::BIGINT AS tests_total, sum(g)::BIGINT AS tests_passed,
+        any_value(groups) AS groups, any_value(passing) AS passing_groups FROM e JOIN (SELECT lvl, count(*) AS groups, count(*) FILTER (WHERE ok) AS passing FROM w GROUP BY 1) v ON v.lvl = e.lvl GROUP BY 1
+    """,
+)
+def behaviour_report(spark, sf_dir):
+    """What a report says of orders as samples, by priority and over all, with customers that pass as a whole."""
+    i = F.col("o_orderkey")
+    samples = read_table(spark, sf_dir, "orders").select(i, "o_custkey", "o_orderpriority")
+    good = (i % 5 > 1) & (i % 11 > 0)
+    report = samples.where(i % 9 != 0).select(i, (i % 5 > 0).alias("assembled"), (i % 5 > 1).alias("linked"), good.alias("behavioral_pass"), F.lit(4).alias("tests_total"), F.when(good, 4).otherwise(1).alias("tests_passed"), F.lit(None).cast("string").alias("reason"))
+    return r.behaviour_report(r.behaviour_rows(samples, report, "o_orderkey"), "o_orderpriority", "o_custkey")
+
+
+@query(
+    "q105_postprocessed",
+    """
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'typedef unsigned int undefined4;' || chr(10) || chr(10) ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN 'undefined4 ' ELSE 'int ' END || CASE WHEN p_partkey % 2 = 0 THEN 'target' ELSE 'own' END || '(void) { }' AS code,
+        list_filter([CASE WHEN p_partkey % 5 > 0 THEN 'markdown_fence' END, CASE WHEN p_partkey % 2 = 0 THEN 'rename_target' END, CASE WHEN p_partkey % 3 = 0 THEN 'compat_types' END], lambda z: z IS NOT NULL) AS actions FROM part
+    """,
+)
+def postprocessed(spark, sf_dir):
+    """Answers for parts through the chain of postprocessors, and which of them changed something."""
+    from tallyrail.functions.text import postprocess
+
+    i = F.col("p_partkey")
+    body = F.concat(F.when(i % 3 == 0, "undefined4 ").otherwise("int "), F.when(i % 2 == 0, "FUN_00401000").otherwise("own"), F.lit("(void) { }"))
+    rows = read_table(spark, sf_dir, "part").select(i, F.when(i % 5 > 0, F.concat(F.lit("here:\n```c\n"), body, F.lit("\n```\nbye"))).otherwise(F.concat(body, F.lit("  \n"))).alias("code"), F.lit("target").alias("name"))
+    return postprocess(rows, "code", "name", ["markdown_fence", "rename_target", "compat_types"]).select("p_partkey", "code", "actions")
+
+
+@query(
+    "q106_cached_generations",
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'same' END AS state, o_orderpriority AS code, o_orderkey % 3 > 0 OR o_orderkey % 2 = 0 AS hit FROM orders
+    """,
+)
+def cached_generations(spark, sf_dir):
+    """Orders as generations saved to a cache in two goes, what the second one finds there, and a lookup."""
+    from tallyrail.operators import cache
+
+    path, i = f"{scratch(spark)}/cache", F.col("o_orderkey")
+    rows = read_table(spark, sf_dir, "orders").select(F.sha2(i.cast("string"), 256).alias("cache_key"), i, F.col("o_orderpriority").alias("code"), F.lit(1.0).alias("elapsed_seconds"))
+    cache.save(rows.where(i % 3 > 0), path, "cache_key")
+    states = cache.classify(rows.withColumn("elapsed_seconds", F.lit(2.0)), spark.read.parquet(path), "cache_key").select("o_orderkey", "state")
+    cache.save(rows.where((i % 3 > 0) | (i % 2 == 0)), path, "cache_key")
+    found = cache.lookup(rows.select("cache_key", "o_orderkey", "code"), spark.read.parquet(path).select("cache_key"), "cache_key", "generation")
+    return states.join(found, "o_orderkey").select("o_orderkey", "state", "code", F.col("generation_hit").alias("hit"))
+
+
+@query(
+    "q107_run_results",
+    """
+    SELECT 'd' AS dataset_id, 'b' || (o_custkey % 3) AS backend_id, count(*) AS total, count(*) FILTER (WHERE o_orderkey % 4 > 0) AS decompiled, 'results' AS record_source,
+        count(*) FILTER (WHERE o_orderkey % 4 = 0) AS empty_output FROM orders GROUP BY 2
+    """,
+)
+def run_results(spark, sf_dir):
+    """Orders as the results of a run, written as JSON lines in two goes and read back for a report."""
+    from tallyrail.operators import metrics
+    from tallyrail.sources import writers
+
+    path, i = scratch(spark), F.col("o_orderkey")
+    rows = read_table(spark, sf_dir, "orders").select(F.lit("d").alias("dataset_id"), F.concat(F.lit("b"), F.col("o_custkey") % 3).alias("backend_id"), i.cast("string").alias("sample_id"), (i % 4 > 0).alias("decompile_success"), F.lit(None).cast("boolean").alias("recompilable"), F.lit(None).cast("boolean").alias("behavioral_pass"), F.when(i % 4 == 0, "empty_output").alias("reason"), F.array().cast("array<string>").alias("capabilities"))
+    writers.append_results(rows.where(i % 2 == 0), f"{path}/results.jsonl", resume=False)
+    writers.append_results(rows.where(i % 2 == 1), f"{path}/results.jsonl", resume=True)
+    got = metrics.with_metrics(readers.run_results(spark, path))
+    out = metrics.summarize(got, ["dataset_id", "backend_id"])
+    source = got.select("record_source").distinct()
+    return out.join(F.broadcast(source)).select("dataset_id", "backend_id", "total", F.col("decompile_success_passed").alias("decompiled"), "record_source", F.coalesce(F.try_element_at("failure_reasons", F.lit("empty_output")), F.lit(0)).alias("empty_output"))
