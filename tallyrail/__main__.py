@@ -12,7 +12,7 @@ from tallyrail import runs
 from tallyrail.functions import settings, text
 from tallyrail.operators import metrics, selection
 from tallyrail.session import get_session
-from tallyrail.sources import readers, writers
+from tallyrail.sources import arrays, readers, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,7 +55,7 @@ def steps(spark, given: dict, command: str, run_dir: str, resume: bool) -> dict:
 def subset(spark, source: str, manifest_path: str, target: str) -> dict:
     """Copy the results that a manifest selects; a selected sample that some backend lacks is an error."""
     results = readers.run_results(spark, source)
-    entries = spark.read.json(manifest_path, multiLine=True).select(F.explode("entries").alias("e")).select("e.dataset_id", "e.sample_id").distinct()
+    entries = arrays.read_array(spark, manifest_path, "dataset_id string, sample_id string", "entries").select("e.dataset_id", "e.sample_id").distinct()
     selection.fail_if_any(selection.missing_pairs(results, entries, "dataset_id", "sample_id", "backend_id"), "selected samples without a result")
     kept = results.join(entries, ["dataset_id", "sample_id"], "left_semi").drop("record_source")
     writers.append_results(kept, f"{target}/results.jsonl", resume=False)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyrail.functions import text
 from tallyrail.operators import cache, metrics, records, selection
 from tallyrail.session import scratch, stored
-from tallyrail.sources import providers, readers, writers
+from tallyrail.sources import arrays, providers, readers, writers
 
 KEY = ["dataset_id", "backend_id", "sample_id"]
 GENERATIONS = "dataset_id string, backend_id string, sample_id string, optimization string, language string, success boolean, code string, reason string, detail string, evaluated boolean"
@@ -32,7 +32,7 @@ def samples(spark: SparkSession, settings: dict) -> DataFrame:
         rows = readers.flat_dataset(spark, d["path"], d.get("assembly_view", "objdump_intel_instruction_only"), d.get("pseudocode_view"), d.get("optimizations"), d.get("limit"))
         rows = rows.select(F.lit(d["id"]).alias("dataset_id"), "sample_id", "source_group_id", "function_name", "optimization", "language", "assembly", F.col("pseudocode.code").alias("pseudocode"), "binary", "content_hash", "private_payload")
         if d.get("selection_manifest"):
-            entries = spark.read.json(d["selection_manifest"], multiLine=True).select(F.explode("entries").alias("e")).select("e.dataset_id", "e.sample_id", "e.content_hash").where(F.col("dataset_id") == d["id"])
+            entries = arrays.read_array(spark, d["selection_manifest"], "dataset_id string, sample_id string, content_hash string", "entries").select("e.*").where(F.col("dataset_id") == d["id"])
             rows = selection.selected(rows, entries, ["dataset_id", "sample_id"], ["content_hash"])
         parts.append(rows)
     return reduce(DataFrame.unionByName, parts)
