@@ -81,6 +81,17 @@ def exit_code_evidence(compiled: Column, timed_out: Column, exit_code: Column) -
     return F.struct(compiled.alias("compile_pass"), good.alias("behavioral_pass"), reason.alias("reason"))
 
 
+def object_evidence(outcome: Column) -> Column:
+    """struct<compile_pass, link_pass, behavioral_pass, reason, capabilities>: evidence of a protocol that only compiles a shared object.
+
+    ``outcome`` is passed, timeout or error. Nothing is linked or run, so that link
+    and behaviour are null and the capabilities leave the core metrics that need them out.
+    """
+    none = F.lit(None).cast("boolean")
+    reason = F.when(outcome == "timeout", "compile_timeout").when(~F.coalesce(outcome == "passed", F.lit(False)), "compile_error")
+    return F.struct(reason.isNull().alias("compile_pass"), none.alias("link_pass"), none.alias("behavioral_pass"), reason.alias("reason"), F.array(F.lit("candidate_compile")).alias("capabilities"))
+
+
 def gate(requests: DataFrame, strict: bool = True) -> DataFrame:
     """Requests with ``reason``, why a backend must not take one (null where it may), and ``detail``.
 

@@ -412,3 +412,22 @@ def run_results(spark, sf_dir):
     out = metrics.summarize(got, ["dataset_id", "backend_id"])
     source = got.select("record_source").distinct()
     return out.join(F.broadcast(source)).select("dataset_id", "backend_id", "total", F.col("decompile_success_passed").alias("decompiled"), "record_source", F.coalesce(F.try_element_at("failure_reasons", F.lit("empty_output")), F.lit(0)).alias("empty_output"))
+
+
+@query(
+    "q108_evidence_ids",
+    """
+    SELECT event_id, sha256('{"contract_hash":"' || sha256(event_type) || '","difference_kinds":[' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '"return"' ELSE '"return","memory"' END || '],"harness_hash":"' || sha256(props) || '","probe_id":"p' || event_id || '","sample_id":"u' || user_id || '"}') AS evidence_id,
+        CASE WHEN event_id % 7 = 0 THEN 'compile_timeout' WHEN event_id % 7 = 1 THEN 'compile_error' ELSE 'none' END AS reason
+    FROM events
+    """,
+)
+def evidence_ids(spark, sf_dir):
+    """Digests of what events as evidence are about, and the evidence of a protocol that only compiles."""
+    from tallyrail.functions.keys import evidence_id
+
+    e, i = read_table(spark, sf_dir, "events"), F.col("event_id")
+    kinds = F.slice(F.array(F.lit("return"), F.lit("memory")), 1, (i % 3).cast("int"))
+    compiled = p.object_evidence(F.when(i % 7 == 0, "timeout").when(i % 7 == 1, "error").otherwise("passed"))
+    made = evidence_id(F.concat(F.lit("u"), "user_id"), F.sha2("event_type", 256), F.sha2("props", 256), F.concat(F.lit("p"), i), kinds)
+    return e.select("event_id", made.alias("evidence_id"), F.coalesce(compiled["reason"], F.lit("none")).alias("reason"))

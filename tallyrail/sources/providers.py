@@ -7,6 +7,7 @@ such providers and stay outside. A failing batch gives a failure row per member.
 from __future__ import annotations
 
 import importlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,7 +37,50 @@ def evaluate(candidates: DataFrame, make: Callable[[], Provider], batch_size: in
     return _run(candidates, make, EVIDENCE, batch_size, {"compile_pass": False, "link_pass": False, "behavioral_pass": False, "reason": "evaluation_error", "tests_total": 0, "tests_passed": 0})
 
 
-def _run(df: DataFrame, make: Callable[[], Provider], schema: str, size: int, failed: dict) -> DataFrame:
+EMBEDDING = "id long, vector array<double>, reason string, detail string"
+
+
+def embed(texts: DataFrame, make: Callable[[], Provider], batch_size: int = 64) -> DataFrame:
+    """Vectors of all texts (id, text); the provider answers (id, vector) for a batch. A failing batch gives null vectors and a reason."""
+    return _run(texts, make, EMBEDDING, batch_size, {"vector": None, "reason": "embedding_error"}, "id")
+
+
+def retried(make: Callable[[], Provider], column: str, attempts: int = 3, base: float = 1.0, most: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[], Provider]:
+    """A provider that is asked again, ``attempts`` times in all, for rows whose ``column`` it left empty, and after an error.
+
+    Between two attempts it waits, ``base`` seconds at first and twice as long each
+    time, up to ``most``. Rows that stay empty are given back as they are; the last error is raised.
+    """
+
+    def made() -> Provider:
+        provider = make()
+
+        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+            key, done, left, why = pdf.columns[0], [], pdf, None
+            for attempt in range(attempts):
+                if attempt:
+                    sleep(min(base * 2 ** (attempt - 1), most))
+                try:
+                    got, why = provider(left), None
+                except Exception as error:  # noqa: BLE001  any error is worth another attempt, and is raised at the end
+                    why = error
+                    continue
+                empty = got[column].isna() | (got[column].astype(str).str.strip() == "")
+                last = attempt == attempts - 1
+                done.append(got if last else got[~empty])
+                left = left[left[key].isin(got[empty][key])]
+                if last or not len(left):
+                    break
+            if why is not None:
+                raise why
+            return pd.concat(done, ignore_index=True)
+
+        return ask
+
+    return made
+
+
+def _run(df: DataFrame, make: Callable[[], Provider], schema: str, size: int, failed: dict, key: str = "sample_id") -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,11 +90,11 @@ def _run(df: DataFrame, make: Callable[[], Provider], schema: str, size: int, fa
                 part = pdf.iloc[at : at + size]
                 try:
                     got = provider(part)
-                    if sorted(got["sample_id"]) != sorted(part["sample_id"]):
+                    if sorted(got[key]) != sorted(part[key]):
                         raise ValueError("a provider must answer each request once")
                 except Exception as why:  # noqa: BLE001  a provider's failure is a result, with what went wrong
                     row = failed | {"detail": f"{type(why).__name__}: {why}"[-2000:]}
-                    got = pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), **{k: [v] * len(part) for k, v in row.items()}})
+                    got = pd.DataFrame({key: part[key].to_numpy(), **{k: [v] * len(part) for k, v in row.items()}})
                 got = got.reindex(columns=names).astype(object)
                 yield got.where(got.notna(), None)
 

@@ -51,3 +51,12 @@ def failure_catalog(failures: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns)), F.lit(" |"))
     head = failures.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))], "o int, line string")
     return head.union(failures.select(F.lit(2).alias("o"), cells.alias("line"))).orderBy("o", "line").select("line")
+
+
+def phase_report(records: DataFrame, summary: DataFrame, path: str, level: str = "optimization") -> None:
+    """A phase's report: records as JSON lines by sample, the summary as JSON, and as CSV with all levels (null) before each of them."""
+    append_results(records.repartitionByRange("sample_id").sortWithinPartitions("sample_id"), f"{path}/records.jsonl", resume=False)
+    ordered = summary.orderBy(F.col(level).isNotNull(), level)
+    ordered.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/summary.json")
+    flat = [c for c, kind in summary.dtypes if not kind.startswith(("map", "array", "struct")) and c != level]
+    ordered.select(F.coalesce(F.concat(F.lit(f"{level}="), level), F.lit("overall")).alias("stratum"), *flat).coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/summary.csv")

@@ -179,3 +179,55 @@ def test_stored_counts(spark):
     zero = {"samples": 0, "instructions": 0, "relocations_merged": 0, "internal_labels_generated": 0, "samples_available": 0}
     assert validation.count_errors(empty, zero) == []
     assert validation.count_errors(empty, {**{k: v for k, v in zero.items() if k != "instructions"}, "samples": 2}) == ["samples: 2 stored, 0 found", "instructions: not stored, 0 found"]
+
+
+def test_retries_and_embeddings(spark):
+    waits, calls = [], []
+
+    def make():
+        def answer(pdf):
+            calls.append(list(pdf["sample_id"]))
+            if len(calls) == 2:
+                raise RuntimeError("busy")
+            return pd.DataFrame({"sample_id": pdf["sample_id"], "code": ["x" if len(calls) > 3 or s == "a" else " " for s in pdf["sample_id"]]})
+
+        return answer
+
+    from tallyrail.sources import providers
+
+    got = providers.retried(make, "code", 4, 1.0, 1.5, waits.append)()(pd.DataFrame({"sample_id": ["a", "b", "c"]}))
+    assert dict(zip(got["sample_id"], got["code"], strict=True)) == {"a": "x", "b": "x", "c": "x"} and calls == [["a", "b", "c"], ["b", "c"], ["b", "c"], ["b", "c"]] and waits == [1.0, 1.5, 1.5]
+    calls.clear()
+    got = providers.retried(make, "code", 1, sleep=waits.append)()(pd.DataFrame({"sample_id": ["a", "b"]}))
+    assert list(got["code"]) == ["x", " "]
+    with pytest.raises(RuntimeError):
+        providers.retried(make, "code", 1, sleep=waits.append)()(pd.DataFrame({"sample_id": ["a"]}))
+
+    def vectors():
+        def answer(pdf):
+            if (pdf["text"] == "bad").any():
+                raise ValueError("no vector")
+            return pd.DataFrame({"id": pdf["id"], "vector": [[float(len(t))] for t in pdf["text"]]})
+
+        return answer
+
+    rows = providers.embed(spark.createDataFrame([(1, "ab"), (2, "bad"), (3, "abc")], "id long, text string").coalesce(1), vectors, batch_size=1)
+    assert {r["id"]: (r["vector"], r["reason"]) for r in rows.collect()} == {1: ([2.0], None), 2: (None, "embedding_error"), 3: ([3.0], None)}
+
+
+def test_evidence_ids_and_phase_reports(spark, tmp_path):
+    import hashlib
+
+    from tallyrail.functions.keys import canonical, evidence_id
+    from tallyrail.sources import writers
+
+    df = spark.createDataFrame([("s\"1", "c", "h", "p", ["return", "memory"]), ("é", "c", None, "p", None)], "s string, c string, h string, p string, k array<string>")
+    want = [hashlib.sha256(canonical({"sample_id": r["s"], "contract_hash": r["c"], "harness_hash": r["h"], "probe_id": r["p"], "difference_kinds": r["k"] or []}).encode()).hexdigest() for r in df.collect()]
+    assert [r[0] for r in df.select(evidence_id(*(F.col(c) for c in "schpk"))).collect()] == want
+    rows = spark.createDataFrame([("b", "O1", 1), ("a", "O0", 2)], "sample_id string, optimization string, n int")
+    summary = rows.groupBy("optimization").agg(F.sum("n").alias("n")).union(rows.agg(F.lit(None).cast("string"), F.sum("n")))
+    writers.phase_report(rows, summary, str(tmp_path / "p"))
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/p/summary.csv", header=True).collect()] == [("overall", "3"), ("optimization=O0", "2"), ("optimization=O1", "1")]
+    assert spark.read.json(f"{tmp_path}/p/records.jsonl").count() == 2
+    got = [tuple(r[0]) for r in spark.createDataFrame([("passed",), ("timeout",), (None,)], "o string").select(protocols.object_evidence(F.col("o"))).collect()]
+    assert got == [(True, None, None, None, ["candidate_compile"]), (False, None, None, "compile_timeout", ["candidate_compile"]), (False, None, None, "compile_error", ["candidate_compile"])]
