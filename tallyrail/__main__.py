@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyrail import runs
 from tallyrail.functions import settings, text
-from tallyrail.operators import metrics, selection
+from tallyrail.operators import audit, baselines, metrics, selection
 from tallyrail.session import get_session
 from tallyrail.sources import arrays, readers, writers
 
@@ -26,6 +26,12 @@ def parser() -> argparse.ArgumentParser:
         step.add_argument("--config", required=True)
         step.add_argument("--run-dir", required=True)
         step.add_argument("--resume", action="store_true")
+    frozen = commands.add_parser("create-baseline", help="a manifest of a run's frozen samples with their checks")
+    frozen.add_argument("--run-dir", required=True)
+    frozen.add_argument("--output", required=True)
+    again = commands.add_parser("replay-baseline", help="compare a run's frozen samples with a baseline")
+    again.add_argument("--run-dir", required=True)
+    again.add_argument("--baseline", required=True)
     taken = commands.add_parser("import-run", help="take a run's generations into a cache")
     taken.add_argument("--run-dir", required=True)
     taken.add_argument("--cache-dir")
@@ -52,6 +58,33 @@ def steps(spark, given: dict, command: str, run_dir: str, resume: bool) -> dict:
     return done | (runs.report(spark, run_dir) if command == "run" else {})
 
 
+HARNESS_VERSION, BASELINE = "v2", "tallyrail-baseline-v1"
+
+
+def baseline(spark, run_dir: str, output: str) -> dict:
+    """Write the manifest of a run's frozen samples: entries, how many are valid, reasons of those that are not."""
+    found = baselines.entries(readers.frozen_artifacts(spark, f"{run_dir}/artifacts"), HARNESS_VERSION)
+    total = baselines.summary(found).first().asDict()
+    core = writers.frozen_manifest(found, BASELINE) | total
+    manifest = core | {"content_hash": writers.manifest_hash(core)}
+    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(output)
+    return {"output": output, **total, "content_hash": manifest["content_hash"]}
+
+
+def replay(spark, run_dir: str, path: str) -> dict:
+    """Compare a run's frozen samples with a baseline's entries; a baseline that was changed is an error."""
+    manifest = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    if wrong := writers.verify_manifest(manifest, BASELINE):
+        raise ValueError(f"the baseline does not hold: {', '.join(wrong)}")
+    now = baselines.entries(readers.frozen_artifacts(spark, f"{run_dir}/artifacts"), HARNESS_VERSION)
+    # Both sides as text: the manifest is JSON, whose mappings have no order.
+    lines = lambda rows: rows.withColumn("checks", F.array_sort(F.map_entries("checks"))).select("sample_id", F.to_json(F.struct(*(c for c in now.columns if c != "sample_id")), {"ignoreNullFields": "false"}).alias("entry"))
+    then = spark.createDataFrame([(json.dumps(e, ensure_ascii=False),) for e in manifest["entries"]] or [("{}",)], "value string").select(F.from_json("value", now.schema).alias("e")).select("e.*").where("sample_id IS NOT NULL")
+    states = audit.replay(lines(then), lines(now), ["sample_id"], [])
+    counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}  # four states at most
+    return {"states": counts, "equal": set(counts) <= {"match"}}
+
+
 def subset(spark, source: str, manifest_path: str, target: str) -> dict:
     """Copy the results that a manifest selects; a selected sample that some backend lacks is an error."""
     results = readers.run_results(spark, source)
@@ -81,6 +114,10 @@ def main(argv: list[str] | None = None) -> int:
             spark = get_session(app=f"tallyrail {a.command}")
             if a.command == "report":
                 done = runs.report(spark, a.run_dir)
+            elif a.command == "create-baseline":
+                done = baseline(spark, a.run_dir, a.output)
+            elif a.command == "replay-baseline":
+                done = replay(spark, a.run_dir, a.baseline)
             elif a.command == "import-run":
                 given = settings.read(a.config) if a.config else None
                 if not (a.cache_dir or given):

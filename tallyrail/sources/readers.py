@@ -145,6 +145,24 @@ def artifact_tree(spark: SparkSession, root: str, anchor: str, siblings: dict[st
     return out.orderBy("directory")
 
 
+#: Files of a frozen sample's folder, by the column that has their text.
+FROZEN = {
+    "harness": "harness_manifest.json", "metadata": "metadata.json", "selected": "selected_contract.json", "policy": "observation_policy.json", "exploration_probes": "probe_plan.jsonl",
+    "holdout_probes": "holdout_probe_plan.jsonl", "exploration_observations": "original_observations.jsonl", "holdout_observations": "holdout_observations.jsonl",
+}
+
+
+def frozen_artifacts(spark: SparkSession, root: str, anchor: str = "public_request.json", runner: str = "original_runner.x") -> DataFrame:
+    """Frozen samples below ``root``, a folder each, as ``baselines.entries`` takes them: sample_id of the public request, texts, the selected contract's hash, the runner's digest."""
+    rows = artifact_tree(spark, root, anchor, FROZEN)
+    runners = binary_files(spark, root, runner).select(F.regexp_replace("path", "/[^/]*$", "").alias("directory"), F.sha2("content", 256).alias("runner_sha256"))
+    contract = F.get_json_object("selected", "$.content_hash")
+    plain = F.regexp_replace("directory", "^file:/+", "/")
+    return rows.withColumn("_d", plain).join(runners.withColumn("_d", F.regexp_replace("directory", "^file:/+", "/")).drop("directory"), "_d", "left").select(
+        F.get_json_object("public", "$.sample_id").alias("sample_id"), *FROZEN, contract.alias("selected_hash"), "runner_sha256"
+    )
+
+
 def precomputed(requests: DataFrame, manifest: DataFrame, files: DataFrame, pattern: str = "{sample_id}.c", root: str = "") -> DataFrame:
     """Stored outputs of requests: ``code`` and, where there is none, ``reason``.
 

@@ -231,3 +231,36 @@ def test_evidence_ids_and_phase_reports(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/p/records.jsonl").count() == 2
     got = [tuple(r[0]) for r in spark.createDataFrame([("passed",), ("timeout",), (None,)], "o string").select(protocols.object_evidence(F.col("o"))).collect()]
     assert got == [(True, None, None, None, ["candidate_compile"]), (False, None, None, "compile_timeout", ["candidate_compile"]), (False, None, None, "compile_error", ["candidate_compile"])]
+
+
+def test_baselines_of_a_run(spark, tmp_path, capsys):
+    import hashlib
+
+    from tallyrail.functions.keys import canonical
+
+    digest = lambda value: hashlib.sha256(canonical(value).encode()).hexdigest()
+    run = tmp_path / "run"
+    for name in ("a", "b"):
+        d = run / "artifacts" / name
+        d.mkdir(parents=True)
+        core = {"schema_version": "v2", "status": "frozen", "mutation_after_freeze_allowed": False, "contract_id": "k", "contract_hash": "h", "probe_plan_hash": digest([{"p": 1}]), "holdout_probe_plan_hash": digest([{"p": 2}]), "observation_policy_hash": digest({}), "exploration_probe_count": 1, "holdout_probe_count": 1, "probe_count": 2}
+        files = {
+            "public_request.json": {"sample_id": name}, "harness_manifest.json": core | {"content_hash": digest(core)}, "metadata.json": {"harness_frozen": True, "contract_selection_status": "audit_accepted_frozen"}, "selected_contract.json": {"contract_id": "k", "content_hash": "h"},
+            "observation_policy.json": {}, "probe_plan.jsonl": {"p": 1}, "holdout_probe_plan.jsonl": {"p": 2}, "original_observations.jsonl": {"o": 1}, "holdout_observations.jsonl": {"o": 2}, "original_runner.x": {},
+        }
+        for file, value in files.items():
+            if (name, file) != ("b", "original_runner.x"):
+                (d / file).write_text(json.dumps(value))
+    (run / "artifacts" / "c").mkdir()
+    (run / "artifacts" / "c" / "public_request.json").write_text('{"sample_id": "c"}')
+    out = str(tmp_path / "baseline")
+    assert cli.main(["create-baseline", "--run-dir", str(run), "--output", out]) == 0
+    made = json.loads(capsys.readouterr().out)
+    assert (made["frozen_harnesses"], made["valid_frozen_harnesses"], made["failure_reason_counts"]) == (2, 1, {"original_runner_present": 1})
+    assert cli.main(["replay-baseline", "--run-dir", str(run), "--baseline", out]) == 0 and json.loads(capsys.readouterr().out) == {"states": {"match": 2}, "equal": True}
+    (run / "artifacts" / "a" / "original_observations.jsonl").write_text('{"o": 3}')
+    (run / "artifacts" / "b" / "harness_manifest.json").unlink()
+    assert cli.main(["replay-baseline", "--run-dir", str(run), "--baseline", out]) == 0 and json.loads(capsys.readouterr().out) == {"states": {"changed": 1, "missing": 1}, "equal": False}
+    broken = json.loads(spark.read.text(out, wholetext=True).first()["value"]) | {"frozen_harnesses": 3}
+    (tmp_path / "broken.json").write_text(json.dumps(broken))
+    assert cli.main(["replay-baseline", "--run-dir", str(run), "--baseline", str(tmp_path / "broken.json")]) == 2
