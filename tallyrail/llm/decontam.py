@@ -445,7 +445,8 @@ def _leaks(docs: DataFrame, items: Items, path: str, with_places: bool) -> DataF
             of = np.repeat(np.arange(len(held)), sizes)
             pairs = []
             for lo in range(0, len(passages), 1024):
-                i, j = np.nonzero(unit(project(passages[lo : lo + 1024], table)) @ targets >= COSINE)
+                near_enough = unit(project(passages[lo : lo + 1024], table)) @ targets >= COSINE
+                i, j = np.divmod(np.flatnonzero(near_enough), near_enough.shape[1])
                 # One check for each item, document and place to within two words.
                 pairs.append(np.stack((items.owner[j], of[lo + i], (start[lo + i] - items.offset[j]) // 3 * 3 + 1), 1))
             pairs = np.unique(np.concatenate(pairs), axis=0)
