@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyrail.operators import audit as a
 from tallyrail.operators import cases as c
 from tallyrail.operators import repairs as rp
 from tallyrail.operators import replays as rl
